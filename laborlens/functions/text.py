@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # JavaScript-style classes written out for Java: \s includes the Unicode blanks, \b is ASCII.
 BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -72,7 +73,7 @@ CONTRACT_WORD = r"\bcontract\b"
 # --- end of fixed values ----------------------------------------------------------------
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x))
 

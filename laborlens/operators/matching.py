@@ -119,11 +119,15 @@ def posting_side(
 
 
 def join_pairs(pairs: DataFrame, candidates: DataFrame, postings: DataFrame) -> DataFrame:
-    """Attach both sides to the pair table. ``travel_minutes`` is estimated when not given."""
+    """Attach both sides to the pair table. ``travel_minutes`` is estimated when not given.
+
+    The posting comes first: its row is small, so the second shuffle moves little, and the wide
+    candidate row with its credit maps is attached last and never shuffled per pair.
+    """
     for name, kind in (("similarity", "double"), ("travel_minutes", "double")):
         if name not in pairs.columns:
             pairs = pairs.withColumn(name, F.lit(None).cast(kind))
-    f = pairs.join(candidates, "user_id").join(postings, "job_id")
+    f = pairs.join(postings, "job_id").join(candidates, "user_id")
     km = N.haversine_km(*[F.col(c) for c in ("c_lat", "c_lng", "j_lat", "j_lng")])
     return f.withColumn(
         "travel_minutes",
@@ -545,9 +549,30 @@ def note_keys() -> Column:
     )
 
 
+def settle(f: DataFrame, *names: str) -> DataFrame:
+    """Compute the named columns once, here.
+
+    A filter on a computed column is otherwise copied below the projection together with the
+    whole expression, which is then evaluated twice and outgrows generated code. A one-element
+    ``inline`` is a step the optimizer does not push filters through.
+    """
+    rest = [c for c in f.columns if c not in names]
+    return f.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
+def total_scores(f: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
+    """Components, weights and total of every joined pair, without the explanation."""
+    return settle(reweight(with_components(f, cfg), cfg), "total_score")
+
+
 def score_pairs(f: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
     """The full result of every joined pair: rules, components, total, label, explanation."""
-    f = reweight(with_components(f, cfg), cfg).withColumn("knockouts", ko_all(cfg))
+    return explain_scores(total_scores(f, cfg), cfg)
+
+
+def explain_scores(f: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
+    """Rules, label, reasons, gaps and notes of pairs with a total."""
+    f = f.withColumn("knockouts", ko_all(cfg))
     f = f.withColumns(
         {
             "knocked_out": F.exists("knockouts", lambda k: k["status"] == "fail"),
@@ -605,7 +630,8 @@ def recompute(
     """Kept matches of all candidates against all postings (or against a given pair table)."""
     if pairs is None:
         pairs = evidence_pairs(candidates, postings, cfg)
-    return keep_matches(score_pairs(join_pairs(pairs, candidates, postings), cfg), cfg)
+    totals = total_scores(join_pairs(pairs, candidates, postings), cfg)
+    return explain_scores(keep_matches(totals, cfg), cfg)
 
 
 def sync_matches(stored: DataFrame, kept: DataFrame, evaluated_jobs: DataFrame, evaluated_users: DataFrame) -> DataFrame:

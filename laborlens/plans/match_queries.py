@@ -271,7 +271,8 @@ def _(t):
 @query("agg_mean_known", "SELECT user_id, job_id, s_practical AS mean_known FROM o_comp WHERE s_practical IS NOT NULL")
 def _(t):
     f = pairs(t).withColumn("practical_parts", M.practical_parts())
-    return f.select("user_id", "job_id", M.practical_score().alias("mean_known")).filter(F.col("mean_known").isNotNull())
+    f = M.settle(f.select("user_id", "job_id", M.practical_score().alias("mean_known")), "mean_known")
+    return f.filter(F.col("mean_known").isNotNull())
 
 
 @query("geo_haversine", "SELECT user_id, job_id, floor(km * 1000 + 0.5) AS metres FROM o_travel WHERE km IS NOT NULL")
@@ -366,12 +367,14 @@ def _(t):
     return M.rank_matches(scored(t).select("user_id", "job_id", "total_score", "knocked_out"))
 
 
-@query("match_explain_export", """SELECT t.user_id, t.job_id, total_score, label, knocked_out, limited_data
- FROM o_total t JOIN o_ko k ON k.user_id = t.user_id AND k.job_id = t.job_id""")
+@query("match_explain_export", _shown("""SELECT t.user_id, t.job_id, total_score, label, t.limited_data, {p_skills} AS skill_points,
+ {s_practical} AS practical_score FROM o_total t"""))
 def _(t):
     rows = M.match_rows(scored(t))
-    whole = F.col("explanation").isNotNull() & F.col("component_scores").isNotNull() & F.col("knockouts").isNotNull()
-    return rows.filter(whole).drop("component_scores", "explanation", "knockouts")
+    c = F.col("component_scores")
+    points = F.coalesce(F.get_json_object(c, "$.skills.points"), F.lit("0"))
+    return rows.select("user_id", "job_id", "total_score", "label", "limited_data", points.cast("double").alias("skill_points"),
+                       F.get_json_object(c, "$.practical.score").cast("double").alias("practical_score"))
 
 
 # --- recomputation ----------------------------------------------------------------------

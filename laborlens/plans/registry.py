@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,15 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._named: dict[str, str] = {}
+
+    def _base(self, name: str) -> str:
+        """Name of a temporary view of a base table, so its schema is read once per query."""
+        if name not in self._named:
+            view = f"t_{zlib.crc32(self.folder.encode())}_{name}"
+            self(name).createOrReplaceTempView(view)
+            self._named[name] = view
+        return self._named[name]
 
     def __call__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
@@ -27,7 +37,7 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         used = [b for b in BASE_TABLES if re.search(rf"\b{b}\b", with_parts(text, VIEWS))]
-        base = {b: f"SELECT * FROM parquet.`{self.folder}/{b}.parquet`" for b in used}
+        base = {b: f"SELECT * FROM {self._base(b)}" for b in used}
         return self.spark.sql(with_parts(text, {**base, **VIEWS}))
 
 
