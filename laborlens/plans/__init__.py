@@ -2,7 +2,10 @@
 
 
 def all_queries():
-    from . import match_queries  # noqa: F401
+    import importlib
+
+    for part in ("match", "serve"):
+        importlib.import_module(f"laborlens.plans.{part}_queries")
     from .registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
