@@ -38,6 +38,12 @@ SALARY_UNIT_WORDS = (
 # --- end of fixed values ----------------------------------------------------------------
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use`` (Spark repeats an expression per mention,
+    and inside a lambda even per element)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def half_up(x: Column, digits: int) -> Column:
     """``floor(x * 10^d + 0.5) / 10^d``: halves go up, also for values just below one."""
     m = F.lit(float(10**digits))
@@ -87,14 +93,16 @@ def holland_code(dims: list[Column]) -> Column:
 
 def riasec_congruence(person: Column, job: Column) -> Column:
     """Agreement of two three-letter codes, 0..1."""
-    total = F.lit(0)
-    for i, row in enumerate(IACHAN):
-        place = F.array_position(job, F.get(person, F.lit(i)))
-        hit = F.lit(0)
-        for j, w in enumerate(row):
-            hit = F.when(place == j + 1, w).otherwise(hit)
-        total = total + hit
-    return total.cast("double") / F.lit(28.0)
+
+    def agree(p: Column, j: Column) -> Column:
+        total = F.lit(0)
+        for i, row in enumerate(IACHAN):
+            weights = F.array(*[F.lit(w) for w in row])
+            place = F.array_position(j, F.get(p, F.lit(i)))
+            total = total + F.coalesce(F.get(weights, (place - 1).cast("int")), F.lit(0))
+        return total.cast("double") / F.lit(28.0)
+
+    return let(person, lambda p: let(job, lambda j: agree(p, j)))
 
 
 def value_weight(ranking: Column, value: str) -> Column:
@@ -152,50 +160,64 @@ def salary_monthly(amount: Column, unit: Column, hours: Column) -> Column:
 
 def salary_from_text(text: Column) -> Column:
     """struct<min, max, unit> of a Dutch or English salary phrase."""
-    t = F.regexp_replace(F.lower(text), rf"{BLANK}+", " ")
     pattern = F.lit(SALARY_NUMBER.replace(r"\s", BLANK))
-    raws = F.regexp_extract_all(t, pattern, F.lit(1))
-    kilos = F.regexp_extract_all(t, pattern, F.lit(2))
 
     def value(raw: Column, k: Column) -> Column:
         solid = F.regexp_replace(raw, BLANK, "")
         grouped = solid.rlike(r"^\d{1,3}([.,]\d{3})+$")
-        digits = F.when(grouped, F.translate(solid, ".,", "")).otherwise(
-            F.regexp_replace(solid, ",", ".")
-        )
+        digits = F.when(grouped, F.translate(solid, ".,", "")).otherwise(F.regexp_replace(solid, ",", "."))
         return digits.cast("double") * F.when(k == "k", 1000.0).otherwise(1.0)
 
-    numbers = F.filter(F.zip_with(raws, kilos, value), lambda n: n >= 5)
-    unit = F.lit(None).cast("string")
-    for name, words in reversed(SALARY_UNIT_WORDS):
-        unit = F.when(t.rlike(words), name).otherwise(unit)
-    first = F.get(numbers, F.lit(0))
-    second = F.coalesce(F.get(numbers, F.lit(1)), first)
-    return F.struct(first.alias("min"), second.alias("max"), unit.alias("unit"))
+    def parse(t: Column) -> Column:
+        raws, kilos = (F.regexp_extract_all(t, pattern, F.lit(g)) for g in (1, 2))
+        unit = F.lit(None).cast("string")
+        for name, words in reversed(SALARY_UNIT_WORDS):
+            unit = F.when(t.rlike(words), name).otherwise(unit)
+        return let(
+            F.filter(F.zip_with(raws, kilos, value), lambda n: n >= 5),
+            lambda n: F.struct(
+                F.get(n, F.lit(0)).alias("min"), F.coalesce(F.get(n, F.lit(1)), F.get(n, F.lit(0))).alias("max"), unit.alias("unit")
+            ),
+        )
+
+    return let(F.regexp_replace(F.lower(text), rf"{BLANK}+", " "), parse)
 
 
 def salary_normalize(
     lo: Column, hi: Column, unit: Column, currency: Column, text: Column, hours: Column
 ) -> Column:
     """struct<min_month, max_month> in gross EUR a month; both null when not plausible."""
-    parsed = salary_from_text(F.when(lo.isNull() & hi.isNull(), text))
-    low = F.when(lo.isNull() & hi.isNull(), parsed["min"]).otherwise(lo)
-    high = F.when(lo.isNull() & hi.isNull(), parsed["max"]).otherwise(hi)
-    used = F.coalesce(unit, parsed["unit"], salary_unit_guess(F.coalesce(high, low)))
+    silent = lo.isNull() & hi.isNull()
+
+    def month(x: Column, u: Column) -> Column:
+        return F.when(x > 0, half_up(salary_monthly(x, u, hours), 0))
 
-    def month(x: Column) -> Column:
-        return F.when(x > 0, half_up(salary_monthly(x, used, hours), 0))
+    def raw(parsed: Column) -> Column:
+        low = F.when(silent, parsed["min"]).otherwise(lo)
+        high = F.when(silent, parsed["max"]).otherwise(hi)
+        return F.struct(
+            low.alias("lo"), high.alias("hi"),
+            F.coalesce(unit, parsed["unit"], salary_unit_guess(F.coalesce(high, low))).alias("u"),
+        )
 
-    a, b = month(low), month(high)
-    swap = (a > 0) & (b > 0) & (a > b)
-    a, b = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    def monthly(r: Column) -> Column:
+        return F.struct(month(r["lo"], r["u"]).alias("a"), month(r["hi"], r["u"]).alias("b"))
 
     def plausible(x: Column) -> Column:
         return x.isNull() | x.between(800, 40000)
 
     euro = currency.isNull() | (currency == "") | (F.upper(currency) == "EUR")
-    ok = euro & plausible(a) & plausible(b)
-    return F.struct(F.when(ok, a).alias("min_month"), F.when(ok, b).alias("max_month"))
+
+    def checked(m: Column) -> Column:
+        a, b = m["a"], m["b"]
+        swap = (a > 0) & (b > 0) & (a > b)
+        ok = euro & plausible(a) & plausible(b)
+        return F.struct(
+            F.when(ok, F.when(swap, b).otherwise(a)).alias("min_month"), F.when(ok, F.when(swap, a).otherwise(b)).alias("max_month")
+        )
+
+    parsed = salary_from_text(F.when(silent, text))
+    return let(parsed, lambda p: let(raw(p), lambda r: let(monthly(r), checked)))
 
 
 # --- vectors ----------------------------------------------------------------------------

@@ -258,7 +258,6 @@ def parse_date(value: Column) -> Column:
         F.try_to_timestamp(value),
         F.try_to_timestamp(value, F.lit("yyyy/MM/dd")),
         F.try_to_timestamp(value, F.lit("dd MMM yyyy")),
-        F.try_to_timestamp(value, F.lit("EEE, dd MMM yyyy HH:mm:ss z")),
     )
 
 

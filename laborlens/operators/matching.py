@@ -282,18 +282,25 @@ def skill_credits(cfg: ModelConfig = DEFAULT) -> Column:
     """Per posting skill: weight, credit and whether it is matched, related or missing."""
 
     def one(s: Column) -> Column:
-        exact = F.try_element_at(F.col("c_own"), s["uri"])
         near = F.array_min(
             F.array_compact(F.transform(s["keys"], lambda k: F.try_element_at(F.col("c_near"), k)))
         )
-        credit = F.coalesce(exact, near["factor"] * cfg.related_credit, F.lit(0.0))
         weight = F.when(s["importance"] == "must", cfg.must_weight).otherwise(cfg.nice_weight)
-        status = F.when(exact.isNotNull(), "matched").when(credit > 0, "related").otherwise("missing")
-        return F.struct(
-            s["pos"].alias("pos"), s["uri"].alias("uri"), s["label"].alias("label"),
-            s["importance"].alias("importance"), weight.alias("weight"), credit.alias("credit"),
-            status.alias("status"),
-        )
+
+        def judged(exact: Column) -> Column:
+            credit = F.when(exact.isNotNull(), exact).otherwise(
+                F.coalesce(near["factor"] * cfg.related_credit, F.lit(0.0))
+            )
+            return N.let(
+                credit,
+                lambda c: F.struct(
+                    s["pos"].alias("pos"), s["uri"].alias("uri"), s["label"].alias("label"),
+                    s["importance"].alias("importance"), weight.alias("weight"), c.alias("credit"),
+                    F.when(exact.isNotNull(), "matched").when(c > 0, "related").otherwise("missing").alias("status"),
+                ),
+            )
+
+        return N.let(F.try_element_at(F.col("c_own"), s["uri"]), judged)
 
     return F.transform("j_skills", one)
 

@@ -205,23 +205,19 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 def autocomplete(queries: DataFrame, labels: DataFrame, k: int = 10, threshold: float = 0.3) -> DataFrame:
     """Best concepts per query text by trigram similarity, at least 0.5 for a substring.
 
-    A hit shares a trigram with the query unless the query is shorter than three characters, so
-    an equi-join on trigrams finds every one: a query of three or more characters that occurs
-    inside a label shares the trigrams of its inside (padding aside), a similar label shares
-    one by definition. Rare trigrams of the query are enough, but exactness comes first here.
+    An equi-join on short character runs finds every hit: a similar label shares a padded
+    trigram by definition, and a query that occurs inside a label shares its own leading run
+    of three characters (two when it has only two).
     """
     q = queries.withColumn("_needle", F.lower("q")).withColumn("_qt", trigrams(F.col("q")))
-    raw = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_needle") - 2, F.lit(1))),
-        lambda i: F.substr(F.col("_needle"), i, F.lit(3)),
-    )
-    q = q.withColumn("_qk", F.array_distinct(F.concat("_qt", raw)))
+    q = q.withColumn("_qk", F.array_distinct(F.concat("_qt", F.array(F.left("_needle", F.lit(3))))))
+
+    def runs(n: int) -> Column:
+        last = F.greatest(F.length("search_text") - (n - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col("search_text"), i, F.lit(n)))
+
     lt = labels.withColumn("_lt", trigrams(F.col("search_text")))
-    raw_l = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("search_text") - 2, F.lit(1))),
-        lambda i: F.substr(F.col("search_text"), i, F.lit(3)),
-    )
-    lt = lt.withColumn("_lk", F.array_distinct(F.concat("_lt", raw_l)))
+    lt = lt.withColumn("_lk", F.array_distinct(F.concat("_lt", runs(3), runs(2))))
     shared = (
         q.select("q", F.explode("_qk").alias("g")).join(lt.select("uri", F.explode("_lk").alias("g")), "g")
         .select("q", "uri").distinct()

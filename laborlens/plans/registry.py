@@ -58,6 +58,8 @@ def with_parts(text: str, parts: dict[str, str]) -> str:
         return text
     head = ",\n".join(f"{n} AS (\n{parts[n]}\n)" for n in order)
     text = text.strip()
+    if re.match(r"WITH RECURSIVE\s", text):
+        return f"WITH RECURSIVE {head},\n{text[14:].strip()}"
     if re.match(r"WITH\s", text):
         return f"WITH {head},\n{text[4:].strip()}"
     return f"WITH {head}\n{text}"
