@@ -62,7 +62,7 @@ def preferences(text: Column) -> Column:
         & (p["hoursMin"].isNull() | p["hoursMin"].between(0, 60)) & (p["hoursMax"].isNull() | p["hoursMax"].between(0, 60))
         & within(p["employmentTypes"], N.EMPLOYMENT) & within(p["companySizes"], N.COMPANY_SIZES)
         & within(p["companyTypes"], N.COMPANY_TYPES)
-        & (p["location"].isNull() | (p["location.lat"].isNotNull() & p["location.lng"].isNotNull()))
+        & (p["location"].isNull() | (p["location"]["lat"].isNotNull() & p["location"]["lng"].isNotNull()))
         & F.coalesce(F.forall(p["desiredOccupations"], lambda o: o["uri"].isNotNull() & o["iscoCode"].isNotNull()), F.lit(True))
     )
     return F.when(ok, p)

@@ -191,7 +191,7 @@ def _(t):
     return left.select("user_id", "job_id").join(jobs.select("job_id", "status"), "job_id")
 
 
-SEEN = "SELECT source_id, external_id FROM v_jobs WHERE source_id <> 'src5' AND job_id % 3 <> 0"
+SEEN = "SELECT source_id, external_id FROM v_jobs WHERE source_id <> 'src5' AND remote_policy IS NOT NULL"
 SOURCES = """SELECT DISTINCT source_id, CASE WHEN source_id = 'src0' THEN 'adzuna' WHEN source_id = 'src1' THEN 'lever'
  ELSE 'greenhouse' END AS connector_type, 3 AS expire_after FROM v_jobs WHERE source_id IS NOT NULL"""
 
@@ -200,7 +200,7 @@ SOURCES = """SELECT DISTINCT source_id, CASE WHEN source_id = 'src0' THEN 'adzun
   WHEN gone AND missed_runs + 1 >= 3 THEN 'expired' ELSE status END AS new_status,
  CASE WHEN s.external_id IS NOT NULL THEN 0 WHEN gone THEN missed_runs + 1 ELSE missed_runs END AS new_missed
  FROM (SELECT *, coalesce(source_id IN (SELECT source_id FROM ({SEEN}) x) AND source_id <> 'src0' AND status IN ('published', 'pending_review')
-  AND job_id % 3 = 0, FALSE) AS gone FROM v_jobs) j LEFT JOIN ({SEEN}) s ON s.source_id = j.source_id AND s.external_id = j.external_id""")
+  AND remote_policy IS NULL, FALSE) AS gone FROM v_jobs) j LEFT JOIN ({SEEN}) s ON s.source_id = j.source_id AND s.external_id = j.external_id""")
 def _(t):
     return L.absence(t("v_jobs"), t.sql(SEEN), t.sql(SOURCES)).select("job_id", "new_status", "new_missed")
 
@@ -314,7 +314,7 @@ def _(t):
 
 STORED = """SELECT user_id, uri, 'skill ' || CAST(uri AS STRING) AS label, last_used_year, CASE WHEN uri % 3 = 0 THEN 'manual' ELSE 'cv' END AS source,
  uri % 4 = 0 AS confirmed FROM v_candidate_skills WHERE last_used_year <= 1998"""
-PARSED = "SELECT user_id, uri, 'skill ' || CAST(uri AS STRING) AS label, last_used_year FROM v_candidate_skills WHERE uri % 2 = 0"
+PARSED = "SELECT user_id, uri, 'skill ' || CAST(uri AS STRING) AS label, last_used_year FROM v_candidate_skills"
 
 
 @query("cv_merge", f"""WITH st AS (SELECT * FROM ({STORED}) s WHERE NOT (source = 'cv' AND NOT confirmed))
@@ -324,11 +324,11 @@ def _(t):
     return L.merge_cv_skills(t.sql(STORED), t.sql(PARSED)).select("user_id", "uri", "last_used_year", "source", "confirmed")
 
 
-@query("sink_upsert", """SELECT job_id, title, status FROM v_jobs WHERE job_id % 3 <> 0 UNION ALL
- SELECT job_id, title || ' (new)', 'published' FROM v_jobs WHERE job_id % 3 = 0""")
+@query("sink_upsert", """SELECT job_id, title, status FROM v_jobs WHERE NOT needs_review UNION ALL
+ SELECT job_id, title || ' (new)', 'published' FROM v_jobs WHERE needs_review""")
 def _(t):
     jobs = t("v_jobs").select("job_id", "title", "status")
-    new = jobs.filter("job_id % 3 = 0").select("job_id", F.concat("title", F.lit(" (new)")).alias("title"), F.lit("published").alias("status"))
+    new = t("v_jobs").filter("needs_review").select("job_id", F.concat("title", F.lit(" (new)")).alias("title"), F.lit("published").alias("status"))
     return L.upsert(jobs, new, ["job_id"])
 
 

@@ -141,11 +141,10 @@ def _(t):
 
 
 @query("join_labels_i18n", """SELECT j.job_id, j.uri, trim(coalesce(s.label_nl, s.label_en, CAST(j.uri AS STRING))) AS shown
- FROM v_job_skills j LEFT JOIN v_skills s ON s.uri = j.uri AND s.uri % 7 <> 0""")
+ FROM v_job_skills j LEFT JOIN v_skills s ON s.uri = j.uri""")
 def _(t):
     uses = t("v_job_skills").select("job_id", "uri").withColumn("label", F.lit(None).cast("string"))
-    known = t("v_skills").filter(F.col("uri") % 7 != 0)
-    return S.skill_labels(uses, known, "nl").drop("label")
+    return S.skill_labels(uses, t("v_skills"), "nl").drop("label")
 
 
 @query("join_group_members", """SELECT j.job_id, j.dedup_group_id, count(o.job_id) AS other_members,

@@ -291,3 +291,22 @@ SELECT o_orderkey AS id,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE {dbl("16 + o_orderkey % 25")} END AS hours
 FROM orders
 """
+
+NL = "chr(10)"
+VIEWS["v_cvs"] = f"""
+SELECT c_custkey AS doc_id,
+  'Jan de Smit' || {NL} || 'Profile' || {NL} || 'Data person number ' || CAST(c_custkey AS STRING) || {NL} || 'Experience' || {NL} ||
+  'Data Engineer at Acme (' || CAST(2000 + c_custkey % 10 AS STRING) || ' - ' || CAST(2001 + c_custkey % 10 + c_custkey % 7 AS STRING) || ')' || {NL} ||
+  'Built pipelines in python and airflow daily.' || {NL} ||
+  CASE WHEN c_custkey % 2 = 0 THEN 'Senior Tester bij Noord 2016 – present' || {NL} ELSE '' END ||
+  'Worked with sql' || {NL} || 'Education' || {NL} ||
+  {pick("c_custkey", *q("PhD in physics", "Master of science", "Bachelor of arts", "MBO 4 diploma", "School"))} || {NL} ||
+  'Languages' || {NL} || 'Dutch native, English (fluent)' || {NL} || 'German B1' AS text
+FROM customer
+"""
+
+VIEWS["v_cities"] = f"""
+SELECT lower(replace(n_name, '_', ' ')) AS norm, 51 + {dbl("(n_nationkey * 7) % 25", 20)} AS lat,
+  4 + {dbl("(n_nationkey * 11) % 25", 12)} AS lng, 'province ' || CAST(n_regionkey AS STRING) AS province
+FROM nation
+"""

@@ -40,7 +40,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def split_labels(text: Column) -> Column:
     """Alternative labels separated by line ends or bars."""
-    parts = F.filter(F.transform(F.split(text, r"\n|\|"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, r"\n|\|"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(parts, none_list())
 
 
