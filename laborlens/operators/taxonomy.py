@@ -24,12 +24,12 @@ def label_entries(concepts: DataFrame) -> DataFrame:
     return rows.withColumn("norm", normalize_label(F.col("label"))).filter(F.col("norm") != "")
 
 
-def grams(text: Column, longest: int = MAX_RUNS) -> Column:
-    """Distinct runs of one to ``longest`` neighbouring words."""
+def grams(text: Column, needed: Column, longest: int = MAX_RUNS) -> Column:
+    """Distinct runs of one to ``longest`` neighbouring words, but no longer than ``needed``."""
 
     def of(runs: Column, n: int) -> Column:
         count = F.size(runs) - (n - 1)
-        places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        places = F.when((count > 0) & (needed >= n), F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.concat_ws(" ", *[F.get(runs, i + k) for k in range(n)]))
 
     def all_of(runs: Column) -> Column:
@@ -59,15 +59,19 @@ def find_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -
     known = entries.withColumn("short", short).withColumn(
         "key", F.concat(F.when(short, "r:").otherwise("n:"), key(F.when(short, F.col("label")).otherwise(F.col("norm"))))
     ).filter(~F.col("key").isin("r:", "n:"))
+    words = F.size(F.regexp_extract_all("label", F.lit(RUN), F.lit(0)))
+    longest = entries.agg(F.coalesce(F.max(words), F.lit(1)).alias("_w")).select("_w").scalar()
+    shortest = entries.agg(F.coalesce(F.min(F.length("norm")), F.lit(9)).alias("_w")).select("_w").scalar()
     work = docs.select(doc_id, F.col(text).alias("_raw"), normalize_label(F.col(text)).alias("_norm"))
+    sized = work.withColumn("_longest", longest).withColumn("_short", F.when(shortest <= 2, 2).otherwise(0))
 
     def tagged(tag: str, c: Column) -> Column:
         return F.transform(c, lambda g: F.concat(F.lit(tag), g))
 
-    probes = work.select(
-        doc_id,
-        F.explode(F.concat(tagged("n:", grams(F.col("_norm"))), tagged("r:", grams(F.col("_raw"), 2)))).alias("key"),
+    runs = F.concat(
+        tagged("n:", grams(F.col("_norm"), F.col("_longest"))), tagged("r:", grams(F.col("_raw"), F.col("_short"), 2))
     )
+    probes = sized.select(doc_id, F.explode(runs).alias("key"))
     hits = probes.join(known, "key").groupBy(doc_id).agg(
         F.collect_list(F.struct("uri", "label", "norm", "entry", "short")).alias("_hits")
     )

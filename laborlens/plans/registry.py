@@ -8,9 +8,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
 from .oracle import ORACLE_PARTS
 from .views import BASE_TABLES, VIEWS
 
+TEXT_TABLES = ("documents", "pages", "conversations")  # heavy work per row
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -32,7 +35,8 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(df) if name in TEXT_TABLES else df
         return self.sql(f"SELECT * FROM {name}")
 
     def sql(self, text: str) -> DataFrame:

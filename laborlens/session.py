@@ -37,6 +37,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows of a table with too few file splits among all cores.
+
+    A small file is one row group and so one busy task, however heavy the text work on it. Tables
+    with at least one split per core are returned as they are: nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss, unlike a local one)."""
     ensure_checkpoint_dir(df.sparkSession)
