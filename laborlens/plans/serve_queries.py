@@ -175,21 +175,16 @@ def _(t):
     return rows.select("id", "action").orderBy(F.desc("id")).offset(50).limit(50).withColumn("total", total)
 
 
-@query("export_subject", """SELECT p.user_id, p.email, coalesce(s.n, 0) AS skills, coalesce(l.n, 0) AS languages, coalesce(m.n, 0) AS matches,
- coalesce(f.n, 0) AS feedback, coalesce(a.n, 0) AS applications, coalesce(c.n, 0) AS consents FROM v_profiles p
- LEFT JOIN (SELECT user_id, count(*) n FROM v_candidate_skills GROUP BY 1) s ON s.user_id = p.user_id
- LEFT JOIN (SELECT user_id, count(*) n FROM v_candidate_languages GROUP BY 1) l ON l.user_id = p.user_id
- LEFT JOIN (SELECT user_id, count(*) n FROM v_matches GROUP BY 1) m ON m.user_id = p.user_id
- LEFT JOIN (SELECT user_id, count(*) n FROM v_feedback GROUP BY 1) f ON f.user_id = p.user_id
- LEFT JOIN (SELECT user_id, count(*) n FROM v_applications GROUP BY 1) a ON a.user_id = p.user_id
- LEFT JOIN (SELECT user_id, count(*) n FROM v_consents GROUP BY 1) c ON c.user_id = p.user_id""")
+EXPORTS = {"skills": "v_candidate_skills", "languages": "v_candidate_languages", "matches": "v_matches", "feedback": "v_feedback",
+           "applications": "v_applications", "consents": "v_consents"}
+
+
+@query("export_subject", " UNION ALL ".join(
+    f"SELECT user_id, '{k}' AS section, count(*) AS n FROM {v} WHERE user_id IN (SELECT user_id FROM v_profiles) GROUP BY user_id" for k, v in EXPORTS.items()))
 def _(t):
-    parts = {"skills": "v_candidate_skills", "languages": "v_candidate_languages", "matches": "v_matches",
-             "feedback": "v_feedback", "applications": "v_applications", "consents": "v_consents"}
-    doc = S.export_subjects(t("v_profiles").select("user_id", "email"), {k: t(v) for k, v in parts.items()})
-    sizes = [F.coalesce(F.size(k), F.lit(0)).cast("bigint").alias(k) for k in parts]
-    whole = F.to_json(F.struct("*")).alias("document")
-    return doc.select("user_id", "email", *sizes, whole).drop("document")
+    docs = S.export_subjects(t("v_profiles"), {k: t(v) for k, v in EXPORTS.items()})
+    parsed = docs.withColumn("rows", F.json_array_length("document"))
+    return parsed.groupBy("user_id", "section").agg(F.sum("rows").cast("bigint").alias("n"))
 
 
 # --- label lookup -------------------------------------------------------------------------
