@@ -37,6 +37,7 @@ def detect_language(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str
     """(doc_id, detected): the language whose profile fits best; null when short or undecided."""
     body = docs.filter(F.length(F.trim(F.regexp_replace(F.col(text), rf"{BLANK}+", " "))) >= MIN_CHARS)
     grams = body.select(doc_id, F.explode(trigrams(F.col(text))).alias("gram"))
+    # at most TOP rows per language by construction, so the size needs no count
     scores = grams.join(F.broadcast(profiles), "gram").groupBy(doc_id, "lang").agg(F.sum("weight").alias("score"))
     best = scores.groupBy(doc_id).agg(
         F.max(F.struct("score", "lang")).alias("_b"), F.array_sort(F.collect_list("score")).alias("_s")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import COMPONENTS, DEFAULT, ModelConfig
 from ..functions import numbers as N
 from ..functions.text import short_label
+from ..session import cut_lineage
 from .skew import rank_in_group, salted_join
 
 EMPTY = "array<string>"
@@ -621,7 +622,12 @@ def match_rows(scored: DataFrame) -> DataFrame:
 
 
 def rank_matches(scored: DataFrame) -> DataFrame:
-    """Rank per candidate: not knocked out first, then score, then posting id."""
+    """Rank per candidate: not knocked out first, then score, then posting id.
+
+    The rows are needed twice, so they are checkpointed once instead of being scored twice; pass
+    only the columns that are wanted.
+    """
+    scored = cut_lineage(scored)
     bucket = F.col("knocked_out").cast("int") * 1001 + (1000 - F.round(F.col("total_score") * 10).cast("int"))
     order = [F.col("knocked_out"), F.col("total_score").desc(), F.col("job_id")]
     return rank_in_group(scored, ["user_id"], bucket, order, "rank")

@@ -43,14 +43,13 @@ def rank_in_group(
     ``bucket`` must grow with ``order``. Rows are numbered inside a bucket, and the sizes of
     the earlier buckets of the group are added.
     """
-    work = df.withColumn("_bucket", bucket)
-    sizes = work.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    local = Window.partitionBy(*group, "_bucket").orderBy(*order)
+    numbered = df.withColumn("_bucket", bucket).withColumn("_rn", F.row_number().over(local))
+    sizes = numbered.groupBy(*group, "_bucket").agg(F.max("_rn").cast("long").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         *group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    local = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    numbered = work.withColumn("_rn", F.row_number().over(local))
     return (
         numbered.join(starts, [*group, "_bucket"])
         .withColumn(name, (F.col("_before") + F.col("_rn")).cast("long"))
@@ -58,6 +57,14 @@ def rank_in_group(
     )
 
 
+def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Hint a broadcast only when the table is counted to have at most ``rows`` rows.
+
+    Beyond that the join is left to the optimizer, which shuffles both sides.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """Last row per key as an aggregate (combined before the shuffle), not as a window."""
     newest = F.max_by(F.struct(*keep), F.struct(*order)).alias("_r")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import let
 from ..functions.text import normalize_label
-from .skew import salted_join
+from .skew import salted_join, small_side
 
 RUN = r"[\p{L}\p{N}]+"
 MAX_RUNS = 4  # longer labels are looked up by their first four words and then verified
@@ -72,7 +72,7 @@ def find_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -
         tagged("n:", grams(F.col("_norm"), F.col("_longest"))), tagged("r:", grams(F.col("_raw"), F.col("_short"), 2))
     )
     probes = sized.select(doc_id, F.explode(runs).alias("key"))
-    hits = probes.join(known, "key").groupBy(doc_id).agg(
+    hits = probes.join(small_side(known), "key").groupBy(doc_id).agg(
         F.collect_list(F.struct("uri", "label", "norm", "entry", "short")).alias("_hits")
     )
     placed = F.transform(

@@ -298,9 +298,9 @@ def _(t):
     k = F.col("job_id")
     wv = '{"achievement":0.1,"independence":0.1,"recognition":0.1,"relationships":0.1,"support":%s,"working_conditions":0.1}'
     jobs = t.sql(JOB_JSON).withColumns({
-        "company_id": k, "title": F.lit("x"), "occupation_uri": F.lit("o"), "work_values": F.when(k % 2 == 0, wv % "0.9").otherwise('{"support":1}'),
+        "company_id": k, "title": F.lit("x"), "occupation_uri": F.concat(F.lit("o"), (k % 25).cast("string")), "work_values": F.when(k % 2 == 0, wv % "0.9").otherwise('{"support":1}'),
         "education_requirement": F.concat(F.lit('{"min_eqf":'), (k % 10).cast("string"), F.lit("}"))})
-    occ = t("region").limit(1).select(F.lit("o").alias("occupation_uri"), F.lit('{"R":0.1,"I":0.2,"A":0.3,"S":0.4,"E":0.5,"C":0.6}').alias("riasec"), F.lit(wv % "0.1").alias("work_values"))
+    occ = t("nation").select(F.concat(F.lit("o"), F.col("n_nationkey").cast("string")).alias("occupation_uri"), F.lit('{"R":0.1,"I":0.2,"A":0.3,"S":0.4,"E":0.5,"C":0.6}').alias("riasec"), F.lit(wv % "0.1").alias("work_values"))
     out = A.posting_rows(jobs, t("v_companies"), occ)
     return out.select("job_id", F.col("company.name").alias("company"), F.col("riasec.A").alias("a"), F.col("work_values.support").alias("support"),
                       F.col("min_eqf").cast("bigint").alias("min_eqf"), F.size("skills").cast("bigint").alias("skills"))
@@ -354,7 +354,9 @@ def _(t):
 @query("cv_ground", """SELECT c_custkey AS doc_id, 3 AS skills, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS experiences, '2511' AS isco,
  'de B1,en C1,nl C2' AS languages FROM customer""")
 def _(t):
-    occ = cv_entries(t).limit(1).select(F.lit("o:data engineer").alias("uri"), F.lit("data engineer").alias("label"), F.lit("data engineer").alias("norm"), F.lit(0).alias("entry"), F.lit("2511").alias("isco_code"))
+    name = F.when(F.col("r_regionkey") == 0, "data engineer").otherwise(F.lower("r_name"))
+    occ = t("region").select(F.concat(F.lit("o:"), name).alias("uri"), name.alias("label"), name.alias("norm"), F.lit(0).alias("entry"),
+                             (F.col("r_regionkey") + 2511).cast("string").alias("isco_code"))
     skills, exp, langs = V.ground_cv(cvs(t), cv_entries(t), occ)
     s = skills.groupBy("doc_id").agg(F.count("*").alias("skills"))
     e = exp.groupBy("doc_id").agg(F.count("*").alias("experiences"), F.max("isco_code").alias("isco"))
