@@ -27,7 +27,7 @@ def trigrams(text: Column) -> Column:
 
 def language_profiles(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, gram, weight): the most frequent trigrams per language of labelled texts."""
-    counts = texts.select(lang, F.explode(trigrams(F.col(text))).alias("gram")).groupBy(lang, "gram").agg(F.count("*").alias("n"))
+    counts = texts.select(lang, F.explode_outer(trigrams(F.col(text))).alias("gram")).filter(F.col("gram").isNotNull()).groupBy(lang, "gram").agg(F.count("*").alias("n"))
     w = Window.partitionBy(lang).orderBy(F.desc("n"), "gram")
     ranked = counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= TOP)
     return ranked.select(lang, "gram", (F.lit(TOP + 1) - F.col("rank")).alias("weight"))
@@ -36,7 +36,7 @@ def language_profiles(texts: DataFrame, text: str = "text", lang: str = "lang")
 def detect_language(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, detected): the language whose profile fits best; null when short or undecided."""
     body = docs.filter(F.length(F.trim(F.regexp_replace(F.col(text), rf"{BLANK}+", " "))) >= MIN_CHARS)
-    grams = body.select(doc_id, F.explode(trigrams(F.col(text))).alias("gram"))
+    grams = body.select(doc_id, F.explode_outer(trigrams(F.col(text))).alias("gram"))
     # at most TOP rows per language by construction, so the size needs no count
     scores = grams.join(F.broadcast(profiles), "gram").groupBy(doc_id, "lang").agg(F.sum("weight").alias("score"))
     best = scores.groupBy(doc_id).agg(

@@ -71,7 +71,8 @@ def find_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -
     runs = F.concat(
         tagged("n:", grams(F.col("_norm"), F.col("_longest"))), tagged("r:", grams(F.col("_raw"), F.col("_short"), 2))
     )
-    probes = sized.select(doc_id, F.explode(runs).alias("key"))
+    # the outer form: a plain explode adds a filter on the array's size, which computes it twice
+    probes = sized.select(doc_id, F.explode_outer(runs).alias("key"))
     hits = probes.join(small_side(known), "key").groupBy(doc_id).agg(
         F.collect_list(F.struct("uri", "label", "norm", "entry", "short")).alias("_hits")
     )
@@ -82,7 +83,7 @@ def find_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -
             (F.when(h["short"], place_in(F.col("_raw"), h["label"])).otherwise(place_in(F.col("_norm"), h["norm"])) - 1).alias("index"),
         ),
     )
-    found = work.join(hits, doc_id).select(doc_id, F.explode(placed).alias("h")).filter(F.col("h.index") >= 0)
+    found = work.join(hits, doc_id).select(doc_id, F.explode_outer(placed).alias("h")).filter(F.col("h.index") >= 0)
     longest = F.max_by(F.col("h"), F.struct(F.col("h.size"), -F.col("h.entry"))).alias("h")
     return found.groupBy(doc_id, F.col("h.uri").alias("uri")).agg(longest).select(doc_id, "uri", "h.label", "h.index")
 

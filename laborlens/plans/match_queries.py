@@ -169,7 +169,7 @@ def _(t):
 
 def credit_rows(t, status):
     f = pairs(t).withColumn("skill_credits", M.skill_credits())
-    rows = f.select("user_id", "job_id", F.explode("skill_credits").alias("s")).filter(F.col("s.status") == status)
+    rows = f.select("user_id", "job_id", F.explode_outer("skill_credits").alias("s")).filter(F.col("s.status") == status)
     return rows.select("user_id", "job_id", "s.uri", "s.importance", "s.credit")
 
 
@@ -351,7 +351,7 @@ def _(t):
 @query("win_top_reasons", "SELECT key AS reason, count(*) AS n FROM (SELECT unnest(split(reasons, ',')) AS key FROM ("
        + _shown(REASONS) + ") a) b GROUP BY key")
 def _(t):
-    rows = scored(t).select(F.explode("reasons").alias("r")).filter(F.col("r.key") != "reason.fallback")
+    rows = scored(t).select(F.explode_outer("reasons").alias("r")).filter(F.col("r.key") != "reason.fallback")
     return rows.groupBy(F.col("r.key").alias("reason")).agg(F.count("*").alias("n"))
 
 
