@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, urls
-from .common import table
+from . import mixing, tokens, urls
+from .common import scratch, table
 from .sql import SQL
 
 #: Fixed rules of the URL filter.
@@ -20,6 +20,14 @@ URL_RULES = (
 )
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    # a cache of its own for each call, so a run never rests on an earlier one
+    cache = scratch(spark, "token-cache")
+    return tokens.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urls.judge_urls(table(spark, folder, "pages"), rules)
@@ -31,6 +39,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
 }
