@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, tokens, urls
+from . import licenses, mixing, tokens, urls
 from .common import scratch, table
 from .sql import SQL
 
@@ -28,6 +28,10 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urls.judge_urls(table(spark, folder, "pages"), rules)
@@ -40,6 +44,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_license_scan": op3_license_scan,
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
 }

@@ -58,3 +58,33 @@ SELECT doc_id, size, source_size, round(target, 3) AS target,
   CAST(size * (whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken, source
 FROM g
 """
+
+
+def _license_sql() -> str:
+    """The scan over the same table of sentences and rules, with DuckDB's lists and patterns."""
+    from .licenses import RULES, SENTENCES, rule_pattern
+
+    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    whens = ", ".join(f"CASE WHEN regexp_matches(line, '{rule_pattern(ids)}') THEN '{name}' END" for name, ids in RULES)
+    return rf"""
+WITH k(sentence, sid) AS (VALUES {known}),
+a AS (
+  SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS place
+  FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.!?;:]+[ \t]+', chr(10), 'g'), '[.!?;:]+(\r?\n)', chr(10), 'g'), chr(10)) AS s FROM documents)),
+b AS (
+  SELECT doc_id, place, trim(regexp_replace(regexp_replace(regexp_replace(sentence, '[^a-z0-9.]+', ' ', 'g'),
+    '\.+( |$)|(^| )\.+', ' ', 'g'), ' +', ' ', 'g'), ' ') AS sentence FROM a),
+c AS (
+  SELECT doc_id, list(sid ORDER BY place) AS ids FROM b JOIN k USING (sentence) GROUP BY doc_id),
+d AS (
+  SELECT doc_id, coalesce(ids, []) AS sentence_ids,
+    coalesce(array_to_string(list_transform(ids, lambda i: ';' || i || ';'), ''), '') AS line
+  FROM documents LEFT JOIN c USING (doc_id)),
+e AS (SELECT doc_id, sentence_ids, list_filter([{whens}], lambda x: x IS NOT NULL) AS licenses FROM d)
+SELECT doc_id, sentence_ids, licenses, licenses[1] AS license FROM e
+"""
+
+
+SQL["op3_license_scan"] = _license_sql()
