@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, mixing, tokens, urls
+from . import licenses, mixing, tokens, toxicity, urls
 from .common import scratch, table
 from .sql import SQL
 
@@ -32,6 +32,11 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urls.judge_urls(table(spark, folder, "pages"), rules)
@@ -45,6 +50,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_license_scan": op3_license_scan,
+    "op6_toxicity": op6_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
 }
