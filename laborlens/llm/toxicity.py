@@ -98,9 +98,9 @@ class Grammar:
 
 # --- model ------------------------------------------------------------------------------------
 
-FEATURES = ("plain", "negated", "reported", "targeted", "threat", "repeated")
+FEATURES = ("plain", "negated", "reported", "targeted", "threat", "repeated", "length")
 #: Prior of the pattern weights: what the fit is drawn to where labels say nothing.
-PRIOR = np.array([1.0, 0.6, 0.6, 0.3, 0.5, 0.3])
+PRIOR = np.array([1.0, 0.6, 0.6, 0.3, 0.5, 0.3, 0.3])
 
 
 @dataclass
@@ -164,6 +164,7 @@ class Scorer:
         else:
             out[0] = out[1] = 0.0
         out[5] = math.log1p(max(0.0, total - out[:3].max()))
+        out[6] = -math.log1p(len(text) / 2000)  # a chance match is likelier in a long text
         return out
 
     def score(self, text: str | None) -> float:
@@ -259,7 +260,7 @@ def fit(
                 yield pd.DataFrame({"label": b["label"], **{n: rows[:, k] for k, n in enumerate(FEATURES)}})
 
         ddl = "label int, " + ", ".join(f"{n} double" for n in FEATURES)
-        points = sample.mapInPandas(measured, ddl).toPandas()  # at most ``rows`` rows of seven numbers
+        points = sample.mapInPandas(measured, ddl).toPandas()  # at most ``rows`` rows of eight numbers
     finally:
         sample.unpersist()
     if toxic and clean:
