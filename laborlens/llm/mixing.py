@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)  # of the sources in code point order, repeating
 SHARE = 1.5  # words of the mix for each word of the input
@@ -79,6 +81,7 @@ def mix_sources(
         F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"),
         quality_level(F.col(text_col)).alias("level"),
     ).withColumn("key", -F.log(uniform(F.col("id"), seed)) / (F.col("level") / 10.0))
+    rows = cut(rows, "mixing")  # the texts are read and measured once, whatever follows
     shares = F.array(*[F.avg((F.col("level") == c).cast("double")) for c in range(1, 11)])
     sums = rows.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("docs"), shares.alias("shares")
