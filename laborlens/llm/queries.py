@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, mixing, tokens, toxicity, urls
+from . import licenses, mixing, tiling, tokens, toxicity, urls
 from .common import scratch, table
 from .sql import SQL
 
@@ -37,6 +37,10 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, folder, "labels")))
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return tiling.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urls.judge_urls(table(spark, folder, "pages"), rules)
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_license_scan": op3_license_scan,
     "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
 }
