@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CACHE = "digest string, tokenizer string, n_tokens long"
-MEMO_WORDS = 200_000  # pieces between white space whose counts a task remembers
+MEMO_WORDS = 150_000  # pieces between white space in a generation of the memo
 
 
 def normalised(text: Column) -> Column:
@@ -36,25 +36,42 @@ class WordCounter:
     """Counts the tokens of a text as the sum over its pieces between ASCII white space.
 
     Exact for tokenizers whose pre-tokenizer splits at white space and drops it: no token, special
-    strings included, reaches over it. Counts of pieces are remembered up to ``MEMO_WORDS``.
+    strings included, reaches over it. Counts of pieces are remembered in two generations of up to
+    ``MEMO_WORDS``: pieces that are met again move to the young one, the old one is dropped when the
+    young one is full.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, int] = {}
+        self.young: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
 
     def counts(self, texts: list[bytes]) -> list[int]:
         """Pieces new to the memo are encoded in one batch."""
         split = [t.split() for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        new = list({p for ps in split for p in ps if p not in memo})
+        if len(self.young) > MEMO_WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for p in {p for ps in split for p in ps if p not in young}:
+            if p in old:
+                young[p] = old[p]
+            else:
+                new.append(p)
         coded = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)
-        memo.update(zip(new, (len(c.ids) for c in coded)))
-        return [sum(map(memo.__getitem__, ps)) for ps in split]
+        young.update(zip(new, map(len, coded)))
+        return [sum(map(young.__getitem__, ps)) for ps in split]
+
+
+_counters: dict[str, WordCounter] = {}  # of a Python worker, kept from task to task
+
+
+def counter_of(path: str) -> WordCounter:
+    if path not in _counters:
+        _counters[path] = WordCounter(path)
+    return _counters[path]
 
 
 def encode_counts(texts: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -64,7 +81,7 @@ def encode_counts(texts: DataFrame, tokenizer_path: str) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-        counter = WordCounter(tokenizer_path)
+        counter = counter_of(tokenizer_path)
         for batch in batches:
             column = batch.column("text").cast(pa.binary())
             out, part, size = [], [], 0
@@ -72,7 +89,7 @@ def encode_counts(texts: DataFrame, tokenizer_path: str) -> DataFrame:
                 t = value.as_py()
                 part.append(t)
                 size += len(t)
-                if size > 1 << 20:
+                if size > 1 << 19:
                     out += counter.counts(part)
                     part, size = [], 0
             out += counter.counts(part)
