@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, mixing, tiling, tokens, toxicity, urls
+from . import dartminhash, licenses, mixing, tiling, tokens, toxicity, urls
 from .common import scratch, table
 from .sql import SQL
 
@@ -32,6 +32,10 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, folder, "labels")))
@@ -54,6 +58,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_license_scan": op3_license_scan,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op9_url_filter": op9_url_filter,
