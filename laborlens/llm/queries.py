@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dartminhash, licenses, mixing, tiling, tokens, toxicity, urls
+from . import dartminhash, licenses, lines, mixing, tiling, tokens, toxicity, urls
 from .common import scratch, table
 from .sql import SQL
 
@@ -32,6 +32,11 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -58,6 +63,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_license_scan": op3_license_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,

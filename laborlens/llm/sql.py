@@ -59,6 +59,28 @@ SELECT doc_id, size, source_size, round(target, 3) AS target,
 FROM g
 """
 
+# every pair of lines that shares a word is counted; sets are numbered so that copies meet once
+SQL["op4_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, CAST(i - 1 AS INT) AS line,
+    list_sort(list_filter(list_distinct(string_split(translate(lower(parts[i]), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' ')), lambda x: x <> '')) AS ws
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(generate_series(1, len(parts))) AS g(i)),
+c AS (
+  SELECT ws, len(ws) AS n, min((doc_id, line)) AS first, row_number() OVER () AS c FROM l WHERE len(ws) > 0 GROUP BY ws),
+w AS (SELECT c, n, first, unnest(ws) AS w FROM c),
+m AS (
+  SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS k
+  FROM w a JOIN w b ON a.w = b.w AND b.first < a.first AND b.n >= 0.8 * a.n AND a.n >= 0.8 * b.n GROUP BY ALL),
+g AS (SELECT DISTINCT a AS c FROM m WHERE k / (na + nb - k) >= 0.8),
+r AS (
+  SELECT l.doc_id, l.line FROM l JOIN c USING (ws) LEFT JOIN g USING (c)
+  WHERE g.c IS NOT NULL OR (l.doc_id, l.line) <> c.first),
+t AS (SELECT doc_id, list_sort(list_distinct(list(line))) AS removed FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS INT) AS n_lines,
+  CAST(len(coalesce(removed, [])) AS INT) AS n_removed, coalesce(removed, []) AS removed
+FROM documents LEFT JOIN t USING (doc_id)
+"""
+
 
 def _license_sql() -> str:
     """The scan over the same table of sentences and rules, with DuckDB's lists and patterns."""
