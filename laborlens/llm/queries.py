@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dartminhash, licenses, lines, mixing, tiling, tokens, toxicity, urls
+from . import dartminhash, licenses, lines, mixing, suffixes, tiling, tokens, toxicity, urls
 from .common import scratch, table
 from .sql import SQL
 
@@ -50,6 +50,10 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return tiling.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents")).drop("spans")
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urls.judge_urls(table(spark, folder, "pages"), rules)
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
 }
