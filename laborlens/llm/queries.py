@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dartminhash, licenses, lines, mixing, suffixes, tiling, tokens, toxicity, urls
+from . import dartminhash, licenses, lines, mixing, suffixes, tiling, tokens, topk, toxicity, urls
 from .common import scratch, table
 from .sql import SQL
 
@@ -28,6 +28,11 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
 
 
+def op2_bm25_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return topk.search(docs, docs.filter("doc_id % 50 = 0"))
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
@@ -66,6 +71,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_bm25_search": op2_bm25_search,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_duplicates": op5_near_duplicates,
