@@ -204,6 +204,21 @@ def exact_similarity(pairs: DataFrame, lists: DataFrame, weighted: bool) -> Data
     return pairs.join(a, "a").join(b, "b").mapInArrow(compare, "a long, b long, similarity double")
 
 
+def own_shares(lists: DataFrame, weighted: bool) -> DataFrame:
+    """(id, total, common) of the texts in ``lists``: all shingles, and those that another of them has too.
+
+    Two of these texts have no more in common than the smaller ``common``.
+    """
+    grams = lists.select("id", F.explode(F.arrays_zip("grams", "counts")).alias("g")).select(
+        "id", F.col("g.grams").alias("gram"), (F.col("g.counts") if weighted else F.lit(1)).cast("long").alias("weight")
+    )
+    alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.sum("weight").alias("weight"))
+    own = alone.filter("n = 1").groupBy("id").agg(F.sum("weight").alias("own"))
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x) if weighted else F.size("grams").cast("long")
+    sizes = lists.select("id", total.alias("total"))
+    return sizes.join(own, "id", "left").select("id", "total", (F.col("total") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -216,8 +231,9 @@ def near_duplicates(
 
     Texts are compared by the Jaccard similarity of their word shingles, of sets or, ``weighted``, of
     multisets. Equal texts form a class at once; of the others, those that share a band are compared,
-    first with the smallest id of the band, then with each text of the band that is in another group. A
-    group is named by its smallest id. Texts without words, null or empty, are alone. Repeated rows
+    first with the smallest id of the band and with the text that shares most bands, then with each text
+    of the band that is in another group, unless too much of one of them is its own. A group is named by
+    its smallest id. Texts without words, null or empty, are alone. Repeated rows
     stay as many; rows that share an id share a group; a row without id has no class. An empty table
     gives an empty result; other columns are not read.
     """
@@ -228,9 +244,13 @@ def near_duplicates(
     # one text of each class stands for it
     reps = solid.join(firsts, ["h1", "h2"]).filter("id = rep").dropDuplicates(["id", "h1", "h2"])
     slots = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    pivots = slots.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = cut(slots.join(pivots, ["band", "key"]), "dart-bands")  # texts alone in a band are gone
-    pairs = met.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    shared = slots.groupBy("band", "key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    met = cut(slots.join(shared, ["band", "key"]), "dart-bands")  # texts alone in a band are gone
+    # the text that shares most bands stands in the middle of its near copies: it is the second pivot
+    shares = met.groupBy("id").agg(F.sum("n").alias("shares"))
+    middle = met.join(shares, "id").groupBy("band", "key").agg(F.max(F.struct("shares", "id"))["id"].alias("middle"))
+    pivots = met.join(middle, ["band", "key"]).select("id", F.explode(F.array("least", "middle")).alias("pivot"))
+    pairs = pivots.filter("id <> pivot").select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
     pairs = cut(pairs, "dart-pairs")
     wanted = met.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -243,10 +263,15 @@ def near_duplicates(
     labelled = met.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     mixed = mixed.filter("lo <> hi and n > 2").select("band", "key")  # two texts alone are compared already
-    open_ = labelled.join(mixed, ["band", "key"]).select("band", "key", "id", "component")
-    left = open_.select("band", "key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = open_.select("band", "key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = left.join(right, ["band", "key"]).filter("a > b and ca <> cb").select("a", "b").distinct()
+    open_ = cut(labelled.join(mixed, ["band", "key"]).select("band", "key", "id", "component"), "dart-open")
+    open_ = open_.join(own_shares(lists.join(open_.select("id").distinct(), "id", "left_semi"), weighted), "id")
+    open_ = open_.filter(F.col("total") * similarity <= F.col("common"))  # what is its own alone keeps others from any link
+    a, b = open_.alias("a"), open_.alias("b")
+    both = F.least("a.common", "b.common")  # no two texts have more in common
+    linked = both >= similarity * (F.col("a.total") + F.col("b.total") - both) - 1e-9
+    other = (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
+    same_band = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
+    rest = a.join(b, same_band & other & linked).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     rest = cut(rest.join(pairs, ["a", "b"], "left_anti"), "dart-rest")
     late = exact_similarity(rest, lists, weighted).filter(F.col("similarity") >= similarity).select("a", "b")
     late = cut(late, "dart-late")
