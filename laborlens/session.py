@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", app: str = "laborlens") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own session."""
-    return (
+def local_session(cores: str = "8", app: str = "laborlens", shared: str | None = None) -> SparkSession:
+    """A local session for tests and the bench; a cluster brings its own session.
+
+    ``shared`` is the folder for checkpoints and the warehouse.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -19,22 +20,23 @@ def local_session(cores: str = "8", app: str = "laborlens") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", f"{shared}/checkpoints").config("spark.sql.warehouse.dir", f"{shared}/warehouse")
+    return builder.getOrCreate()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share: what ``spark.checkpoint.dir`` names, else one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints").rstrip("/")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one only on a local master without it."""
+    """Checkpoints go to the shared folder, never to a machine-local one."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="laborlens-ckpt-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_root(spark))
 
 
 def spread(df: DataFrame) -> DataFrame:

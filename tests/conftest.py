@@ -9,8 +9,8 @@ from laborlens.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session("4", "tests")
+def spark(tmp_path_factory):
+    s = local_session("4", "tests", shared=str(tmp_path_factory.mktemp("shared")))
     s.conf.set("spark.sql.shuffle.partitions", "4")
     s.sparkContext.setLogLevel("ERROR")
     yield s
