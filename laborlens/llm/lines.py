@@ -22,9 +22,9 @@ _EPS = 1e-9
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line, body) of every line, lower-cased; lines end at a line feed; a null text is one empty line."""
-    text = F.translate(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "\t\r\x0b\x0c", "    ")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text, "\n")).alias("line", "body"))
+    """(id, line, body) of every line of a document with an id; lines end at a line feed; a null text is one empty line."""
+    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(parts).alias("line", "body"))
 
 
 def line_words(body: Column) -> Column:
@@ -57,7 +57,7 @@ def ordered_words(body: Column, ranks: list[int]) -> Column:
         return F.shiftleft(rank, 47).bitwiseOR(h.bitwiseAND(F.lit(low)))
 
     pieces = F.array_remove(line_words(body), "")
-    return F.array_sort(F.array_distinct(F.transform(pieces, number)))
+    return F.sort_array(F.array_distinct(F.transform(pieces, number)))
 
 
 def prefix_length(n: Column, similarity: float) -> Column:
@@ -69,22 +69,22 @@ def least_overlap(a: Column, b: Column, similarity: float) -> Column:
 
 
 def described_lines(lines: DataFrame, ranks: list[int], similarity: float) -> DataFrame:
-    """(id, line, s, p, n, prefix, k0..k3) of every line with words.
+    """(id, line, s, p, n, prefix, k0, k1) of every line with words.
 
     ``s`` hashes the set; ``p`` has the parity of the words in each of 64 places, so two sets differ in
-    at least as many words as their ``p`` differ in bits; ``k0..k3`` are sampled words of the set.
+    at least as many words as their ``p`` differ in bits; ``k0`` and ``k1`` are sampled words of the set.
     """
     one = F.lit(1).cast("long")
-    t = lines.select("id", "line", ordered_words(F.col("body"), ranks).alias("t")).filter("size(t) > 0")
+    t = lines.filter(F.btrim("body") != "").select("id", "line", ordered_words(F.col("body"), ranks).alias("t"))
     n = F.size("t")
     parity = F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, (x % 64).cast("int"))))
-    low = F.transform("t", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    t = t.withColumns({"n": n, "s": F.xxhash64("t"), "p": parity, "prefix": F.slice("t", F.lit(1), prefix_length(n, similarity)), "low": low})
-    other = F.transform("low", lambda x: x.bitwiseXOR(F.lit(0x55A55A5A)))
+    t = t.select(
+        "id", "line", F.xxhash64("t").alias("s"), parity.alias("p"), n.alias("n"), F.slice("t", F.lit(1), prefix_length(n, similarity)).alias("prefix"),
+        F.transform("t", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("low"),
+    )
     return t.select(
-        "id", "line", "s", "p", "n",
-        F.transform("prefix", lambda x: F.hash(x)).alias("prefix"),
-        F.array_min("low").alias("k0"), F.array_max("low").alias("k1"), F.array_min(other).alias("k2"), F.array_max(other).alias("k3"),
+        "id", "line", "s", "p", "n", F.transform("prefix", lambda x: F.hash(x)).alias("prefix"),
+        F.array_min("low").alias("k0"), F.array_max("low").alias("k1"),
     )
 
 
@@ -118,7 +118,8 @@ def texts_of(places: DataFrame, lines: DataFrame) -> DataFrame:
     bitmap = places.select(word.alias("_word"), F.call_function("shiftleft", one, bit).alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
     marked = lines.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bitmap), "_word")  # FILTER_WORDS rows at most
     marked = marked.filter(F.call_function("shiftleft", one, F.col("_bit")).bitwiseAND(F.col("_mask")) != 0).select("id", "line", "body")
-    found = marked.join(places, ["id", "line"], "left_semi")
+    # an inner join with distinct places: a semi join would be moved below the bitmap
+    found = marked.join(places, ["id", "line"]).groupBy("id", "line").agg(F.min("body").alias("body"))
     return found.select("id", "line", F.array_distinct(F.array_remove(line_words(F.col("body")), "")).alias("words"))
 
 
@@ -127,17 +128,17 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
     places = pairs.select(F.col("aid").alias("id"), F.col("aline").alias("line")).unionByName(
         pairs.select(F.col("bid").alias("id"), F.col("bline").alias("line"))
     ).distinct()
-    texts = cut(texts_of(places, lines).dropDuplicates(["id", "line"]), "line-texts")
+    texts = cut(texts_of(places, lines), "line-texts")
     a = texts.select(F.col("id").alias("aid"), F.col("line").alias("aline"), F.col("words").alias("wa"))
     b = texts.select(F.col("id").alias("bid"), F.col("line").alias("bline"), F.col("words").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
     counted = pairs.join(a, ["aid", "aline"]).join(b, ["bid", "bline"]).withColumns({"both": both, "na": F.size("wa"), "nb": F.size("wb")})
-    return counted.filter(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= similarity).select("aid", "aline", "bid", "bline")
+    return counted.filter(F.try_divide("both", F.col("na") + F.col("nb") - F.col("both")) >= similarity).select("aid", "aline", "bid", "bline")
 
 
 def sampled_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     """Each class with the first and the most frequent class among those that share a sampled word."""
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in range(4)])).alias("key")
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in range(2)])).alias("key")
     members = classes.select("id", "line", "p", "n", "copies", keys).select("id", "line", "p", "n", "copies", "key.i", "key.k")
     me = F.struct("id", "line", "p", "n")
     common = F.struct(-F.col("copies"), F.col("id"), F.col("line"))
@@ -179,7 +180,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = cut(described_lines(lines, ranks, similarity), "line-sets")
     firsts = rows.groupBy("s", "p").agg(
         F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies"),
-        F.first(F.struct("n", "prefix", "k0", "k1", "k2", "k3")).alias("set"),
+        F.first(F.struct("n", "prefix", "k0", "k1")).alias("set"),
     )
     classes = cut(firsts.select("s", "p", "first.*", "copies", "set.*"), "line-classes")
     early = cut(verified(cut(sampled_pairs(classes, similarity), "line-pairs"), lines, similarity), "line-settled")
@@ -199,10 +200,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_lines, removed) of every document; ``removed`` lists the numbers of its removed lines, from 0.
 
     A line goes if an earlier line of the table has a Jaccard similarity of ``similarity`` or more on
-    their lower-cased words between white space. Lines without words stay. A null text counts as one
-    empty line; equal texts under other ids are later lines like any other. Rows that share an id are
-    judged as one document whose lines of the same number are equal in place: the first of them stays if
-    it stays for any. Rows with a null id are not judged. Empty tables give empty results; other
+    the sets of their pieces between spaces. Lines without words stay. A null text counts as one empty
+    line; equal texts under other ids are later lines like any other. Ids name documents: equal rows
+    under one id are one document, in each of them the same lines stay; of different texts under one id,
+    the smallest line at a place stands for the others. Rows with a null id are not judged. Empty tables give empty results; other
     columns are not read.
     """
     gone = removed_lines(docs, id_col, text_col, similarity)

@@ -63,7 +63,7 @@ FROM g
 SQL["op4_line_dedup"] = r"""
 WITH l AS (
   SELECT doc_id, CAST(i - 1 AS INT) AS line,
-    list_sort(list_filter(list_distinct(string_split(translate(lower(parts[i]), chr(9) || chr(13) || chr(11) || chr(12), '    '), ' ')), lambda x: x <> '')) AS ws
+    list_sort(list_filter(list_distinct(string_split(parts[i], ' ')), lambda x: x <> '')) AS ws
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(generate_series(1, len(parts))) AS g(i)),
 c AS (
   SELECT ws, len(ws) AS n, min((doc_id, line)) AS first, row_number() OVER () AS c FROM l WHERE len(ws) > 0 GROUP BY ws),
