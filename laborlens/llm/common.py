@@ -123,7 +123,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     inside = np.zeros(len(raw) + 2, bool)
     inside[1:-1] = _is_word[raw]
     edge = inside[1:] != inside[:-1]
-    cutting = offsets[1:-1]  # texts touch: a word never crosses from one to the next
+    cutting = np.unique(offsets[1:-1])  # texts touch: a word never crosses from one to the next
     cutting = cutting[(cutting > 0) & (cutting < len(raw))]
     both = cutting[inside[cutting] & inside[cutting + 1]]
     places = np.flatnonzero(edge)
