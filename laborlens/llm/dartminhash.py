@@ -204,19 +204,29 @@ def exact_similarity(pairs: DataFrame, lists: DataFrame, weighted: bool) -> Data
     return pairs.join(a, "a").join(b, "b").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def own_shares(lists: DataFrame, weighted: bool) -> DataFrame:
-    """(id, total, common) of the texts in ``lists``: all shingles, and those that another of them has too.
+def crossing_pairs(texts: DataFrame, lists: DataFrame, similarity: float, weighted: bool) -> DataFrame:
+    """(a, b) of all pairs of (id, component) texts of different components that may be similar enough.
 
-    Two of these texts have no more in common than the smaller ``common``.
+    A prefix-filtered join: shingles are ordered by how many of these texts have them, rarest first; two
+    similar texts share a shingle among their first, at places after which enough shingles are left. What
+    all near copies of a text have in common stands last and joins nothing.
     """
-    grams = lists.select("id", F.explode(F.arrays_zip("grams", "counts")).alias("g")).select(
-        "id", F.col("g.grams").alias("gram"), (F.col("g.counts") if weighted else F.lit(1)).cast("long").alias("weight")
-    )
-    alone = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.sum("weight").alias("weight"))
-    own = alone.filter("n = 1").groupBy("id").agg(F.sum("weight").alias("own"))
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x) if weighted else F.size("grams").cast("long")
-    sizes = lists.select("id", total.alias("total"))
-    return sizes.join(own, "id", "left").select("id", "total", (F.col("total") - F.coalesce("own", F.lit(0))).alias("common"))
+    each = lists.join(texts.select("id"), "id", "left_semi").select("id", F.explode(F.arrays_zip("grams", "counts")).alias("g"))
+    turn = F.explode(F.sequence(F.lit(1), F.col("g.counts"))) if weighted else F.lit(1)  # a repeated shingle counts as several
+    each = each.select("id", F.col("g.grams").alias("gram"), turn.alias("turn")).select("id", F.xxhash64("gram", "turn").alias("e"))
+    each = cut(each, "dart-elements")
+    spread = each.groupBy("e").agg(F.count("*").alias("df"))
+    order = each.join(spread, "e").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    n = F.size("es")
+    first = F.slice("es", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
+    posts = order.select("id", n.alias("n"), F.posexplode(first).alias("at", "x")).filter("x.df > 1")  # one alone joins nothing
+    posts = posts.join(texts, "id").select("id", "component", "n", "at", F.col("x.e").alias("e"))
+    a, b = posts.alias("a"), posts.alias("b")
+    both, size = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")), F.col("a.n") + F.col("b.n")
+    near = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * similarity - 1e-9
+    other = (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
+    met = a.join(b, (F.col("a.e") == F.col("b.e")) & other & near & (both >= F.ceil(size * (similarity / (1 + similarity)) - 1e-9)))
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -231,9 +241,9 @@ def near_duplicates(
 
     Texts are compared by the Jaccard similarity of their word shingles, of sets or, ``weighted``, of
     multisets. Equal texts form a class at once; of the others, those that share a band are compared,
-    first with the smallest id of the band and with the text that shares most bands, then with each text
-    of the band that is in another group, unless too much of one of them is its own. A group is named by
-    its smallest id. Texts without words, null or empty, are alone. Repeated rows
+    first with the smallest id of the band and with the text that shares most bands. Texts of bands that
+    are not one group then are compared across groups, where their rarest shingles meet. A group is named
+    by its smallest id. Texts without words, null or empty, are alone. Repeated rows
     stay as many; rows that share an id share a group; a row without id has no class. An empty table
     gives an empty result; other columns are not read.
     """
@@ -259,19 +269,12 @@ def near_duplicates(
     tested = cut(exact_similarity(pairs, lists, weighted), "dart-tested")
     edges = tested.filter(F.col("similarity") >= similarity).select("a", "b").unionByName(copies).distinct()
     named = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    # bands whose texts are not all of one group yet: compare the rest of their pairs
+    # bands whose texts are not all of one group yet: compare what is left across the groups
     labelled = met.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     mixed = mixed.filter("lo <> hi and n > 2").select("band", "key")  # two texts alone are compared already
-    open_ = cut(labelled.join(mixed, ["band", "key"]).select("band", "key", "id", "component"), "dart-open")
-    open_ = open_.join(own_shares(lists.join(open_.select("id").distinct(), "id", "left_semi"), weighted), "id")
-    open_ = open_.filter(F.col("total") * similarity <= F.col("common"))  # what is its own alone keeps others from any link
-    a, b = open_.alias("a"), open_.alias("b")
-    both = F.least("a.common", "b.common")  # no two texts have more in common
-    linked = both >= similarity * (F.col("a.total") + F.col("b.total") - both) - 1e-9
-    other = (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
-    same_band = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
-    rest = a.join(b, same_band & other & linked).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    open_ = cut(labelled.join(mixed, ["band", "key"]).select("id", "component").distinct(), "dart-open")
+    rest = crossing_pairs(open_, lists, similarity, weighted)
     rest = cut(rest.join(pairs, ["a", "b"], "left_anti"), "dart-rest")
     late = exact_similarity(rest, lists, weighted).filter(F.col("similarity") >= similarity).select("a", "b")
     late = cut(late, "dart-late")
