@@ -29,10 +29,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later jobs survive lost executors."""
+    """Write ``df`` to the shared folder and read it back: later jobs survive lost executors.
+
+    What the write shuffled is not needed again; a collection on the driver lets Spark's cleaner drop
+    these files now and not some time later.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

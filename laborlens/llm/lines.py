@@ -48,13 +48,12 @@ def rarity_ranks(lines: DataFrame) -> list[int]:
 
 def ordered_words(body: Column, ranks: list[int]) -> Column:
     """Distinct words of a line as 63-bit numbers, rarest first: rank of the digest, then the rest of the hash."""
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded into one constant
+    table = F.split(F.lit(",".join(str(r << 47) for r in ranks)), ",").cast("array<bigint>")  # folded into one constant
     low = (1 << 47) - 1
 
     def number(word: Column) -> Column:
         h = F.xxhash64(word)
-        rank = F.get(table, F.shiftrightunsigned(h, 48).cast("int"))
-        return F.shiftleft(rank, 47).bitwiseOR(h.bitwiseAND(F.lit(low)))
+        return F.get(table, F.shiftrightunsigned(h, 48).cast("int")).bitwiseOR(h.bitwiseAND(F.lit(low)))
 
     pieces = F.array_remove(line_words(body), "")
     return F.sort_array(F.array_distinct(F.transform(pieces, number)))
@@ -77,13 +76,14 @@ def described_lines(lines: DataFrame, ranks: list[int], similarity: float) -> Da
     one = F.lit(1).cast("long")
     t = lines.filter(F.btrim("body") != "").select("id", "line", ordered_words(F.col("body"), ranks).alias("t"))
     n = F.size("t")
-    parity = F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, (x % 64).cast("int"))))
+    # a shift by a word shifts by its last six bits
+    parity = F.aggregate("low", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x)))
     t = t.select(
-        "id", "line", F.xxhash64("t").alias("s"), parity.alias("p"), n.alias("n"), F.slice("t", F.lit(1), prefix_length(n, similarity)).alias("prefix"),
+        "id", "line", F.xxhash64("t").alias("s"), n.alias("n"), F.slice("t", F.lit(1), prefix_length(n, similarity)).alias("prefix"),
         F.transform("t", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("low"),
     )
     return t.select(
-        "id", "line", "s", "p", "n", F.transform("prefix", lambda x: F.hash(x)).alias("prefix"),
+        "id", "line", "s", parity.alias("p"), "n", F.transform("prefix", lambda x: F.hash(x)).alias("prefix"),
         F.array_min("low").alias("k0"), F.array_max("low").alias("k1"),
     )
 
