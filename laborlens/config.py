@@ -47,7 +47,7 @@ class ModelConfig:
 
 DEFAULT = ModelConfig()
 
-# A skill-led version: every pair it keeps shares a skill, so the pair join is exact.
+# A skill-led version: of postings that list skills it keeps pairs only that share one.
 SKILL_LED = ModelConfig(weights=dict(zip(COMPONENTS, (60.0, 10.0, 10.0, 5.0, 5.0, 10.0))))
 
 CONFIG_SCHEMA = (

@@ -41,10 +41,12 @@ def recency_factor(last_used: Column, cfg: ModelConfig, year: int) -> Column:
 
 def candidate_side(
     profiles: DataFrame, skills: DataFrame, languages: DataFrame, broader: DataFrame,
-    cfg: ModelConfig, year: int,
+    cfg: ModelConfig, year: int, vectors: DataFrame | None = None,
 ) -> DataFrame:
     """One row per candidate: allow-listed profile columns, languages and skill credit by key.
 
+    ``vectors`` (user_id, vector) has a vector per experience.
+
     Every skill answers to its own uri and to its parents. Two skills are the same or related
     exactly when these key sets meet, so no table of related pairs is ever built. ``c_own`` maps
     a uri to the factor of the last such skill; ``c_near`` maps a key to the first skill (by
@@ -82,15 +84,22 @@ def candidate_side(
             )
         ],
     )
-    return (
-        base.join(own, "user_id", "left").join(near, "user_id", "left").join(spoken, "user_id", "left")
-    )
+    side = base.join(own, "user_id", "left").join(near, "user_id", "left").join(spoken, "user_id", "left")
+    if vectors is not None:
+        lived = vectors.filter("vector is not null").groupBy("user_id").agg(F.collect_list("vector").alias("c_vectors"))
+        side = side.join(lived, "user_id", "left")
+    return side
 
 
 def posting_side(
-    jobs: DataFrame, skills: DataFrame, languages: DataFrame, companies: DataFrame, broader: DataFrame
+    jobs: DataFrame, skills: DataFrame, languages: DataFrame, companies: DataFrame, broader: DataFrame,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per posting: ordered skills with their keys, language demands, company facts."""
+    """One row per posting: ordered skills with their keys, language demands, company facts.
+
+    ``vectors`` (job_id, vector) has the vector of a posting. ``j_listed`` and ``j_must`` count its
+    skills, so the skills themselves need not travel with every pair.
+    """
     listed = (
         skills.join(skill_families(broader), "uri", "left")
         .withColumn("keys", F.array_union(F.array("uri"), F.coalesce("parents", F.array().cast("array<bigint>"))))
@@ -113,22 +122,63 @@ def posting_side(
             )
         ],
     )
-    return (
+    side = (
         base.join(firms, "company_id", "left").drop("company_id")
         .join(listed, "job_id", "left").join(asked, "job_id", "left")
     )
+    if vectors is not None:
+        side = side.join(vectors.select("job_id", F.col("vector").alias("j_vector")), "job_id", "left")
+    return side.withColumns(
+        {
+            "j_listed": F.coalesce(F.size("j_skills"), F.lit(0)),
+            "j_must": F.coalesce(F.size(F.filter("j_skills", lambda s: s["importance"] == "must")), F.lit(0)),
+        }
+    ).withColumn("j_listed", F.greatest("j_listed", F.lit(0))).withColumn("j_must", F.greatest("j_must", F.lit(0)))
 
 
-def join_pairs(pairs: DataFrame, candidates: DataFrame, postings: DataFrame) -> DataFrame:
-    """Attach both sides to the pair table. ``travel_minutes`` is estimated when not given.
+def skill_hits(candidates: DataFrame, postings: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(user_id, job_id, j_hits): the posting's skills that the candidate has or has a relative of.
 
-    The posting comes first: its row is small, so the second shuffle moves little, and the wide
-    candidate row with its credit maps is attached last and never shuffled per pair.
+    One equi-join on the key sets; with ``pairs`` only their candidates and postings meet. Each hit
+    has the factor of the candidate's own skill (``exact``) and of the first related one (``near``).
+    """
+    mine = candidates.select("user_id", "c_own", F.explode("c_near").alias("key", "first")).select(
+        "user_id", "key", "first", F.try_element_at("c_own", "key").alias("own")
+    )
+    asked = postings.select("job_id", F.explode("j_skills").alias("s")).select(
+        "job_id", "s.pos", "s.uri", "s.label", "s.importance", F.explode("s.keys").alias("key")
+    )
+    if pairs is None:
+        met = salted_join(mine, asked, "key", "user_id")
+    else:
+        wanted = pairs.select("user_id", "job_id").distinct()
+        met = wanted.join(mine, "user_id").join(asked, ["job_id", "key"])
+    one = met.groupBy("user_id", "job_id", "pos", "uri", "label", "importance").agg(
+        F.max(F.when(F.col("key") == F.col("uri"), F.col("own"))).alias("exact"), F.min("first")["factor"].alias("near")
+    )
+    hit = F.struct("pos", "uri", "label", "importance", "exact", "near")
+    return one.groupBy("user_id", "job_id").agg(F.array_sort(F.collect_list(hit)).alias("j_hits"))
+
+
+def join_pairs(
+    pairs: DataFrame, candidates: DataFrame, postings: DataFrame, hits: DataFrame | None = None, listed: bool = True
+) -> DataFrame:
+    """Attach both sides and the skill hits to the pair table.
+
+    ``travel_minutes`` is estimated when not given, ``similarity`` is the best cosine of the
+    candidate's experiences and the posting when both sides carry vectors. The list of the posting's
+    skills is needed for the gaps only; without ``listed`` it stays behind.
     """
     for name, kind in (("similarity", "double"), ("travel_minutes", "double")):
         if name not in pairs.columns:
             pairs = pairs.withColumn(name, F.lit(None).cast(kind))
-    f = pairs.join(postings, "job_id").join(candidates, "user_id")
+    hits = skill_hits(candidates, postings, pairs) if hits is None else hits
+    f = pairs.join(postings if listed else postings.drop("j_skills"), "job_id")
+    f = f.join(candidates.drop("c_own", "c_near"), "user_id").join(hits, ["user_id", "job_id"], "left")
+    if "c_vectors" in candidates.columns and "j_vector" in postings.columns:
+        best = F.array_max(F.transform("c_vectors", lambda v: N.cosine(v, F.col("j_vector"))))
+        best = F.when(F.col("j_vector").isNotNull(), best)
+        f = f.withColumn("similarity", F.coalesce("similarity", best)).drop("c_vectors", "j_vector")
     km = N.haversine_km(*[F.col(c) for c in ("c_lat", "c_lng", "j_lat", "j_lng")])
     return f.withColumn(
         "travel_minutes",
@@ -136,17 +186,8 @@ def join_pairs(pairs: DataFrame, candidates: DataFrame, postings: DataFrame) ->
     )
 
 
-def evidence_pairs(
-    candidates: DataFrame, postings: DataFrame, cfg: ModelConfig, evidence_only: bool = False
-) -> DataFrame:
-    """Distinct pairs whose candidate and posting share a skill or a skill family.
-
-    With a model whose skills weight exceeds ``100 - possible`` no other pair can be kept, so
-    scoring these pairs gives the same kept matches as scoring all pairs. For other models the
-    caller must say that evidence pairs are all it wants.
-    """
-    if not evidence_only and not cfg.skill_evidence_is_exact():
-        raise ValueError("this model can keep pairs without skill evidence; pass a pair table")
+def evidence_pairs(candidates: DataFrame, postings: DataFrame) -> DataFrame:
+    """Distinct pairs whose candidate and posting share a skill or a skill family."""
     left = candidates.select("user_id", F.explode(F.map_keys("c_near")).alias("key"))
     right = postings.select(
         "job_id", F.explode(F.array_distinct(F.flatten(F.transform("j_skills", lambda s: s["keys"])))).alias("key")
@@ -154,6 +195,29 @@ def evidence_pairs(
     return salted_join(left, right, "key", "user_id").select("user_id", "job_id").distinct()
 
 
+PAIR_BLOCKS = 64  # postings are dealt out to so many blocks; every block meets all candidates
+
+
+def every_pair(candidates: DataFrame, postings: DataFrame) -> DataFrame:
+    """All pairs, block by block: no task holds more than a block of postings and a share of the candidates."""
+    block = F.pmod(F.xxhash64("job_id"), F.lit(PAIR_BLOCKS)).cast("int")
+    users = candidates.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1))).alias("_block"))
+    return users.join(postings.select("job_id", block.alias("_block")), "_block").select("user_id", "job_id")
+
+
+def candidate_pairs(candidates: DataFrame, postings: DataFrame, cfg: ModelConfig) -> DataFrame:
+    """Every pair that the model may keep.
+
+    If the skills weight exceeds ``100 - possible``, a posting that lists skills is kept for those
+    only who share one; a posting without skills meets everybody. Other models may keep any pair, so
+    all pairs are scored.
+    """
+    if not cfg.skill_evidence_is_exact():
+        return every_pair(candidates, postings)
+    bare = every_pair(candidates, postings.filter("j_listed = 0"))
+    return evidence_pairs(candidates, postings.filter("j_listed > 0")).unionByName(bare)
+
+
 # --- rules --------------------------------------------------------------------------------
 
 
@@ -280,38 +344,36 @@ def ko_all(cfg: ModelConfig = DEFAULT) -> Column:
 
 
 def skill_credits(cfg: ModelConfig = DEFAULT) -> Column:
-    """Per posting skill: weight, credit and whether it is matched, related or missing."""
+    """Per matched or related skill of the posting: weight, credit and status, in the posting's order."""
 
     def one(s: Column) -> Column:
-        near = F.array_min(
-            F.array_compact(F.transform(s["keys"], lambda k: F.try_element_at(F.col("c_near"), k)))
-        )
+        credit = F.coalesce(s["exact"], s["near"] * cfg.related_credit, F.lit(0.0))
         weight = F.when(s["importance"] == "must", cfg.must_weight).otherwise(cfg.nice_weight)
+        return F.struct(
+            s["pos"].alias("pos"), s["uri"].alias("uri"), s["label"].alias("label"),
+            s["importance"].alias("importance"), weight.alias("weight"), credit.alias("credit"),
+            F.when(s["exact"].isNotNull(), "matched").otherwise("related").alias("status"),
+        )
+
+    counted = F.filter("j_hits", lambda s: s["exact"].isNotNull() | (s["near"] * cfg.related_credit > 0))
+    return F.coalesce(F.transform(counted, one), F.array().cast(CREDITS))
 
-        def judged(exact: Column) -> Column:
-            credit = F.when(exact.isNotNull(), exact).otherwise(
-                F.coalesce(near["factor"] * cfg.related_credit, F.lit(0.0))
-            )
-            return N.let(
-                credit,
-                lambda c: F.struct(
-                    s["pos"].alias("pos"), s["uri"].alias("uri"), s["label"].alias("label"),
-                    s["importance"].alias("importance"), weight.alias("weight"), c.alias("credit"),
-                    F.when(exact.isNotNull(), "matched").when(c > 0, "related").otherwise("missing").alias("status"),
-                ),
-            )
 
-        return N.let(F.try_element_at(F.col("c_own"), s["uri"]), judged)
+CREDITS = "array<struct<pos:int,uri:bigint,label:string,importance:string,weight:double,credit:double,status:string>>"
 
-    return F.transform("j_skills", one)
 
+def skills_weight(cfg: ModelConfig = DEFAULT) -> Column:
+    """Weight of all skills that the posting lists."""
+    return F.col("j_must") * cfg.must_weight + (F.col("j_listed") - F.col("j_must")) * cfg.nice_weight
 
-def skills_score() -> Column:
-    def add(field):
-        return F.aggregate(F.transform("skill_credits", field), F.lit(0.0), lambda a, x: a + x)
 
-    total = add(lambda s: s["weight"])
-    return F.when(total > 0, add(lambda s: s["weight"] * s["credit"]) / total)
+def skills_earned() -> Column:
+    return F.aggregate("skill_credits", F.lit(0.0), lambda a, s: a + s["weight"] * s["credit"])
+
+
+def skills_score(cfg: ModelConfig = DEFAULT) -> Column:
+    total = skills_weight(cfg)
+    return F.when(total > 0, skills_earned() / F.nullif(total, F.lit(0.0)))
 
 
 def experience_score(cfg: ModelConfig = DEFAULT) -> Column:
@@ -431,7 +493,7 @@ def with_components(f: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
     )
     return f.withColumns(
         {
-            "s_skills": skills_score(),
+            "s_skills": skills_score(cfg),
             "s_experience": experience_score(cfg),
             "s_occupation": occupation_score(),
             "s_interests": interests_score(),
@@ -489,7 +551,17 @@ def must_first(skills: Column) -> Column:
 
 
 def skill_gaps() -> Column:
-    return must_first(F.filter("skill_credits", lambda s: s["status"] != "matched"))
+    """Related and missing skills of the posting, must before nice."""
+    found = F.transform("skill_credits", lambda s: s["pos"])
+    related = F.filter("skill_credits", lambda s: s["status"] == "related")
+    missing = F.transform(
+        F.filter("j_skills", lambda s: ~F.array_contains(found, s["pos"])),
+        lambda s: F.struct(
+            s["pos"].alias("pos"), s["uri"].alias("uri"), s["label"].alias("label"), s["importance"].alias("importance"),
+            F.lit(0.0).alias("weight"), F.lit(0.0).alias("credit"), F.lit("missing").alias("status"),
+        ),
+    )
+    return must_first(F.array_sort(F.concat(related, F.coalesce(missing.cast(CREDITS), F.array().cast(CREDITS)))))
 
 
 def reason_list() -> Column:
@@ -504,9 +576,8 @@ def reason_list() -> Column:
         key = F.lit(key) if isinstance(key, str) else key
         return F.when(ok, F.struct((-strength).alias("minus"), key.alias("key"), body.alias("params")))
 
-    skills = F.col("skill_credits")
-    matched = F.filter(skills, lambda s: s["status"] == "matched")
-    musts = F.size(F.filter(skills, lambda s: s["importance"] == "must"))
+    matched = F.filter("skill_credits", lambda s: s["status"] == "matched")
+    musts = F.col("j_must")
     must_hits = F.size(F.filter(matched, lambda s: s["importance"] == "must"))
     names = F.filter(F.transform(must_first(matched), lambda s: s["label"]), lambda x: x.isNotNull() & (x != ""))
     examples = F.array_join(F.slice(F.transform(names, short_label), 1, 2), ", ")
@@ -520,7 +591,7 @@ def reason_list() -> Column:
     candidates = F.array(
         reason(good_skills & all_must, "reason.skillsAllMust", sp + 2.0, count=musts, examples=examples),
         reason(good_skills & ~all_must, "reason.skills", sp,
-               matched=F.size(matched), total=F.size(skills), examples=examples),
+               matched=F.size(matched), total=F.col("j_listed"), examples=examples),
         reason(shown("experience", "s", 3) >= 0.6, "reason.experience", shown("experience", "p", 1)),
         reason(F.col("s_occupation").isNotNull() & (family >= 1), "reason.occupationSame", op),
         reason(F.col("s_occupation").isNotNull() & (family >= 0.5) & (family < 1), "reason.occupationRelated", op * 0.8),
@@ -642,9 +713,11 @@ def recompute(
 ) -> DataFrame:
     """Kept matches of all candidates against all postings (or against a given pair table)."""
     if pairs is None:
-        pairs = evidence_pairs(candidates, postings, cfg)
-    totals = total_scores(join_pairs(pairs, candidates, postings), cfg)
-    return explain_scores(keep_matches(totals, cfg), cfg)
+        pairs, hits = candidate_pairs(candidates, postings, cfg), skill_hits(candidates, postings)
+    else:
+        hits = skill_hits(candidates, postings, pairs)
+    kept = keep_matches(total_scores(join_pairs(pairs, candidates, postings, hits, listed=False), cfg), cfg)
+    return explain_scores(kept.join(postings.select("job_id", "j_skills"), "job_id"), cfg)
 
 
 def sync_matches(stored: DataFrame, kept: DataFrame, evaluated_jobs: DataFrame, evaluated_users: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def work_values():
     return F.when(F.col("w_achievement").isNotNull(), made)
 
 
-def candidates(t, cfg=DEFAULT) -> DataFrame:
+def candidates(t, cfg=DEFAULT, vectors: bool = False) -> DataFrame:
     profiles = t("v_candidates").withColumns(
         {
             "employment": csv("employment_csv"), "sizes": csv("sizes_csv"), "types": csv("types_csv"),
@@ -35,16 +35,18 @@ def candidates(t, cfg=DEFAULT) -> DataFrame:
         }
     )
     skills = t("v_candidate_skills").withColumn("pos", F.col("uri"))
-    return M.candidate_side(profiles, skills, t("v_candidate_languages"), t("v_skill_broader"), cfg, YEAR)
+    vectors = t("v_candidate_vectors") if vectors else None
+    return M.candidate_side(profiles, skills, t("v_candidate_languages"), t("v_skill_broader"), cfg, YEAR, vectors)
 
 
-def postings(t, jobs: DataFrame | None = None) -> DataFrame:
+def postings(t, jobs: DataFrame | None = None, vectors: bool = False) -> DataFrame:
     jobs = t("v_jobs") if jobs is None else jobs
     jobs = jobs.withColumns(
         {"employment": csv("employment_csv"), "riasec": riasec(), "work_values": work_values()}
     )
     skills = t("v_job_skills").join(t("v_skills").select("uri", F.col("label_en").alias("label")), "uri", "left")
-    return M.posting_side(jobs, skills, t("v_job_languages"), t("v_companies"), t("v_skill_broader"))
+    vectors = t("v_job_vectors") if vectors else None
+    return M.posting_side(jobs, skills, t("v_job_languages"), t("v_companies"), t("v_skill_broader"), vectors)
 
 
 def pairs(t, cfg=DEFAULT) -> DataFrame:
@@ -154,17 +156,13 @@ def _(t):
         "user_id", "job_id", F.col("s_skills").alias("score"),
         n(lambda s: s["status"] == "matched").alias("matched"),
         n(lambda s: (s["status"] == "matched") & (s["importance"] == "must")).alias("must_matched"),
-        n(lambda s: s["status"] == "related").alias("related"), n(lambda s: s["status"] == "missing").alias("missing"))
+        n(lambda s: s["status"] == "related").alias("related"), (F.col("j_listed") - F.size("skill_credits")).cast("bigint").alias("missing"))
 
 
-@query("agg_skill_credit", """SELECT user_id, job_id, sum(w * coalesce(exact, near, 0) ORDER BY pos) AS earned, sum(w) AS total
- FROM o_credit GROUP BY 1, 2""")
+@query("agg_skill_credit", "SELECT user_id, job_id, earned, total FROM o_skill")
 def _(t):
-    def add(field):
-        return F.aggregate(F.transform("skill_credits", field), F.lit(0.0), lambda a, x: a + x)
-
     f = pairs(t).withColumn("skill_credits", M.skill_credits())
-    return f.select("user_id", "job_id", add(lambda s: s["weight"] * s["credit"]).alias("earned"), add(lambda s: s["weight"]).alias("total"))
+    return f.select("user_id", "job_id", M.skills_earned().alias("earned"), M.skills_weight().alias("total"))
 
 
 def credit_rows(t, status):
@@ -173,12 +171,12 @@ def credit_rows(t, status):
     return rows.select("user_id", "job_id", "s.uri", "s.importance", "s.credit")
 
 
-@query("join_skill_exact", """SELECT user_id, job_id, uri, importance, exact AS credit FROM o_credit WHERE exact IS NOT NULL""")
+@query("join_skill_exact", """SELECT user_id, job_id, uri, importance, exact AS credit FROM o_exact""")
 def _(t):
     return credit_rows(t, "matched")
 
 
-@query("join_skill_related", """SELECT user_id, job_id, uri, importance, near AS credit FROM o_credit WHERE exact IS NULL AND near > 0""")
+@query("join_skill_related", """SELECT user_id, job_id, uri, importance, near AS credit FROM o_hit WHERE exact IS NULL AND near > 0""")
 def _(t):
     return credit_rows(t, "related")
 
@@ -380,9 +378,10 @@ def _(t):
 # --- recomputation ----------------------------------------------------------------------
 
 
-def full(t) -> DataFrame:
-    people = candidates(t, SKILL_LED).join(onboarded(t), "user_id", "left_semi")
-    return M.recompute(people, postings(t, matchable(t)), SKILL_LED)
+def full(t, jobs: DataFrame | None = None) -> DataFrame:
+    """All onboarded candidates against the matchable postings under the default model."""
+    people = candidates(t, vectors=True).join(onboarded(t), "user_id", "left_semi")
+    return M.recompute(people, postings(t, matchable(t) if jobs is None else jobs, vectors=True), DEFAULT)
 
 
 KEPT = """SELECT t.user_id, t.job_id, total_score, label, knocked_out, limited_data
@@ -401,7 +400,7 @@ def _(t):
  WHERE p.onboarded_at IS NOT NULL AND j.status = 'published' AND j.is_golden""")
 def _(t):
     people = candidates(t, SKILL_LED).join(onboarded(t), "user_id", "left_semi")
-    return M.evidence_pairs(people, postings(t, matchable(t)), SKILL_LED)
+    return M.candidate_pairs(people, postings(t, matchable(t)), SKILL_LED)
 
 
 def touched(t) -> DataFrame:
@@ -414,9 +413,8 @@ def touched(t) -> DataFrame:
 @query("match_recompute_delta", KEPT.replace("WHERE", """JOIN v_jobs j ON j.job_id = t.job_id
  WHERE j.last_seen >= (SELECT max(last_seen) FROM v_jobs) - INTERVAL 30 DAY AND""").replace(" AND total_score", " AND total_score"))
 def _(t):
-    people = candidates(t, SKILL_LED).join(onboarded(t), "user_id", "left_semi")
     live = matchable(t).join(touched(t).select("job_id"), "job_id", "left_semi")
-    return M.recompute(people, postings(t, live), SKILL_LED).select(*RESULT)
+    return full(t, live).select(*RESULT)
 
 
 @query("sink_match_sync", f"""SELECT user_id, job_id, total_score, label, knocked_out, limited_data FROM ({KEPT}) a

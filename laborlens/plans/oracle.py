@@ -103,6 +103,23 @@ SELECT *, (language = 'fail' OR location IN ('remoteOnly', 'remoteOnlyHybrid', '
   OR contract IN ('type', 'tooManyHours', 'tooFewHours') OR education = 'below') AS knocked_out,
   CAST(language = 'unknown' AS INT) + CAST(location = 'unknown' AS INT) + CAST(salary = 'unknown' AS INT)
   + CAST(contract = 'unknown' AS INT) + CAST(education = 'unknown' AS INT) AS unknowns FROM {tag}_rules
+"""
+    P[f"{tag}_exact"] = f"""
+SELECT p.user_id, p.job_id, s.pos, s.uri, s.importance, e.factor AS exact
+FROM {tag}_pair p JOIN o_factor e ON e.user_id = p.user_id JOIN v_job_skills s ON s.job_id = p.job_id AND s.uri = e.uri
+"""
+    P[f"{tag}_near"] = f"""
+SELECT m.*, f.factor * CAST(0.5 AS DOUBLE) AS near FROM (
+  SELECT p.user_id, p.job_id, s.pos, s.uri, s.importance, min(c.uri) AS first_uri
+  FROM {tag}_pair p JOIN v_candidate_skills c ON c.user_id = p.user_id JOIN o_related r ON r.a = c.uri
+  JOIN v_job_skills s ON s.job_id = p.job_id AND s.uri = r.b GROUP BY 1, 2, 3, 4, 5) m
+JOIN o_factor f ON f.user_id = m.user_id AND f.uri = m.first_uri
+"""
+    P[f"{tag}_hit"] = f"""
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.job_id, b.job_id) AS job_id, coalesce(a.pos, b.pos) AS pos,
+  coalesce(a.uri, b.uri) AS uri, coalesce(a.importance, b.importance) AS importance,
+  CASE WHEN coalesce(a.importance, b.importance) = 'must' THEN 2 ELSE 1 END AS w, a.exact, b.near
+FROM {tag}_exact a FULL JOIN {tag}_near b ON a.user_id = b.user_id AND a.job_id = b.job_id AND a.pos = b.pos
 """
     P[f"{tag}_credit"] = f"""
 SELECT p.user_id, p.job_id, s.pos, s.uri, s.importance, CASE WHEN s.importance = 'must' THEN 2 ELSE 1 END AS w,
@@ -116,11 +133,15 @@ LEFT JOIN (SELECT p2.user_id, p2.job_id, s2.uri, min(c2.uri) AS first_uri
 LEFT JOIN o_factor f ON f.user_id = p.user_id AND f.uri = m.first_uri
 """
     P[f"{tag}_skill"] = f"""
-SELECT user_id, job_id, sum(w * coalesce(exact, near, 0) ORDER BY pos) / sum(w) AS s_skills,
-  count(*) AS skills_total, count(exact) AS matched, count(*) FILTER (importance = 'must') AS must_total,
-  count(exact) FILTER (importance = 'must') AS must_matched,
-  count(*) FILTER (exact IS NULL AND near > 0) AS related, count(*) FILTER (exact IS NULL AND coalesce(near, 0) = 0) AS missing
-FROM {tag}_credit GROUP BY 1, 2
+SELECT p.user_id, p.job_id, coalesce(h.earned, 0) / j.w AS s_skills, coalesce(h.earned, CAST(0 AS DOUBLE)) AS earned, j.w AS total,
+  j.n AS skills_total, coalesce(h.matched, 0) AS matched, j.musts AS must_total, coalesce(h.must_matched, 0) AS must_matched,
+  coalesce(h.related, 0) AS related, j.n - coalesce(h.matched, 0) - coalesce(h.related, 0) AS missing
+FROM {tag}_pair p
+JOIN (SELECT job_id, count(*) AS n, count(*) FILTER (importance = 'must') AS musts,
+        CAST(sum(CASE WHEN importance = 'must' THEN 2 ELSE 1 END) AS DOUBLE) AS w FROM v_job_skills GROUP BY job_id) j ON j.job_id = p.job_id
+LEFT JOIN (SELECT user_id, job_id, sum(w * coalesce(exact, near) ORDER BY pos) AS earned, count(exact) AS matched,
+        count(exact) FILTER (importance = 'must') AS must_matched, count(*) FILTER (exact IS NULL AND near > 0) AS related
+        FROM {tag}_hit GROUP BY 1, 2) h ON h.user_id = p.user_id AND h.job_id = p.job_id
 """
     P[f"{tag}_family"] = f"""
 SELECT user_id, job_id, max(CASE WHEN c = isco_code THEN CAST(1 AS DOUBLE) WHEN left(c, 3) = left(isco_code, 3) THEN 0.75
@@ -206,7 +227,11 @@ scored("l", "v_pairs", "p.similarity", SKILL_LED_WEIGHTS)
 
 # Every onboarded candidate with every published golden posting, for the full recompute.
 ORACLE_PARTS["x_all"] = """
-SELECT p.user_id, j.job_id FROM v_profiles p CROSS JOIN v_jobs j
+SELECT p.user_id, j.job_id, s.sim AS similarity FROM v_profiles p CROSS JOIN v_jobs j LEFT JOIN (
+  SELECT c.user_id, b.job_id, max(list_dot_product(c.v, b.v) / sqrt(list_dot_product(c.v, c.v) * list_dot_product(b.v, b.v))) AS sim
+  FROM (SELECT user_id, CAST(vector AS DOUBLE[]) AS v FROM v_candidate_vectors) c
+  CROSS JOIN (SELECT job_id, CAST(vector AS DOUBLE[]) AS v FROM v_job_vectors WHERE job_id IN (SELECT job_id FROM v_jobs)) b
+  GROUP BY 1, 2) s ON s.user_id = p.user_id AND s.job_id = j.job_id
 WHERE p.onboarded_at IS NOT NULL AND j.status = 'published' AND j.is_golden
 """
-scored("x", "x_all", "CAST(NULL AS DOUBLE)", SKILL_LED_WEIGHTS)
+scored("x", "x_all", "p.similarity", DEFAULT_WEIGHTS)

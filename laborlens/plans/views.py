@@ -93,7 +93,7 @@ SELECT job_id, uri, CAST(rn AS INT) AS pos, CASE WHEN rn <= 5 THEN 'must' ELSE '
 FROM (
   SELECT job_id, uri, row_number() OVER (PARTITION BY job_id ORDER BY qty DESC, uri) AS rn
   FROM (SELECT l_suppkey AS job_id, l_partkey AS uri, sum(l_quantity) AS qty FROM lineitem GROUP BY l_suppkey, l_partkey) s
-) r WHERE rn <= 8
+) r
 """
 
 # Small families: every parent has at most four children, however large the table is.
@@ -184,6 +184,17 @@ SELECT s_suppkey AS job_id, 3 AS pos, 'de' AS language, 'B1' AS level, TRUE AS r
 FROM supplier WHERE s_suppkey % 10 = 7
 """
 
+# A vector per experience of a candidate, and one per posting.
+VIEWS["v_candidate_vectors"] = """
+SELECT vec_id AS user_id, 1 AS pos, embedding AS vector FROM embeddings
+UNION ALL
+SELECT vec_id * 2 AS user_id, 2 AS pos, embedding AS vector FROM embeddings
+"""
+
+VIEWS["v_job_vectors"] = """
+SELECT vec_id AS job_id, embedding AS vector FROM embeddings
+"""
+
 # Candidate and posting pairs that occur together in the order lines; similarity in 0.70..0.999.
 VIEWS["v_pairs"] = f"""
 SELECT user_id, job_id, qty,
@@ -232,8 +243,8 @@ SELECT application_id, user_id, job_id,
   {pick("application_id", *q("saved", "applied", "interview", "offer", "rejected"))} AS status,
   CAST(application_id % 17 AS INT) AS position,
   {DAY.format("2026-01-01", "application_id % 200")} AS saved_at
-FROM (SELECT min(o_orderkey) AS application_id, o_custkey AS user_id, o_orderkey % 100 AS job_id
-      FROM orders GROUP BY o_custkey, o_orderkey % 100) t
+FROM (SELECT min(o_orderkey) AS application_id, o_custkey AS user_id, 1 + o_orderkey % (SELECT max(s_suppkey) FROM supplier) AS job_id
+      FROM orders GROUP BY o_custkey, 1 + o_orderkey % (SELECT max(s_suppkey) FROM supplier)) t
 """
 
 VIEWS["v_runs"] = f"""

@@ -67,7 +67,7 @@ def brute_total(u, j, parents, have, need, cfg):
         else:
             near = [x for x in sorted(have[u]) if related(x, s)]
             earned += w * cfg.related_credit * factor(have[u][near[0]]) if near else 0.0
-    scores = {"skills": earned / total}
+    scores = {"skills": earned / total} if total else {}
     a, b = f"25{u % 3}1", f"2{j % 2 + 4}11"
     family = next((n / 4 for n in (4, 3, 2, 1) if a[:n] == b[:n]), 0.0)
     scores["occupation"] = family * 0.75 + 0.25 * 0.8 if u % 2 else family
@@ -89,14 +89,43 @@ def test_scores_equal_brute_force(spark, cfg):
     assert got == pytest.approx(want, abs=0.051) and sum(abs(got[k] - want[k]) > 1e-9 for k in want) <= 1
 
 
-def test_evidence_pairs_keep_every_match(spark):
+@pytest.mark.parametrize("cfg", [DEFAULT, SKILL_LED], ids=["default", "skill_led"])
+def test_recompute_keeps_every_match(spark, cfg):
+    """Also with postings that list no skills; no valid model is refused."""
+    parents, have, need = fixture(seed=11, users=20, jobs=15)
+    need = {j: ([] if j % 4 == 0 else skills) for j, skills in need.items()}
+    c, p = sides(spark, parents, have, need, cfg)
+    got = {(r["user_id"], r["job_id"]): r["total_score"] for r in M.recompute(c, p, cfg).collect()}
+    totals = {k: brute_total(*k, parents, have, need, cfg) for k in itertools.product(have, need)}
+    want = {k for k, v in totals.items() if v >= cfg.possible}
+    assert set(got) == want and any(k[1] % 4 == 0 for k in want) and any(k[1] % 4 for k in want)
+
+
+def test_candidate_pairs_are_few_when_skills_dominate(spark):
     parents, have, need = fixture(seed=11, users=20, jobs=15)
     c, p = sides(spark, parents, have, need, SKILL_LED)
-    got = {(r["user_id"], r["job_id"]) for r in M.recompute(c, p, SKILL_LED).collect()}
-    totals = {k: brute_total(*k, parents, have, need, SKILL_LED) for k in itertools.product(have, need)}
-    assert got == {k for k, v in totals.items() if v >= SKILL_LED.possible} and got
-    with pytest.raises(ValueError):
-        M.evidence_pairs(c, p, DEFAULT)
+    assert M.candidate_pairs(c, p, SKILL_LED).count() < M.candidate_pairs(c, p, DEFAULT).count() == 300
+
+
+def test_similarity_is_the_best_cosine(spark):
+    parents, have, need = fixture(users=3, jobs=2)
+    c, p = sides(spark, parents, have, need, DEFAULT)
+    lived = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 1.0]), (1, [0.0, 0.0]), (2, None)], "user_id long, vector array<double>")
+    asked = spark.createDataFrame([(0, [0.0, 2.0])], "job_id long, vector array<double>")
+    c = c.join(lived.groupBy("user_id").agg(F.collect_list("vector").alias("c_vectors")), "user_id", "left")
+    p = p.join(asked.withColumnRenamed("vector", "j_vector"), "job_id", "left")
+    got = {(r["user_id"], r["job_id"]): r["similarity"] for r in M.join_pairs(M.every_pair(c, p), c, p).collect()}
+    assert got[0, 0] == pytest.approx(0.5**0.5) and got[1, 0] == 0.0 and got[2, 0] is None and got[0, 1] is None
+
+
+def test_gaps_list_related_and_missing_skills(spark):
+    parents, have, need = fixture()
+    c, p = sides(spark, parents, have, need, DEFAULT)
+    f = M.join_pairs(M.every_pair(c, p), c, p).withColumn("skill_credits", M.skill_credits()).withColumn("gaps", M.skill_gaps())
+    for r in f.collect():
+        mine, asked = have[r["user_id"]], need[r["job_id"]]
+        order = sorted(range(len(asked)), key=lambda i: (asked[i][1] != "must", i))
+        assert [g["uri"] for g in r["gaps"]] == [asked[i][0] for i in order if asked[i][0] not in mine]
 
 
 def test_hot_keys_are_salted_without_loss(spark):
