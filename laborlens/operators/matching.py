@@ -8,6 +8,10 @@ columns ``j_``.
 
 from __future__ import annotations
 
+import hashlib
+import json
+from dataclasses import asdict
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import COMPONENTS, DEFAULT, ModelConfig
@@ -23,6 +27,52 @@ def arr(c: Column) -> Column:
     return F.coalesce(c, F.array().cast(EMPTY))
 
 
+# --- what a score was computed from ---------------------------------------------------------
+
+
+def input_digest(base: DataFrame, key: str, children: dict[str, DataFrame]) -> DataFrame:
+    """(key, digest) over every column of a row and of its child rows, columns in name order.
+
+    Any change of the row, or of a child row (a skill, a language demand), changes the digest; the
+    order in which child rows are stored does not.
+    """
+
+    def text(columns: list[str]) -> Column:
+        return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(columns)])
+
+    out = base.select(key, text([c for c in base.columns if c != key]).alias("_row"))
+    parts = ["_row"]
+    for name in sorted(children):
+        rows = children[name]
+        one = rows.select(key, text([c for c in rows.columns if c != key]).alias("_t"))
+        listed = one.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("_t")), ",").alias(f"_{name}"))
+        out = out.join(listed, key, "left")
+        parts.append(f"_{name}")
+    whole = F.concat_ws("#", *[F.coalesce(F.col(p), F.lit("")) for p in parts])
+    return out.select(key, F.sha2(whole, 256).alias("digest"))
+
+
+def model_digest(cfg: ModelConfig) -> str:
+    """Digest of all values of a model."""
+    return hashlib.sha256(json.dumps(asdict(cfg), sort_keys=True).encode()).hexdigest()
+
+
+def with_input_hash(
+    pairs: DataFrame, candidates: DataFrame, postings: DataFrame, cfg: ModelConfig, version: int, year: int
+) -> DataFrame:
+    """Adds ``input_hash`` and ``model_version``: candidate, posting, similarity, model and year.
+
+    ``candidates`` and ``postings`` are digests of ``input_digest``. A stored row whose hash is that
+    of today's inputs need not be scored again.
+    """
+    f = pairs.join(candidates.withColumnRenamed("digest", "_c"), "user_id", "left")
+    f = f.join(postings.withColumnRenamed("digest", "_j"), "job_id", "left")
+    near = F.coalesce(F.floor(F.col("similarity") * 10000 + 0.5).cast("string"), F.lit(""))
+    sides = [F.coalesce("_c", F.lit("")), F.coalesce("_j", F.lit(""))]
+    text = F.concat_ws("|", *sides, near, F.lit(model_digest(cfg)), F.lit(str(year)))
+    return f.withColumns({"input_hash": F.sha2(text, 256), "model_version": F.lit(version)}).drop("_c", "_j")
+
+
 # --- assembling the two sides ------------------------------------------------------------
 
 
@@ -669,8 +719,11 @@ def explain_scores(f: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
     )
 
 
+PROVENANCE = ("input_hash", "model_version")  # carried along where the scored rows have them
+
+
 def match_rows(scored: DataFrame) -> DataFrame:
-    """Narrow result rows with the explanation as JSON."""
+    """Narrow result rows with the explanation as JSON, and with what they were computed from."""
     components = F.struct(
         *[
             F.struct(
@@ -688,7 +741,7 @@ def match_rows(scored: DataFrame) -> DataFrame:
     return scored.select(
         "user_id", "job_id", "total_score", "label", "knocked_out", "limited_data",
         F.to_json(components).alias("component_scores"), F.to_json(explanation).alias("explanation"),
-        F.to_json("knockouts").alias("knockouts"),
+        F.to_json("knockouts").alias("knockouts"), *[c for c in PROVENANCE if c in scored.columns],
     )
 
 

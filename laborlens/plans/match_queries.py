@@ -460,6 +460,68 @@ def _(t):
     return s.withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 12").drop("knocked_out")
 
 
+# --- what a score was computed from ------------------------------------------------------
+
+CANDIDATE_INPUTS = ("candidate_languages", "candidate_skills", "candidate_vectors")
+POSTING_INPUTS = ("job_languages", "job_skills", "job_vectors")
+KEYS = {"user_id": ("v_candidates", CANDIDATE_INPUTS), "job_id": ("v_jobs", POSTING_INPUTS)}
+
+
+def digests(t, key: str) -> DataFrame:
+    base, children = KEYS[key]
+
+    def child(name):
+        rows = t(f"v_{name}")
+        if "vector" in rows.columns:  # six decimals are what a stored vector has
+            rows = rows.withColumn("vector", F.array_join(F.transform("vector", lambda x: F.round(x * 1000000).cast("bigint").cast("string")), " "))
+        return rows
+
+    return M.input_digest(t(base), key, {name: child(name) for name in children})
+
+
+def _text(columns) -> str:
+    return "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS STRING), '')" for c in sorted(columns)) + ")"
+
+
+def _digest_sql(key: str) -> str:
+    """The digest of a side; columns are those of the views, in name order."""
+    base, children = KEYS[key]
+    vector = "array_to_string(list_transform(vector, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS STRING)), ' ')"
+    columns = {
+        "v_candidates": CANDIDATE_COLUMNS, "v_jobs": POSTING_COLUMNS, "candidate_languages": ("language", "level"),
+        "candidate_skills": ("uri", "last_used_year"), "candidate_vectors": ("pos", "vector"), "job_languages": ("pos", "language", "level", "required"),
+        "job_skills": ("uri", "pos", "importance"), "job_vectors": ("vector",),
+    }
+    joins, parts = "", ["b.t"]
+    for name in sorted(children):
+        rows = f"SELECT {key}, {_text(columns[name])} AS t FROM v_{name}"
+        if "vector" in columns[name]:
+            rows = f"SELECT {key}, {_text(columns[name])} AS t FROM (SELECT * REPLACE ({vector} AS vector) FROM v_{name}) x"
+        joins += f" LEFT JOIN (SELECT {key}, string_agg(t, ',' ORDER BY t) AS t FROM ({rows}) r GROUP BY {key}) {name} ON {name}.{key} = b.{key}"
+        parts.append(f"coalesce({name}.t, '')")
+    return f"SELECT b.{key}, sha256(concat_ws('#', {', '.join(parts)})) AS digest FROM (SELECT {key}, {_text(columns[base])} AS t FROM {base}) b{joins}"
+
+
+CANDIDATE_COLUMNS = (
+    "seniority", "education_level", "desired_codes", "past_codes", "lat", "lng", "max_travel", "travel_mode", "remote_pref", "min_salary",
+    "hours_min", "hours_max", "employment_csv", "sizes_csv", "types_csv", "r_r", "r_i", "r_a", "r_s", "r_e", "r_c", "values_csv",
+)
+POSTING_COLUMNS = (
+    "title", "source_id", "external_id", "source_priority", "status", "is_golden", "needs_review", "company_id", "hiring_name", "city", "lat", "lng",
+    "remote_policy", "salary_min", "salary_max", "hours_min", "hours_max", "employment_csv", "isco_code", "seniority", "min_eqf", "r_r", "r_i", "r_a",
+    "r_s", "r_e", "r_c", "w_achievement", "w_independence", "w_recognition", "w_relationships", "w_support", "w_working_conditions", "language",
+    "date_posted", "valid_through", "last_seen", "missed_runs", "dedup_group_id",
+)
+
+
+@query("hash_input", f"""SELECT p.user_id, p.job_id, sha256(concat_ws('|', c.digest, j.digest,
+ coalesce(CAST(CAST(floor(similarity * 10000 + 0.5) AS BIGINT) AS STRING), ''), '{M.model_digest(DEFAULT)}', '{YEAR}')) AS input_hash
+ FROM v_pairs p JOIN ({_digest_sql('user_id')}) c ON c.user_id = p.user_id JOIN ({_digest_sql('job_id')}) j ON j.job_id = p.job_id""")
+def _(t):
+    out = M.with_input_hash(t("v_pairs"), digests(t, "user_id"), digests(t, "job_id"), DEFAULT, 1, YEAR)
+    return out.select("user_id", "job_id", "input_hash")
+
+
 VERSIONS = """
 SELECT c_custkey AS version, '{"weights":{"skills":' || CAST(30 + c_custkey % 8 AS STRING)
  || ',"experience":20,"occupation":15,"interests":10,"values":10,"practical":10},"knockouts":{"language":{"enabled":true,"toleranceLevels":'

@@ -229,14 +229,6 @@ def _(t):
     return t("v_postings").select("doc_id", stable_hash("title", "company_name", "city", "apply_url").alias("content_hash"))
 
 
-@query("hash_input", """SELECT user_id, job_id, sha256('{"job_id":' || CAST(job_id AS STRING) || ',"model_version":1,"similarity":' ||
- coalesce(CAST(CAST(floor(similarity * 10000 + 0.5) AS BIGINT) AS STRING), 'null') || ',"user_id":' || CAST(user_id AS STRING) || ',"year":2002}') AS input_hash FROM v_pairs""")
-def _(t):
-    from ..operators.ingest import stable_hash
-
-    p = t("v_pairs").withColumns({"similarity": F.floor(F.col("similarity") * 10000 + 0.5), "model_version": F.lit(1), "year": F.lit(2002)})
-    return p.select("user_id", "job_id", stable_hash("user_id", "job_id", "similarity", "model_version", "year").alias("input_hash"))
-
 
 VEC = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 NEXT = f"(SELECT vec_id, {VEC} AS v, lead({VEC}) OVER (ORDER BY vec_id) AS w FROM embeddings) e"

@@ -19,7 +19,9 @@ def match_audit(scored: DataFrame, model_version: Column) -> DataFrame:
         F.lit("system").alias("actor_role"), F.lit("match.compute").alias("action"), F.lit("match").alias("entity_type"),
         F.concat_ws(":", F.col("user_id").cast("string"), F.col("job_id").cast("string")).alias("entity_id"),
         model_version.alias("model_version"),
-        F.struct(F.col("total_score").alias("score"), "label", "knocked_out").alias("metadata"),
+        F.struct(
+            F.col("total_score").alias("score"), "label", "knocked_out", *[c for c in ("input_hash",) if c in scored.columns]
+        ).alias("metadata"),
     )
 
 

@@ -128,6 +128,31 @@ def test_gaps_list_related_and_missing_skills(spark):
         assert [g["uri"] for g in r["gaps"]] == [asked[i][0] for i in order if asked[i][0] not in mine]
 
 
+def test_input_hash_follows_every_input(spark):
+    from dataclasses import replace
+
+    from laborlens.sources.sinks import match_audit
+
+    people = spark.createDataFrame([(1, "medior"), (2, None)], "user_id long, seniority string")
+    jobs = spark.createDataFrame([(7, "x")], "job_id long, title string")
+    skills = [(1, 10, 2020), (1, 11, None), (2, 10, 2020)]
+
+    def hashes(skills=skills, cfg=DEFAULT, similarity=0.8, year=2026):
+        sk = spark.createDataFrame(skills, "user_id long, uri long, last_used_year int")
+        c = M.input_digest(people, "user_id", {"skills": sk})
+        p = spark.createDataFrame([(1, 7, similarity), (2, 7, similarity)], "user_id long, job_id long, similarity double")
+        return {r["user_id"]: r["input_hash"] for r in M.with_input_hash(p, c, M.input_digest(jobs, "job_id", {}), cfg, 1, year).collect()}
+
+    first = hashes()
+    assert hashes(skills[::-1]) == first
+    changed = hashes([(1, 10, 2021), *skills[1:]])
+    assert changed[1] != first[1] and changed[2] == first[2]
+    for other in (hashes(cfg=replace(DEFAULT, good=61.0)), hashes(similarity=0.81), hashes(similarity=None), hashes(year=2027)):
+        assert other[1] != first[1] and other[2] != first[2]
+    rows = spark.createDataFrame([(1, 7, 50.0, "possible", False, "h")], "user_id long, job_id long, total_score double, label string, knocked_out boolean, input_hash string")
+    assert match_audit(rows, F.lit(1)).first()["metadata"]["input_hash"] == "h"
+
+
 def test_hot_keys_are_salted_without_loss(spark):
     from laborlens.operators.skew import salted_join
 
