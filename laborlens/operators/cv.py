@@ -30,7 +30,6 @@ DEGREES = (
 LANGUAGE_HEADING = r"^(languages|talen|language skills)\b"
 SUMMARY_HEADING = r"^(profile|profiel|summary|samenvatting|about me|over mij)\b"
 NEXT_HEADING = r"^[A-Z][A-Za-z ]{2,30}:?$"
-BODY_LINES = 8
 # --- end of fixed values ----------------------------------------------------------------
 
 
@@ -38,11 +37,12 @@ def ws(pattern: str) -> str:
     return pattern.replace(r"\s", BLANK)
 
 
-def cv_blocks(text: Column, year: int) -> Column:
+def cv_blocks(text: Column, year: int, body_lines: int | None = None) -> Column:
     """Experience blocks of one text: a line with a year range opens a block.
 
     array<struct<k, title, org, start, end, is_current, body, from, to>>; offsets are 0-based
-    characters. Everything happens inside the row, so no shuffle is needed.
+    characters. ``body_lines`` keeps so many lines of a body, by default all. Everything happens
+    inside the row, so no shuffle is needed.
     """
     span = java(ws(YEAR_RANGE), True)
 
@@ -67,7 +67,7 @@ def cv_blocks(text: Column, year: int) -> Column:
             F.nullif(js_trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), F.lit("")).alias("org"),
             F.regexp_extract(line, span, 1).cast("int").alias("start"),
             F.when(current, year).otherwise(F.left(until, F.lit(4)).try_cast("int")).alias("end"),
-            current.alias("is_current"), F.slice(body, 1, BODY_LINES).alias("body"),
+            current.alias("is_current"), (body if body_lines is None else F.slice(body, 1, body_lines)).alias("body"),
             offset(s).alias("from"), offset(stop).alias("to"),
         )
 

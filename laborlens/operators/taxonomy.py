@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import let
 from ..functions.text import normalize_label
-from .skew import salted_join, small_side
+from .skew import salted_join
 
 RUN = r"[\p{L}\p{N}]+"
 MAX_RUNS = 4  # longer labels are looked up by their first four words and then verified
@@ -44,14 +47,79 @@ def place_in(text: Column, label: Column) -> Column:
     return F.regexp_instr(text, pattern)
 
 
+DICTIONARY_BYTES = 64 << 20  # labels that tasks hold at most; a larger dictionary is joined
+
+
 def find_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, uri, label, index): every concept named in a text, once, with its longest label.
 
     Labels of one or two characters are looked for in the raw text with their case, the others
-    in the normalised text. Word runs of the text meet the labels in an equi-join; only the
-    few labels that pass are then verified at their place in the text. Labels without any
-    letter or digit cannot be found this way and are left out.
+    in the normalised text, as whole words. Labels without any letter or digit are left out. A
+    dictionary of up to ``DICTIONARY_BYTES`` goes to the tasks, and only hits leave them; the words of
+    the texts meet a larger one in a join.
     """
+    size = entries.agg(F.coalesce(F.sum(F.octet_length("label") + F.octet_length("norm") + 64), F.lit(0)).alias("n")).first()["n"]
+    if size > DICTIONARY_BYTES:
+        return joined_concepts(docs, entries, doc_id, text)
+    known = entries.select("uri", "label", "norm", "entry").toPandas()
+    kind = docs.schema[doc_id].dataType.simpleString()
+    uri = entries.schema["uri"].dataType.simpleString()
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = Finder(known)
+        for b in batches:
+            rows = [(i, *hit) for i, raw, norm in zip(b[doc_id], b["_raw"], b["_norm"]) for hit in finder.hits(raw, norm)]
+            yield pd.DataFrame(rows, columns=[doc_id, "uri", "label", "index"])
+
+    work = docs.filter(F.col(text).isNotNull()).select(doc_id, F.col(text).alias("_raw"), normalize_label(F.col(text)).alias("_norm"))
+    return work.mapInPandas(find, f"`{doc_id}` {kind}, uri {uri}, label string, index int")
+
+
+class Finder:
+    """Looks the word runs of a text up in a dictionary and verifies hits at their place."""
+
+    def __init__(self, known: pd.DataFrame):
+        import regex
+
+        self.run, self.regex = regex.compile(RUN), regex
+        self.by_key: dict[tuple[bool, tuple[str, ...]], list[tuple]] = {}
+        self.patterns: dict[str, object] = {}
+        for uri, label, norm, entry in known.itertuples(index=False):
+            short = len(norm) <= 2
+            key = tuple(self.run.findall(label if short else norm)[:MAX_RUNS])
+            if key:
+                self.by_key.setdefault((short, key), []).append((uri, label, norm, entry))
+        self.lengths = {short: sorted({len(k) for s, k in self.by_key if s == short}) for short in (True, False)}
+
+    def place(self, text: str, label: str) -> int:
+        """0-based place of a label as whole tokens, -1 when absent."""
+        if label not in self.patterns:
+            self.patterns[label] = self.regex.compile(rf"(?<![\p{{L}}\p{{N}}]){self.regex.escape(label, literal_spaces=True)}(?![\p{{L}}\p{{N}}+#])")
+        found = self.patterns[label].search(text)
+        return found.start() if found else -1
+
+    def hits(self, raw: str, norm: str) -> list[tuple]:
+        best: dict[object, tuple] = {}
+        for short, text in ((True, raw), (False, norm)):
+            if not self.lengths[short]:
+                continue
+            words = self.run.findall(text)
+            seen = set()
+            for n in self.lengths[short]:
+                for key in zip(*(words[k:] for k in range(n))):
+                    if key in seen or (short, key) not in self.by_key:
+                        continue
+                    seen.add(key)
+                    for uri, label, normal, entry in self.by_key[short, key]:
+                        at = self.place(text, label if short else normal)
+                        rank = (len(normal), -entry)
+                        if at >= 0 and (uri not in best or rank > best[uri][0]):
+                            best[uri] = (rank, label, at)
+        return [(uri, label, at) for uri, (_, label, at) in best.items()]
+
+
+def joined_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``find_concepts`` for a dictionary of any size: word runs meet the labels in an equi-join."""
     def key(c: Column) -> Column:
         return F.array_join(F.slice(F.regexp_extract_all(c, F.lit(RUN), F.lit(0)), 1, MAX_RUNS), " ")
 
@@ -73,7 +141,7 @@ def find_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -
     )
     # the outer form: a plain explode adds a filter on the array's size, which computes it twice
     probes = sized.select(doc_id, F.explode_outer(runs).alias("key"))
-    hits = probes.join(small_side(known), "key").groupBy(doc_id).agg(
+    hits = probes.join(known, "key").groupBy(doc_id).agg(
         F.collect_list(F.struct("uri", "label", "norm", "entry", "short")).alias("_hits")
     )
     placed = F.transform(
