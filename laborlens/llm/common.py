@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -31,13 +32,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs survive lost executors.
 
-    What the write shuffled is not needed again; a collection on the driver lets Spark's cleaner drop
-    these files now and not some time later.
+    What earlier writes shuffled is not needed again; collections on both sides of the driver, before
+    the write, let Spark's cleaner drop these files now and not some time later.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

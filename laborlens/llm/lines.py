@@ -18,6 +18,8 @@ SIMILARITY = 0.8
 BUCKETS = 1 << 16  # word counts are kept by this many digests of words: the order of rarity
 FILTER_WORDS = 1 << 16  # 64-bit words of the bitmap that holds the places of candidate lines
 
+BROADCAST_ROWS = 1_000_000  # most settled lines that are broadcast; more are joined in a shuffle
+
 _EPS = 1e-9
 
 
@@ -71,7 +73,8 @@ def described_lines(lines: DataFrame, ranks: list[int], similarity: float) -> Da
     """(id, line, s, p, n, prefix, k0, k1) of every line with words.
 
     ``s`` hashes the set; ``p`` has the parity of the words in each of 64 places, so two sets differ in
-    at least as many words as their ``p`` differ in bits; ``k0`` and ``k1`` are sampled words of the set.
+    at least as many words as their ``p`` differ in bits; ``k0`` and ``k1`` are two words of the
+    prefix, sampled by their hashes.
     """
     one = F.lit(1).cast("long")
     t = lines.filter(F.btrim("body") != "").select("id", "line", ordered_words(F.col("body"), ranks).alias("t"))
@@ -82,10 +85,8 @@ def described_lines(lines: DataFrame, ranks: list[int], similarity: float) -> Da
         "id", "line", F.xxhash64("t").alias("s"), n.alias("n"), F.slice("t", F.lit(1), prefix_length(n, similarity)).alias("prefix"),
         F.transform("t", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("low"),
     )
-    return t.select(
-        "id", "line", "s", parity.alias("p"), "n", F.transform("prefix", lambda x: F.hash(x)).alias("prefix"),
-        F.array_min("low").alias("k0"), F.array_max("low").alias("k1"),
-    )
+    t = t.select("id", "line", "s", parity.alias("p"), "n", F.transform("prefix", lambda x: F.hash(x)).alias("prefix"))
+    return t.withColumns({"k0": F.array_min("prefix"), "k1": F.array_max("prefix")})
 
 
 def _alike(a: str, b: str, similarity: float) -> Column:
@@ -105,21 +106,28 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.col(f"{a}.id").alias("aid"), F.col(f"{a}.line").alias("aline"), F.col(f"{b}.id").alias("bid"), F.col(f"{b}.line").alias("bline")]
 
 
-def texts_of(places: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, line, words) of the lines at the given places.
+def only_hashed(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose columns hash like a row of ``wanted``, in front of a join with it.
 
-    A bitmap of fixed size, built from all places, keeps most other lines out of the shuffle; those
-    that slip through are dropped by the join.
+    A bitmap of fixed size, built from all of ``wanted``, keeps most other rows out of the shuffle;
+    those that slip through are dropped by the join.
     """
     bits = FILTER_WORDS * 64
-    spot = F.pmod(F.xxhash64("id", "line"), F.lit(bits))
+    spot = F.pmod(F.xxhash64(*columns), F.lit(bits))
     word, bit = F.floor(spot / 64).cast("int"), (spot % 64).cast("int")
     one = F.lit(1).cast("long")
-    bitmap = places.select(word.alias("_word"), F.call_function("shiftleft", one, bit).alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
-    marked = lines.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bitmap), "_word")  # FILTER_WORDS rows at most
-    marked = marked.filter(F.call_function("shiftleft", one, F.col("_bit")).bitwiseAND(F.col("_mask")) != 0).select("id", "line", "body")
+    mask = F.call_function("shiftleft", one, bit)
+    bitmap = wanted.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
+    marked = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bitmap), "_word")  # FILTER_WORDS rows at most
+    hit = F.call_function("shiftleft", one, F.col("_bit")).bitwiseAND(F.col("_mask")) != 0
+    return marked.filter(hit).drop("_word", "_bit", "_mask")
+
+
+def texts_of(places: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, line, words) of the lines at the given places."""
+    near = only_hashed(lines, places, ["id", "line"])
     # an inner join with distinct places: a semi join would be moved below the bitmap
-    found = marked.join(places, ["id", "line"]).groupBy("id", "line").agg(F.min("body").alias("body"))
+    found = near.join(places, ["id", "line"]).groupBy("id", "line").agg(F.min("body").alias("body"))
     return found.select("id", "line", F.array_distinct(F.array_remove(line_words(F.col("body")), "")).alias("words"))
 
 
@@ -139,7 +147,10 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
 def sampled_pairs(classes: DataFrame, similarity: float) -> DataFrame:
     """Each class with the first and the most frequent class among those that share a sampled word."""
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in range(2)])).alias("key")
+    shared = classes.select(keys).select("key.*").groupBy("i", "k").agg(F.count("*").alias("m")).filter("m > 1").select("i", "k")
+    shared = cut(shared, "line-sampled")
     members = classes.select("id", "line", "p", "n", "copies", keys).select("id", "line", "p", "n", "copies", "key.i", "key.k")
+    members = only_hashed(members, shared, ["i", "k"])
     me = F.struct("id", "line", "p", "n")
     common = F.struct(-F.col("copies"), F.col("id"), F.col("line"))
     leads = members.groupBy("i", "k").agg(F.min(me).alias("first"), F.min_by(me, common).alias("common"), F.count("*").alias("m")).filter("m > 1")
@@ -150,7 +161,10 @@ def sampled_pairs(classes: DataFrame, similarity: float) -> DataFrame:
 
 def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> DataFrame:
     """Pairs (later, earlier) that share a word of both prefixes and pass all filters; the later is not settled."""
-    flagged = classes.join(settled.withColumn("_done", F.lit(1)), ["id", "line"], "left")
+    done = settled.withColumn("_done", F.lit(1))
+    if done.count() <= BROADCAST_ROWS:
+        done = F.broadcast(done)
+    flagged = classes.join(done, ["id", "line"], "left")
     posts = flagged.select(
         "id", "line", "p", "n", F.coalesce("_done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("at", "word")
     )
