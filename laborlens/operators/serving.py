@@ -215,27 +215,52 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.try_divide(both.cast("double"), (F.size(a) + F.size(b) - both).cast("double"))
 
 
-def autocomplete(queries: DataFrame, labels: DataFrame, k: int = 10, threshold: float = 0.3) -> DataFrame:
-    """Best concepts per query text by trigram similarity, at least 0.5 for a substring.
+def rarest_first(rows: DataFrame, key: str, tokens: str, counts: DataFrame) -> DataFrame:
+    """(key, size, at, g): the tokens of every row in the order of how many labels have them."""
+    each = rows.select(key, F.explode(tokens).alias("g")).join(counts, "g", "left")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("_o")
+    return each.groupBy(key).agg(order).select(key, F.size("_o").alias("size"), F.posexplode("_o").alias("at", "_x")).select(
+        key, "size", "at", "_x.g", "_x.n"
+    )
+
 
-    An equi-join on short character runs finds every hit: a similar label shares a padded
-    trigram by definition, and a query that occurs inside a label shares its own leading run
-    of three characters (two when it has only two).
+def autocomplete_pairs(queries: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(q, uri) pairs that can be hits; ``queries`` has _needle and _qt, ``labels`` _lt and _runs.
+
+    More than ``threshold`` of either side's trigrams is shared by a similar pair, so the first shared
+    one, in an order of rarity, stands early on both sides; common trigrams join nothing. A text that
+    contains the needle contains its rarest run too.
     """
-    q = queries.withColumn("_needle", F.lower("q")).withColumn("_qt", trigrams(F.col("q")))
-    q = q.withColumn("_qk", F.array_distinct(F.concat("_qt", F.array(F.left("_needle", F.lit(3))))))
-
-    def runs(n: int) -> Column:
-        last = F.greatest(F.length("search_text") - (n - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col("search_text"), i, F.lit(n)))
-
-    lt = labels.withColumn("_lt", trigrams(F.col("search_text")))
-    lt = lt.withColumn("_lk", F.array_distinct(F.concat("_lt", runs(3), runs(2))))
-    shared = (
-        q.select("q", F.explode("_qk").alias("g")).join(lt.select("uri", F.explode("_lk").alias("g")), "g")
-        .select("q", "uri").distinct()
-    )
-    both = shared.join(q.select("q", "_needle", "_qt"), "q").join(lt, "uri")
+    counts = labels.select(F.explode("_lt").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+
+    def first(rows: DataFrame, key: str, tokens: str) -> DataFrame:
+        o = rarest_first(rows, key, tokens, counts)
+        return o.filter(F.col("at") < F.col("size") - F.floor(F.col("size") * threshold))
+
+    a, b = first(queries, "q", "_qt").filter("n > 0").alias("a"), first(labels, "uri", "_lt").alias("b")
+    least = F.floor((F.col("a.size") + F.col("b.size")) * (threshold / (1 + threshold)) - 1e-9) + 1
+    rest = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    sized = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9
+    similar = a.join(b, (F.col("a.g") == F.col("b.g")) & sized & (rest >= least)).select("q", "uri")
+    runs = labels.select("uri", F.explode("_runs").alias("g"))
+    often = runs.groupBy("g").agg(F.count("*").alias("n"))
+    rare = queries.select("q", F.explode("_qruns").alias("g")).join(often, "g").groupBy("q").agg(F.min(F.struct("n", "g"))["g"].alias("g"))
+    return similar.unionByName(rare.join(runs, "g").select("q", "uri")).distinct()
+
+
+def autocomplete(queries: DataFrame, labels: DataFrame, k: int = 10, threshold: float = 0.3) -> DataFrame:
+    """Best concepts per query text by trigram similarity, at least 0.5 for a substring."""
+
+    def runs(c: Column, n: int) -> Column:
+        last = F.greatest(F.length(c) - (n - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(c, i, F.lit(n)))
+
+    needle = F.lower(F.col("q"))
+    q = queries.withColumns({"_needle": needle, "_qt": trigrams(F.col("q"))})
+    q = q.withColumn("_qruns", F.when(F.length("_needle") < 3, F.array("_needle")).otherwise(F.array_distinct(runs(F.col("_needle"), 3))))
+    text = F.col("search_text")
+    lt = labels.withColumns({"_lt": trigrams(text), "_runs": F.array_distinct(F.concat(runs(text, 3), runs(text, 2)))})
+    both = autocomplete_pairs(q, lt, threshold).join(q.select("q", "_needle", "_qt"), "q").join(lt.drop("_runs"), "uri")
     similar = trigram_similarity(F.col("_qt"), F.col("_lt"))
     inside = F.col("search_text").contains(F.col("_needle"))
     score = F.greatest(F.coalesce(similar, F.lit(0.0)), F.when(inside, 0.5).otherwise(0.0))
@@ -249,8 +274,8 @@ def autocomplete(queries: DataFrame, labels: DataFrame, k: int = 10, threshold:
 def lexical_search(queries: DataFrame, entries: DataFrame, k: int = 10) -> DataFrame:
     """Exact 3, prefix 2, contained 1; best label per concept, ``k`` concepts per query.
 
-    ``entries`` is (uri, norm). Contained texts of three or more characters share a trigram, so
-    the join is on trigrams of the normalised texts.
+    ``entries`` is (uri, norm). A label that contains the query contains its rarest run of three
+    characters, so the join is on that one.
     """
 
     def keys(c: Column) -> Column:
@@ -258,8 +283,11 @@ def lexical_search(queries: DataFrame, entries: DataFrame, k: int = 10) -> DataF
         return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(c, i, F.lit(3))))
 
     q = queries.withColumn("qn", X.normalize_label(F.col("q"))).filter(F.col("qn") != "")
-    probe = q.select("q", "qn", F.get(keys(F.col("qn")), F.lit(0)).alias("g"))
-    hits = probe.join(entries.select("uri", "norm", F.explode(keys(F.col("norm"))).alias("g")), "g")
+    runs = entries.select("uri", "norm", F.explode(keys(F.col("norm"))).alias("g"))
+    often = runs.groupBy("g").agg(F.count("*").alias("n"))
+    probe = q.select("q", "qn", F.explode(keys(F.col("qn"))).alias("g")).join(often, "g")
+    probe = probe.groupBy("q", "qn").agg(F.min(F.struct("n", "g"))["g"].alias("g"))
+    hits = probe.join(runs, "g")
     score = (
         F.when(F.col("norm") == F.col("qn"), 3).when(F.col("norm").startswith(F.col("qn")), 2)
         .when(F.col("norm").contains(F.col("qn")), 1)
