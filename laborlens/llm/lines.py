@@ -124,11 +124,10 @@ def only_hashed(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataF
 
 
 def texts_of(places: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, line, words) of the lines at the given places."""
+    """(id, line, body) of the lines at the given places."""
     near = only_hashed(lines, places, ["id", "line"])
     # an inner join with distinct places: a semi join would be moved below the bitmap
-    found = near.join(places, ["id", "line"]).groupBy("id", "line").agg(F.min("body").alias("body"))
-    return found.select("id", "line", F.array_distinct(F.array_remove(line_words(F.col("body")), "")).alias("words"))
+    return near.join(places, ["id", "line"]).groupBy("id", "line").agg(F.min("body").alias("body"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
@@ -137,11 +136,14 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
         pairs.select(F.col("bid").alias("id"), F.col("bline").alias("line"))
     ).distinct()
     texts = cut(texts_of(places, lines), "line-texts")
-    a = texts.select(F.col("id").alias("aid"), F.col("line").alias("aline"), F.col("words").alias("wa"))
-    b = texts.select(F.col("id").alias("bid"), F.col("line").alias("bline"), F.col("words").alias("wb"))
-    both = F.size(F.array_intersect("wa", "wb"))
-    counted = pairs.join(a, ["aid", "aline"]).join(b, ["bid", "bline"]).withColumns({"both": both, "na": F.size("wa"), "nb": F.size("wb")})
-    return counted.filter(F.try_divide("both", F.col("na") + F.col("nb") - F.col("both")) >= similarity).select("aid", "aline", "bid", "bline")
+    a = texts.select(F.col("id").alias("aid"), F.col("line").alias("aline"), F.col("body").alias("abody"))
+    b = texts.select(F.col("id").alias("bid"), F.col("line").alias("bline"), F.col("body").alias("bbody"))
+    # the lines travel as they are; arrays of words take four times as much
+    met = pairs.join(a, ["aid", "aline"]).join(b, ["bid", "bline"])
+    words = lambda c: F.array_distinct(F.array_remove(line_words(F.col(c)), ""))
+    met = met.select("aid", "aline", "bid", "bline", words("abody").alias("wa"), words("bbody").alias("wb"))
+    counted = met.withColumns({"both": F.size(F.array_intersect("wa", "wb")), "all": F.size("wa") + F.size("wb")})
+    return counted.filter(F.try_divide("both", F.col("all") - F.col("both")) >= similarity).select("aid", "aline", "bid", "bline")
 
 
 def sampled_pairs(classes: DataFrame, similarity: float) -> DataFrame:
@@ -160,8 +162,11 @@ def sampled_pairs(classes: DataFrame, similarity: float) -> DataFrame:
 
 
 def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (later, earlier) that share a word of both prefixes and pass all filters; the later is not settled."""
-    done = settled.withColumn("_done", F.lit(1))
+    """Pairs (later, earlier) that share a word of both prefixes and pass all filters; the later is not settled.
+
+    ``off`` is the share of the words that surely differ, in thousandths.
+    """
+    done = settled.withColumn("_done", F.lit(2**31 - 1))
     if done.count() <= BROADCAST_ROWS:
         done = F.broadcast(done)
     flagged = classes.join(done, ["id", "line"], "left")
@@ -170,8 +175,9 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> D
     )
     x, y = posts.alias("x"), posts.alias("y")
     rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    # written over both sides, so that one exchange of the postings serves as both
-    looking = F.col("x.done") + F.col("y.done") * 0 < 1
+    # over columns of both sides, so that one exchange of the postings serves as both: a settled line has
+    # a larger mark than any line has words
+    looking = F.col("x.done") < F.col("y.n") + F.least(F.col("y.done"), F.lit(0))
     met = x.join(
         y,
         (F.col("x.word") == F.col("y.word"))
@@ -180,7 +186,8 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> D
         & _alike("x", "y", similarity)
         & (rest >= least_overlap(F.col("x.n"), F.col("y.n"), similarity)),
     )
-    return met.select(*_pair("x", "y")).distinct()
+    off = F.bit_count(F.col("x.p").bitwiseXOR(F.col("y.p"))) * 1000 / (F.col("x.n") + F.col("y.n"))
+    return met.select(*_pair("x", "y"), off.cast("int").alias("off")).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -199,7 +206,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = cut(firsts.select("s", "p", "first.*", "copies", "set.*"), "line-classes")
     early = cut(verified(cut(sampled_pairs(classes, similarity), "line-pairs"), lines, similarity), "line-settled")
     settled = early.select(F.col("aid").alias("id"), F.col("aline").alias("line")).distinct()
-    late = verified(cut(prefix_pairs(classes, settled, similarity), "line-pairs"), lines, similarity)
+    pairs = cut(prefix_pairs(classes, settled, similarity), "line-pairs")
+    # one match is enough: the likeliest is tried first, the others for lines that are still unmatched
+    likeliest = pairs.groupBy("aid", "aline").agg(F.min(F.struct("off", "bid", "bline")).alias("y")).select("aid", "aline", "y.bid", "y.bline")
+    near = cut(verified(likeliest, lines, similarity), "line-near").select("aid", "aline").distinct()
+    others = cut(pairs.drop("off").join(near, ["aid", "aline"], "left_anti").join(likeliest, ["aid", "aline", "bid", "bline"], "left_anti"), "line-others")
+    late = verified(others, lines, similarity).select("aid", "aline").unionByName(near)
     gone = settled.unionByName(late.select(F.col("aid").alias("id"), F.col("aline").alias("line"))).distinct()
     gone = gone.withColumn("gone", F.lit(True))
     judged = classes.select("s", "p", "id", "line").join(gone, ["id", "line"], "left").select(
