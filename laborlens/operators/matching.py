@@ -189,8 +189,9 @@ def posting_side(
 def skill_hits(candidates: DataFrame, postings: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(user_id, job_id, j_hits): the posting's skills that the candidate has or has a relative of.
 
-    One equi-join on the key sets; with ``pairs`` only their candidates and postings meet. Each hit
-    has the factor of the candidate's own skill (``exact``) and of the first related one (``near``).
+    One equi-join on the key sets. With ``pairs`` only their candidates and postings meet: the key
+    sets are compared row by row, so that only shared keys are shuffled. Each hit has the factor of
+    the candidate's own skill (``exact``) and of the first related one (``near``).
     """
     mine = candidates.select("user_id", "c_own", F.explode("c_near").alias("key", "first")).select(
         "user_id", "key", "first", F.try_element_at("c_own", "key").alias("own")
@@ -201,8 +202,11 @@ def skill_hits(candidates: DataFrame, postings: DataFrame, pairs: DataFrame | No
     if pairs is None:
         met = salted_join(mine, asked, "key", "user_id")
     else:
-        wanted = pairs.select("user_id", "job_id").distinct()
-        met = wanted.join(mine, "user_id").join(asked, ["job_id", "key"])
+        theirs = F.array_distinct(F.flatten(F.transform("j_skills", lambda s: s["keys"])))
+        both = pairs.select("user_id", "job_id").distinct().join(postings.select("job_id", theirs.alias("_jk")), "job_id")
+        both = both.join(candidates.select("user_id", F.map_keys("c_near").alias("_ck")), "user_id")
+        shared = both.select("user_id", "job_id", F.explode(F.array_intersect("_ck", "_jk")).alias("key"))
+        met = shared.join(mine, ["user_id", "key"]).join(asked, ["job_id", "key"])
     one = met.groupBy("user_id", "job_id", "pos", "uri", "label", "importance").agg(
         F.max(F.when(F.col("key") == F.col("uri"), F.col("own"))).alias("exact"), F.min("first")["factor"].alias("near")
     )
