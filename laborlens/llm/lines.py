@@ -70,23 +70,28 @@ def least_overlap(a: Column, b: Column, similarity: float) -> Column:
 
 
 def described_lines(lines: DataFrame, ranks: list[int], similarity: float) -> DataFrame:
-    """(id, line, s, p, n, prefix, k0, k1) of every line with words.
+    """(id, line, s, p, q0..q3, n, prefix, k0, k1) of every line with words.
 
-    ``s`` hashes the set; ``p`` has the parity of the words in each of 64 places, so two sets differ in
-    at least as many words as their ``p`` differ in bits; ``k0`` and ``k1`` are two words of the
+    ``s`` hashes the set; ``q0..q3`` have the parity of the words in each of 256 places, ``p`` the same
+    in 64, so two sets differ in at least as many words as these differ in bits; ``k0`` and ``k1`` are two words of the
     prefix, sampled by their hashes.
     """
     one = F.lit(1).cast("long")
     t = lines.filter(F.btrim("body") != "").select("id", "line", ordered_words(F.col("body"), ranks).alias("t"))
     n = F.size("t")
-    # a shift by a word shifts by its last six bits
-    parity = F.aggregate("low", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x)))
+
+    def parity(part: int) -> Column:
+        """Of the words whose bits 6 and 7 are ``part``; a shift by a word shifts by its last six bits."""
+        mine = F.filter("low", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == part)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x)))
+
     t = t.select(
         "id", "line", F.xxhash64("t").alias("s"), n.alias("n"), F.slice("t", F.lit(1), prefix_length(n, similarity)).alias("prefix"),
         F.transform("t", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("low"),
     )
-    t = t.select("id", "line", "s", parity.alias("p"), "n", F.transform("prefix", lambda x: F.hash(x)).alias("prefix"))
-    return t.withColumns({"k0": F.array_min("prefix"), "k1": F.array_max("prefix")})
+    t = t.select("id", "line", "s", *[parity(i).alias(f"q{i}") for i in range(4)], "n", F.transform("prefix", lambda x: F.hash(x)).alias("prefix"))
+    fold = F.col("q0").bitwiseXOR(F.col("q1")).bitwiseXOR(F.col("q2")).bitwiseXOR(F.col("q3"))
+    return t.withColumns({"p": fold, "k0": F.array_min("prefix"), "k1": F.array_max("prefix")})
 
 
 def _alike(a: str, b: str, similarity: float) -> Column:
@@ -190,6 +195,23 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> D
     return met.select(*_pair("x", "y"), off.cast("int").alias("off")).distinct()
 
 
+def narrowed(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that the finer parities leave: most of those that are not similar go before any line is read."""
+    q = [f"q{i}" for i in range(4)]
+    known = only_hashed(
+        classes.select("id", "line", "n", *q),
+        pairs.select(F.col("aid").alias("id"), F.col("aline").alias("line")).unionByName(pairs.select(F.col("bid").alias("id"), F.col("bline").alias("line"))),
+        ["id", "line"],
+    )
+    known = cut(known, "line-parities")
+    a = known.select(F.col("id").alias("aid"), F.col("line").alias("aline"), F.col("n").alias("an"), *[F.col(c).alias(f"a{c}") for c in q])
+    b = known.select(F.col("id").alias("bid"), F.col("line").alias("bline"), F.col("n").alias("bn"), *[F.col(c).alias(f"b{c}") for c in q])
+    met = pairs.join(a, ["aid", "aline"]).join(b, ["bid", "bline"])
+    differ = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in q)
+    an, bn = F.col("an"), F.col("bn")
+    return met.filter(differ <= an + bn - 2 * least_overlap(an, bn, similarity)).select("aid", "aline", "bid", "bline")
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, line) of every line that is similar to an earlier line of the table.
 
@@ -201,7 +223,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = cut(described_lines(lines, ranks, similarity), "line-sets")
     firsts = rows.groupBy("s", "p").agg(
         F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies"),
-        F.first(F.struct("n", "prefix", "k0", "k1")).alias("set"),
+        F.first(F.struct("n", "prefix", "k0", "k1", "q0", "q1", "q2", "q3")).alias("set"),
     )
     classes = cut(firsts.select("s", "p", "first.*", "copies", "set.*"), "line-classes")
     early = cut(verified(cut(sampled_pairs(classes, similarity), "line-pairs"), lines, similarity), "line-settled")
@@ -211,6 +233,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     likeliest = pairs.groupBy("aid", "aline").agg(F.min(F.struct("off", "bid", "bline")).alias("y")).select("aid", "aline", "y.bid", "y.bline")
     near = cut(verified(likeliest, lines, similarity), "line-near").select("aid", "aline").distinct()
     others = cut(pairs.drop("off").join(near, ["aid", "aline"], "left_anti").join(likeliest, ["aid", "aline", "bid", "bline"], "left_anti"), "line-others")
+    others = cut(narrowed(others, classes, similarity), "line-narrowed")
     late = verified(others, lines, similarity).select("aid", "aline").unionByName(near)
     gone = settled.unionByName(late.select(F.col("aid").alias("id"), F.col("aline").alias("line"))).distinct()
     gone = gone.withColumn("gone", F.lit(True))
