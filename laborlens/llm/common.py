@@ -43,10 +43,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(column) -> "F.Column":
-    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
-
-
 # --- bytes of a column of texts -----------------------------------------------------------------
 
 _rng = np.random.Generator(np.random.PCG64(20240229))

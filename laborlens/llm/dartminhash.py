@@ -29,8 +29,8 @@ SIMILARITY = 0.8
 _FIRST = 2.0**-9  # length of the first rank range; each later range is as long as all before it
 
 
-def _range(s: int) -> tuple[float, float]:
-    return (0.0, _FIRST) if s == 0 else (_FIRST * 2.0 ** (s - 1), _FIRST * 2.0 ** (s - 1))
+def _length(s: int) -> float:
+    return _FIRST * 2.0 ** max(0, s - 1)
 
 
 def _poisson_table(mean: float) -> np.ndarray:
@@ -64,13 +64,10 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, texts:
     owner = text[src]
     room = weight[src] - nth
     base = mix(element[src] + mix(nth.astype(np.uint64)))
-    need = (k * math.log(k) + 2 * k) / np.maximum(total, 1e-300)  # ranks that fill most texts
     s = 0
     while missing.any():
-        start, length = _range(s)
-        # texts that still look for darts, and read this range at least because they are small
-        live = (missing > 0) & ((start < need) | (missing > 0))
-        mine = np.flatnonzero(live[owner])
+        length = _length(s)
+        mine = np.flatnonzero((missing > 0)[owner])  # texts that still look for darts
         if s not in _TABLES:
             _TABLES[s] = _poisson_table(length)
         h = mix(base[mine] ^ mix(np.full(1, s + 1, np.uint64)))

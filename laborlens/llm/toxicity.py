@@ -231,8 +231,8 @@ def fit(
 
     sample = fit_rows(docs, labels, id_col, text_col, label_col, rows)
     sample = sample.persist()
+    seen = sample.repartition(16).mapInPandas(described, "id string, label int, prints array<long>, units array<string>").persist()
     try:
-        seen = sample.repartition(16).mapInPandas(described, "id string, label int, prints array<long>, units array<string>").persist()
         firsts = seen.select("id", "label", F.posexplode("prints").alias("k", "print"))
         firsts = firsts.groupBy("label", "k", "print").agg(F.min("id").alias("id"))
         chosen = firsts.groupBy("id").agg(F.count("*").alias("n")).filter("n = 3").select("id")
@@ -262,6 +262,7 @@ def fit(
         ddl = "label int, " + ", ".join(f"{n} double" for n in FEATURES)
         points = sample.mapInPandas(measured, ddl).toPandas()  # at most ``rows`` rows of eight numbers
     finally:
+        seen.unpersist()
         sample.unpersist()
     if toxic and clean:
         points = points.sort_values(list(points.columns))  # the same sums in every run
