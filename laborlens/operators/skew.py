@@ -57,14 +57,6 @@ def rank_in_group(
     )
 
 
-def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only when the table is counted to have at most ``rows`` rows.
-
-    Beyond that the join is left to the optimizer, which shuffles both sides.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def latest(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """Last row per key as an aggregate (combined before the shuffle), not as a window."""
     newest = F.max_by(F.struct(*keep), F.struct(*order)).alias("_r")
