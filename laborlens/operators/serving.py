@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
-from .skew import latest, rank_in_group
+from .skew import latest, rank_in_group, salted_join
 
 LIVE = ("published", "pending_review")
 
@@ -259,7 +259,7 @@ def autocomplete(queries: DataFrame, labels: DataFrame, k: int = 10, threshold:
     q = queries.withColumns({"_needle": needle, "_qt": trigrams(F.col("q"))})
     q = q.withColumn("_qruns", F.when(F.length("_needle") < 3, F.array("_needle")).otherwise(F.array_distinct(runs(F.col("_needle"), 3))))
     text = F.col("search_text")
-    lt = labels.withColumns({"_lt": trigrams(text), "_runs": F.array_distinct(F.concat(runs(text, 3), runs(text, 2)))})
+    lt = labels.withColumns({"_lt": trigrams(text), "_runs": F.array_distinct(F.concat(runs(text, 3), runs(text, 2), runs(text, 1)))})
     both = autocomplete_pairs(q, lt, threshold).join(q.select("q", "_needle", "_qt"), "q").join(lt.drop("_runs"), "uri")
     similar = trigram_similarity(F.col("_qt"), F.col("_lt"))
     inside = F.col("search_text").contains(F.col("_needle"))
@@ -274,20 +274,26 @@ def autocomplete(queries: DataFrame, labels: DataFrame, k: int = 10, threshold:
 def lexical_search(queries: DataFrame, entries: DataFrame, k: int = 10) -> DataFrame:
     """Exact 3, prefix 2, contained 1; best label per concept, ``k`` concepts per query.
 
-    ``entries`` is (uri, norm). A label that contains the query contains its rarest run of three
-    characters, so the join is on that one.
+    ``entries`` is (uri, norm). A label that contains a query of three characters or more contains its
+    rarest run of three, so the join is on that one. Shorter queries are runs themselves and meet the
+    labels' runs of one and two characters.
     """
 
-    def keys(c: Column) -> Column:
-        n = F.greatest(F.length(c) - 2, F.lit(1))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(c, i, F.lit(3))))
-
-    q = queries.withColumn("qn", X.normalize_label(F.col("q"))).filter(F.col("qn") != "")
-    runs = entries.select("uri", "norm", F.explode(keys(F.col("norm"))).alias("g"))
-    often = runs.groupBy("g").agg(F.count("*").alias("n"))
-    probe = q.select("q", "qn", F.explode(keys(F.col("qn"))).alias("g")).join(often, "g")
-    probe = probe.groupBy("q", "qn").agg(F.min(F.struct("n", "g"))["g"].alias("g"))
-    hits = probe.join(runs, "g")
+    def keys(c: Column, size: int) -> Column:
+        n = F.greatest(F.length(c) - (size - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(c, i, F.lit(size)))
+
+    def runs(*sizes: int) -> DataFrame:
+        each = F.array_distinct(F.concat(*[keys(F.col("norm"), n) for n in sizes]))
+        return entries.select("uri", "norm", F.explode(each).alias("g"))
+
+    q = queries.withColumn("qn", X.normalize_label(F.col("q"))).filter(F.col("qn") != "").select("q", "qn")
+    often = runs(3).groupBy("g").agg(F.count("*").alias("n"))
+    whole = q.filter(F.length("qn") > 2).select("q", "qn", F.explode(F.array_distinct(keys(F.col("qn"), 3))).alias("g"))
+    probe = whole.join(often, "g").groupBy("q", "qn").agg(F.min(F.struct("n", "g"))["g"].alias("g"))
+    short = q.filter(F.length("qn") < 3).withColumn("g", F.col("qn"))
+    # a single letter is in most labels, so hot runs are dealt over many tasks
+    hits = probe.join(runs(3), "g").unionByName(salted_join(runs(1, 2), short, "g", "uri"))
     score = (
         F.when(F.col("norm") == F.col("qn"), 3).when(F.col("norm").startswith(F.col("qn")), 2)
         .when(F.col("norm").contains(F.col("qn")), 1)
