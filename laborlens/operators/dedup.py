@@ -202,11 +202,12 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def duplicate_edges(postings: DataFrame, vectors: DataFrame | None = None, row_id: str = "doc_id") -> DataFrame:
+def duplicate_edges(postings: DataFrame, vectors: DataFrame | Column | None = None, row_id: str = "doc_id") -> DataFrame:
     """Edges of the layers: canonical URL, then normalised key, then near vectors in a company.
 
     Later layers see only the rows the earlier ones left alone, except for the smallest row of
-    each group, which stays so that a later layer can still join two groups.
+    each group, which stays so that a later layer can still join two groups. ``vectors`` is a table
+    of (row id, embedding), or a column that makes the vector of a row, for those rows only.
     """
     p = live_rows(postings).withColumns(
         {
@@ -220,6 +221,8 @@ def duplicate_edges(postings: DataFrame, vectors: DataFrame | None = None, row_i
     out = by_url.withColumn("layer", F.lit(1)).unionByName(by_key.withColumn("layer", F.lit(3)))
     if vectors is not None:
         rest = rest.join(by_key.select(F.col("src").alias(row_id)), row_id, "left_anti")
-        near = similar_pairs(rest.join(vectors, row_id).filter(F.col("company_id").isNotNull()), row_id, "embedding", block="company_id")
+        rest = rest.filter(F.col("company_id").isNotNull())
+        made = rest.withColumn("embedding", vectors) if isinstance(vectors, Column) else rest.join(vectors, row_id)
+        near = similar_pairs(cut_lineage(made.select(row_id, "company_id", "embedding")), row_id, "embedding", block="company_id")
         out = out.unionByName(near.select(F.col("b").alias("src"), F.col("a").alias("dst"), F.lit(4).alias("layer")))
     return out

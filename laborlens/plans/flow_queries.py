@@ -512,7 +512,8 @@ def _(t):
  reach(id, r) AS (SELECT a, a FROM both_ways UNION SELECT reach.id, b FROM reach JOIN both_ways ON both_ways.a = reach.r)
  SELECT id, min(r) AS component FROM reach GROUP BY id""")
 def _(t):
-    return D.components(D.duplicate_edges(t("v_postings")).select("src", "dst"))
+    vector = embed(F.concat_ws("\n", "title", "description"))
+    return D.components(D.duplicate_edges(t("v_postings"), vector).select("src", "dst"))
 
 
 DOT = "list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))"

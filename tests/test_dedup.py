@@ -56,3 +56,33 @@ def test_platform_hosts_say_nothing(one):
     make = D.employer_domain(F.lit(None).cast("string"), F.col("x"))
     assert one(make, "x string", "https://boards.greenhouse.io/acme/1") is None
     assert one(make, "x string", "https://jobs.acme.example/1") == "acme.example"
+
+
+def test_near_copies_of_a_company_join_groups(spark):
+    """The registered query groups by layer 4 too: near copies under other URLs and keys."""
+    import __spark_entry__ as entry
+    from laborlens.functions.embed import embed
+    from pyspark.sql import functions as F
+
+    text = "We look for a careful engineer who builds data pipelines in the harbour of the city with a small team"
+    rows = [
+        (1, "https://a.example/1", "Data engineer", "A", "X", text, 7),
+        (2, "https://a.example/2", "Engineer of data", "A", "Y", text + " today", 7),
+        (3, "https://a.example/3", "Engineer for data", "A", "Z", text, 8),  # another company
+        (4, "https://a.example/4", "Cook", "A", "Q", "Prepares meals for guests of our hotel at the lake, mornings and evenings", 7),
+        (5, "https://a.example/4", "Cook again", "A", "R", "other words", 7),  # the URL of 4
+        (6, "https://a.example/6", "Data engineers", "A", "V", text, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, apply_url string, title string, company_name string, city string, description string, company_id long")
+    df = df.withColumn("status", F.lit("published"))
+    query = entry.queries()["dedup_components"]
+
+    def tables(name):
+        assert name == "v_postings"
+        return df
+
+    body = next(c.cell_contents for c in query.__closure__ or () if callable(c.cell_contents))
+    got = {r["id"]: r["component"] for r in body(tables).collect()}
+    assert got == {1: 1, 2: 1, 4: 4, 5: 4}
+    vectors = df.select("doc_id", embed(F.concat_ws("\n", "title", "description")).alias("embedding"))
+    assert {(r["src"], r["dst"]) for r in D.duplicate_edges(df, vectors).filter("layer = 4").collect()} == {(2, 1)}
