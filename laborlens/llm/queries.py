@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dartminhash, licenses, lines, mixing, suffixes, tiling, tokens, topk, toxicity, urls
+from . import audit, conversations, dartminhash, licenses, lines, mixing, suffixes, tiling, tokens, topk, toxicity, urls
 from .common import scratch, table
 from .sql import SQL
 
@@ -69,6 +69,14 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", "source")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_conversations(conversations.damaged(table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bm25_search": op2_bm25_search,
@@ -80,5 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {name: SQL[name] for name in QUERIES if name in SQL}

@@ -110,3 +110,104 @@ SELECT doc_id, sentence_ids, licenses, licenses[1] AS license FROM e
 
 
 SQL["op3_license_scan"] = _license_sql()
+
+SQL["op11_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+f AS (
+  SELECT doc_id, part, CAST(len(ws) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 65 * len(ws) AS INT)
+    + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) AS INT)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS failed FROM w),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, failed, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, failed),
+k(x, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM k a JOIN k b ON b.bit <> a.bit JOIN k c ON c.bit NOT IN (a.bit, b.bit) JOIN k d ON d.bit NOT IN (a.bit, b.bit, c.bit)
+  JOIN k e ON e.bit = 31 - a.bit - b.bit - c.bit - d.bit),
+s AS (
+  SELECT filter_order, step, bits[step] AS bit, CAST(list_sum(bits[1:step - 1]) AS INT) AS before
+  FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+r AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (failed & (coalesce(before, 0) | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (failed & coalesce(before, 0) = 0 AND failed & bit > 0), 0) AS removed,
+    coalesce(sum(n) FILTER (failed & coalesce(before, 0) > 0 AND failed & bit > 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (failed = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (failed & coalesce(before, 0) = 0 AND failed & bit > 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (failed & coalesce(before, 0) = 0 AND failed & bit > 0), 0) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def _repair_sql() -> str:
+    """The lattice row by row: a label is the cost in nine digits and the audit, so the least text is the answer."""
+
+    def add(label: str, cost: str, edits: str) -> str:
+        return f"lpad(CAST(CAST(left({label}, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || substr({label}, 10) || '{edits}'"
+
+    turn = "least(v.l0, v.l1, v.l3)"
+    return rf"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs),
+r AS (
+  SELECT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(
+      string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda h, b: xor(h >> 8, crcs[(xor(h, b) & 255) + 1])), 4294967295) % 20 AS k
+  FROM conversations, t),
+x AS (
+  SELECT c, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM r, unnest(CASE k WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS u(copy)),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM x),
+f AS (
+  SELECT *, CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS code,
+    lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+      WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM o),
+v AS (
+  SELECT DISTINCT c, 0 AS i, '000000000' AS l0, CAST(NULL AS VARCHAR) AS l1, '000000005I' AS l2, '000000010II' AS l3 FROM r
+  UNION ALL
+  SELECT c, i, n0, n1,
+    least(n2, {add("n0", "5", "I")}, {add("n1", "5", "I")}, {add("n3", "5", "I")}),
+    least(n3, {add("n2", "5", "I")}, {add("n0", "10", "II")}, {add("n1", "10", "II")})
+  FROM (
+    SELECT v.c, f.i, {add("v.l0", "2", "D")} AS n0,
+      least({add("v.l1", "2", "D")}, CASE WHEN ok AND code = 1 THEN {add("v.l0", "m", "K")} END) AS n1,
+      least({add("v.l2", "2", "D")}, CASE WHEN ok AND code = 2 THEN {add(turn, "m", "K")} END, CASE WHEN ok THEN {add(turn, "m + 1", "R")} END) AS n2,
+      least({add("v.l3", "2", "D")}, CASE WHEN ok AND code = 3 THEN {add("v.l2", "m", "K")} END, CASE WHEN ok THEN {add("v.l2", "m + 1", "R")} END) AS n3
+    FROM v JOIN (SELECT c, i, code, fault NOT IN (1, 2) AS ok, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS m FROM f) f ON f.c = v.c AND f.i = v.i + 1)),
+e AS (SELECT c, max_by(least(l0, l3), i) AS label FROM v GROUP BY c),
+a AS (SELECT c, CAST(left(label, 9) AS BIGINT) AS cost, substr(label, 10) AS audit FROM e),
+b AS (
+  SELECT c, p, substr(audit, p, 1) AS edit, p - len(replace(left(audit, p), 'I', '')) AS added, len(replace(left(audit, p), 'D', '')) AS given
+  FROM a, unnest(generate_series(1, len(audit))) AS g(p)),
+g AS (
+  SELECT b.*, f.role, f.text, coalesce(max(CAST(edit = 'K' AND code = 1 AS INT)) OVER (PARTITION BY b.c), 0) AS s
+  FROM b LEFT JOIN f ON f.c = b.c AND edit <> 'I' AND f.i = p - added),
+h AS (
+  SELECT c, string_agg(CASE WHEN edit = 'K' THEN role WHEN (given - s) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS said
+  FROM g WHERE edit <> 'D' GROUP BY c),
+n AS (
+  SELECT c, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM r) JOIN a USING (c) LEFT JOIN n USING (c) LEFT JOIN h USING (c)
+"""
+
+
+SQL["op13_conversation_repair"] = _repair_sql()
