@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import audit, conversations, dartminhash, licenses, lines, mixing, suffixes, tiling, tokens, topk, toxicity, urls
+from . import audit, conversations, dartminhash, licenses, lines, mixing, pii, suffixes, tiling, tokens, topk, toxicity, urls
 from .common import scratch, table
 from .sql import SQL
 
@@ -73,6 +73,10 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.describe(pii.find_personal_data(table(spark, folder, "documents")))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair_conversations(conversations.damaged(table(spark, folder, "conversations")))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_source_mix": op10_source_mix,
     "op11_filter_audit": op11_filter_audit,
+    "op12_personal_data": op12_personal_data,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {name: SQL[name] for name in QUERIES if name in SQL}
