@@ -38,27 +38,26 @@ BEFORE, AFTER = 64, 40  # characters around a slot in which its two words before
 ROUNDS = 3
 MIN_VALUES = 3.0  # known values that a pattern needs
 MIN_SCORE = 0.7  # of a pattern, and of a value
-BLOCK = 128  # running sums are taken in blocks, so their cost stays linear in practice
+BLOCK = 256  # running sums that are gathered before they join the list of blocks
 
 
-def _sums_before(a: Column) -> Column:
-    """For each element the sum of those before it."""
-    return F.transform(a, lambda x, i: F.aggregate(F.slice(a, F.lit(1), i), F.lit(0), lambda s, y: s + y))
+def running(a: Column) -> Column:
+    """For each element of an array the sum of those before it, in one pass.
 
+    Sums are gathered in blocks and the blocks in a list, so no long array is copied per element.
+    """
+    none = F.array().cast("array<int>")
+    start = F.struct(F.array().cast("array<array<int>>").alias("done"), none.alias("block"), F.lit(0).alias("sum"))
 
-def running(a: Column) -> Column:
-    """Like ``_sums_before`` for long arrays: blocks first, then inside the blocks."""
-    count = F.ceil(F.size(a) / F.lit(float(BLOCK))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(1), count), lambda b: F.slice(a, (b - 1) * BLOCK + 1, F.lit(BLOCK)))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, y: s + y))
-    # bases are read per block from the totals before it
-    parts = F.transform(
-        blocks,
-        lambda b, k: F.transform(
-            _sums_before(b), lambda x: x + F.aggregate(F.slice(totals, F.lit(1), k), F.lit(0), lambda s, y: s + y)
-        ),
-    )
-    return F.when(F.size(a) > BLOCK, F.flatten(parts)).otherwise(_sums_before(a))
+    def add(acc: Column, x: Column) -> Column:
+        full = F.size(acc["block"]) >= BLOCK
+        return F.struct(
+            F.when(full, F.concat(acc["done"], F.array(acc["block"]))).otherwise(acc["done"]).alias("done"),
+            F.when(full, F.array(acc["sum"])).otherwise(F.concat(acc["block"], F.array(acc["sum"]))).alias("block"),
+            (acc["sum"] + x).alias("sum"),
+        )
+
+    return F.aggregate(a, start, add, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["block"]))))
 
 
 def digits_of(value: Column) -> Column:
@@ -144,8 +143,10 @@ def word(w: Column) -> Column:
 def occurrences(texts: DataFrame) -> DataFrame:
     """(key, start, end, value, seed, shapes, patterns) of every slot; equal rows of a table count once."""
     s = texts.select("key", F.explode("slots").alias("s")).select("key", "s.*").dropDuplicates(["key", "start"])
-    inner = F.regexp_extract(F.col("value"), r"^[^\p{L}\p{N}+(\[]*(.*?)[^\p{L}\p{N})\]]*\z", 1)
     lead = F.length(F.regexp_extract(F.col("value"), r"^[^\p{L}\p{N}+(\[]*", 0))
+    # a trailing run of signs is looked for from its first sign only
+    tail = F.length(F.regexp_extract(F.col("value"), r"(?<![^\p{L}\p{N})\]])[^\p{L}\p{N})\]]+\z", 0))
+    inner = F.substr("value", lead + 1, F.greatest(F.length("value") - lead - tail, F.lit(0)))
     words = F.regexp_extract_all(F.col("before"), F.lit(r"\S+"), F.lit(0))
     s = s.withColumns(
         {
