@@ -183,7 +183,18 @@ def posting_side(
             "j_listed": F.coalesce(F.size("j_skills"), F.lit(0)),
             "j_must": F.coalesce(F.size(F.filter("j_skills", lambda s: s["importance"] == "must")), F.lit(0)),
         }
-    ).withColumn("j_listed", F.greatest("j_listed", F.lit(0))).withColumn("j_must", F.greatest("j_must", F.lit(0)))
+    ).withColumns({"j_listed": F.greatest("j_listed", F.lit(0)), "j_must": F.greatest("j_must", F.lit(0)), **skill_bits()})
+
+
+def skill_bits() -> dict[str, Column]:
+    """Bitmaps of all places of a posting's skill list and of those of its must skills; null without a list."""
+    words = F.ceil(F.size("j_skills") / F.lit(64.0)).cast("int")
+    every = F.transform("j_skills", lambda s, i: F.struct(i.alias("at"), s["importance"].alias("importance")))
+
+    def bitmap(which: Column) -> Column:
+        return F.when(F.size("j_skills") > 0, bit_words(F.transform(which, lambda s: s["at"]), words))
+
+    return {"j_all_bits": bitmap(every), "j_must_bits": bitmap(F.filter(every, lambda s: s["importance"] == "must"))}
 
 
 def skill_hits(candidates: DataFrame, postings: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -196,8 +207,8 @@ def skill_hits(candidates: DataFrame, postings: DataFrame, pairs: DataFrame | No
     mine = candidates.select("user_id", "c_own", F.explode("c_near").alias("key", "first")).select(
         "user_id", "key", "first", F.try_element_at("c_own", "key").alias("own")
     )
-    asked = postings.select("job_id", F.explode("j_skills").alias("s")).select(
-        "job_id", "s.pos", "s.uri", "s.label", "s.importance", F.explode("s.keys").alias("key")
+    asked = postings.select("job_id", F.posexplode("j_skills").alias("at", "s")).select(
+        "job_id", "at", "s.pos", "s.uri", "s.label", "s.importance", F.explode("s.keys").alias("key")
     )
     if pairs is None:
         met = salted_join(mine, asked, "key", "user_id")
@@ -207,13 +218,16 @@ def skill_hits(candidates: DataFrame, postings: DataFrame, pairs: DataFrame | No
         both = both.join(candidates.select("user_id", F.map_keys("c_near").alias("_ck")), "user_id")
         shared = both.select("user_id", "job_id", F.explode(F.array_intersect("_ck", "_jk")).alias("key"))
         met = shared.join(mine, ["user_id", "key"]).join(asked, ["job_id", "key"])
-    one = met.groupBy("user_id", "job_id", "pos", "uri", "label", "importance").agg(
+    one = met.groupBy("user_id", "job_id", "at", "pos", "uri", "label", "importance").agg(
         F.max(F.when(F.col("key") == F.col("uri"), F.col("own"))).alias("exact"), F.min("first")["factor"].alias("near")
     )
-    hit = F.struct("pos", "uri", "label", "importance", "exact", "near")
+    hit = F.struct("pos", "at", "uri", "label", "importance", "exact", "near")
     return one.groupBy("user_id", "job_id").agg(F.array_sort(F.collect_list(hit)).alias("j_hits"))
 
 
+LISTS = ("j_skills", "j_all_bits", "j_must_bits")  # what only the gaps need of a posting
+
+
 def join_pairs(
     pairs: DataFrame, candidates: DataFrame, postings: DataFrame, hits: DataFrame | None = None, listed: bool = True
 ) -> DataFrame:
@@ -227,11 +241,11 @@ def join_pairs(
         if name not in pairs.columns:
             pairs = pairs.withColumn(name, F.lit(None).cast(kind))
     hits = skill_hits(candidates, postings, pairs) if hits is None else hits
-    f = pairs.join(postings if listed else postings.drop("j_skills"), "job_id")
+    f = pairs.join(postings if listed else postings.drop(*LISTS), "job_id")
     f = f.join(candidates.drop("c_own", "c_near"), "user_id").join(hits, ["user_id", "job_id"], "left")
     if "c_vectors" in candidates.columns and "j_vector" in postings.columns:
         best = F.array_max(F.transform("c_vectors", lambda v: N.cosine(v, F.col("j_vector"))))
-        best = F.when(F.col("j_vector").isNotNull(), best)
+        best = F.when(F.col("j_vector").isNotNull(), N.half_up(best, 4))  # four decimals are stored and scored
         f = f.withColumn("similarity", F.coalesce("similarity", best)).drop("c_vectors", "j_vector")
     km = N.haversine_km(*[F.col(c) for c in ("c_lat", "c_lng", "j_lat", "j_lng")])
     return f.withColumn(
@@ -249,14 +263,11 @@ def evidence_pairs(candidates: DataFrame, postings: DataFrame) -> DataFrame:
     return salted_join(left, right, "key", "user_id").select("user_id", "job_id").distinct()
 
 
-PAIR_BLOCKS = 64  # postings are dealt out to so many blocks; every block meets all candidates
-
-
 def every_pair(candidates: DataFrame, postings: DataFrame) -> DataFrame:
-    """All pairs, block by block: no task holds more than a block of postings and a share of the candidates."""
-    block = F.pmod(F.xxhash64("job_id"), F.lit(PAIR_BLOCKS)).cast("int")
-    users = candidates.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1))).alias("_block"))
-    return users.join(postings.select("job_id", block.alias("_block")), "_block").select("user_id", "job_id")
+    """All pairs, over a grid whose cells are of bounded size on both sides."""
+    from .pruning import grid_join
+
+    return grid_join(candidates.select("user_id"), postings.select("job_id"))
 
 
 def candidate_pairs(candidates: DataFrame, postings: DataFrame, cfg: ModelConfig) -> DataFrame:
@@ -404,7 +415,7 @@ def skill_credits(cfg: ModelConfig = DEFAULT) -> Column:
         credit = F.coalesce(s["exact"], s["near"] * cfg.related_credit, F.lit(0.0))
         weight = F.when(s["importance"] == "must", cfg.must_weight).otherwise(cfg.nice_weight)
         return F.struct(
-            s["pos"].alias("pos"), s["uri"].alias("uri"), s["label"].alias("label"),
+            s["pos"].alias("pos"), s["at"].alias("at"), s["uri"].alias("uri"), s["label"].alias("label"),
             s["importance"].alias("importance"), weight.alias("weight"), credit.alias("credit"),
             F.when(s["exact"].isNotNull(), "matched").otherwise("related").alias("status"),
         )
@@ -413,7 +424,7 @@ def skill_credits(cfg: ModelConfig = DEFAULT) -> Column:
     return F.coalesce(F.transform(counted, one), F.array().cast(CREDITS))
 
 
-CREDITS = "array<struct<pos:int,uri:bigint,label:string,importance:string,weight:double,credit:double,status:string>>"
+CREDITS = "array<struct<pos:int,at:int,uri:bigint,label:string,importance:string,weight:double,credit:double,status:string>>"
 
 
 def skills_weight(cfg: ModelConfig = DEFAULT) -> Column:
@@ -604,18 +615,53 @@ def must_first(skills: Column) -> Column:
     )
 
 
+def bit_words(places: Column, words: Column) -> Column:
+    """The places as a bitmap of ``words`` 64-bit numbers."""
+    one = F.lit(1).cast("long")
+    none = F.array_repeat(F.lit(0).cast("long"), words)
+
+    def put(acc: Column, p: Column) -> Column:
+        bit = F.call_function("shiftleft", one, p.bitwiseAND(F.lit(63)))
+        return F.transform(acc, lambda x, i: F.when(i == F.shiftright(p, 6), x.bitwiseOR(bit)).otherwise(x))
+
+    return F.aggregate(places, none, put)
+
+
 def skill_gaps() -> Column:
-    """Related and missing skills of the posting, must before nice."""
-    found = F.transform("skill_credits", lambda s: s["pos"])
-    related = F.filter("skill_credits", lambda s: s["status"] == "related")
-    missing = F.transform(
-        F.filter("j_skills", lambda s: ~F.array_contains(found, s["pos"])),
-        lambda s: F.struct(
+    """Related and missing skills of the posting, must before nice, in the posting's order.
+
+    Bitmaps over the places in the posting's list: what is asked without what is matched. Only the bits
+    of a gap are decoded, must ones first, and then looked up in the list.
+    """
+
+    def places(status: str) -> Column:
+        return F.transform(F.filter("skill_credits", lambda s: s["status"] == status), lambda s: s["at"])
+
+    words = F.size("j_all_bits")
+    matched, related = bit_words(places("matched"), words), bit_words(places("related"), words)
+    known = F.arrays_zip(F.col("j_all_bits").alias("asked"), F.col("j_must_bits").alias("must"), matched.alias("matched"), related.alias("related"))
+
+    def decoded(must: bool) -> Column:
+        def word(z: Column, w: Column) -> Column:
+            gap = z["asked"].bitwiseAND(F.bitwise_not(z["matched"]))
+            gap = gap.bitwiseAND(z["must"] if must else F.bitwise_not(z["must"]))
+            bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(gap, b) == 1)
+            bits = F.when(gap != 0, bits)
+            return F.transform(bits, lambda b: F.struct((w * 64 + b).alias("at"), (F.getbit(z["related"], b) == 1).alias("related")))
+
+        return F.flatten(F.filter(F.transform(known, word), lambda x: x.isNotNull()))
+
+    def entry(g: Column) -> Column:
+        s = F.get("j_skills", g["at"])
+        return F.struct(
             s["pos"].alias("pos"), s["uri"].alias("uri"), s["label"].alias("label"), s["importance"].alias("importance"),
-            F.lit(0.0).alias("weight"), F.lit(0.0).alias("credit"), F.lit("missing").alias("status"),
-        ),
-    )
-    return must_first(F.array_sort(F.concat(related, F.coalesce(missing.cast(CREDITS), F.array().cast(CREDITS)))))
+            F.when(g["related"], "related").otherwise("missing").alias("status"),
+        )
+
+    return F.when(words > 0, F.transform(F.concat(decoded(True), decoded(False)), entry)).otherwise(F.array().cast(GAPS))
+
+
+GAPS = "array<struct<pos:int,uri:bigint,label:string,importance:string,status:string>>"
 
 
 def reason_list() -> Column:
@@ -768,13 +814,17 @@ def keep_matches(scored: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
 def recompute(
     candidates: DataFrame, postings: DataFrame, cfg: ModelConfig, pairs: DataFrame | None = None
 ) -> DataFrame:
-    """Kept matches of all candidates against all postings (or against a given pair table)."""
+    """Kept matches of all candidates against all postings (or against a given pair table).
+
+    Without a pair table only pairs that may reach ``possible`` are scored; see ``pruning``.
+    """
     if pairs is None:
-        pairs, hits = candidate_pairs(candidates, postings, cfg), skill_hits(candidates, postings)
-    else:
-        hits = skill_hits(candidates, postings, pairs)
+        from .pruning import promising_pairs
+
+        pairs = cut_lineage(promising_pairs(candidates, postings, cfg))
+    hits = skill_hits(candidates, postings, pairs)
     kept = keep_matches(total_scores(join_pairs(pairs, candidates, postings, hits, listed=False), cfg), cfg)
-    return explain_scores(kept.join(postings.select("job_id", "j_skills"), "job_id"), cfg)
+    return explain_scores(kept.join(postings.select("job_id", *LISTS), "job_id"), cfg)
 
 
 def sync_matches(stored: DataFrame, kept: DataFrame, evaluated_jobs: DataFrame, evaluated_users: DataFrame) -> DataFrame:

@@ -507,15 +507,6 @@ def _(t):
     return D.same_key_edges(p, "k", "doc_id")
 
 
-@query("dedup_components", """WITH RECURSIVE edges AS (SELECT src, dst FROM d_urledge UNION SELECT src, dst FROM d_keyedge),
- both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
- reach(id, r) AS (SELECT a, a FROM both_ways UNION SELECT reach.id, b FROM reach JOIN both_ways ON both_ways.a = reach.r)
- SELECT id, min(r) AS component FROM reach GROUP BY id""")
-def _(t):
-    vector = embed(F.concat_ws("\n", "title", "description"))
-    return D.components(D.duplicate_edges(t("v_postings"), vector).select("src", "dst"))
-
-
 DOT = "list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))"
 # all vectors whole, and a near copy of each: every third number is a little larger
 VECS = """(SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings UNION ALL
@@ -528,6 +519,31 @@ def vectors(t):
     return e.unionByName(e.select((F.lit(1000000000) + F.col("vec_id")).alias("vec_id"), "label", near.alias("embedding")))
 
 
+# a vector for every posting with a number in the table, and a near copy for a later posting of the same company
+ORACLE_PARTS["d_vector"] = """SELECT vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings UNION ALL
+ SELECT CAST(vec_id + (SELECT 13 * (floor(max(vec_id) / 13) + 1) FROM embeddings) AS BIGINT) AS doc_id,
+  list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * CASE WHEN (i - 1 + vec_id) % 3 = 0 THEN CAST(1.25 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END) AS v FROM embeddings"""
+ORACLE_PARTS["d_rest"] = f"""SELECT p.doc_id, p.company_id, v.v FROM v_postings p JOIN d_vector v ON v.doc_id = p.doc_id
+ WHERE {LIVE} AND company_id IS NOT NULL AND p.doc_id NOT IN (SELECT src FROM d_urledge) AND p.doc_id NOT IN (SELECT src FROM d_keyedge)"""
+ORACLE_PARTS["d_nearedge"] = f"SELECT b.doc_id AS src, a.doc_id AS dst FROM d_rest a JOIN d_rest b ON a.company_id = b.company_id AND a.doc_id < b.doc_id WHERE {DOT} > CAST(0.9 AS DOUBLE)"
+
+
+def posting_vectors(t):
+    e = t("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    near = F.transform("embedding", lambda x, i: x * F.when((i + F.col("vec_id")) % 3 == 0, 1.25).otherwise(1.0))
+    step = 13 * (F.floor(e.agg(F.max("vec_id").alias("m")).select("m").scalar() / 13) + 1)
+    copies = e.select((F.col("vec_id") + step).cast("long").alias("doc_id"), near.alias("embedding"))
+    return e.withColumnRenamed("vec_id", "doc_id").unionByName(copies)
+
+
+@query("dedup_components", """WITH RECURSIVE edges AS (SELECT src, dst FROM d_urledge UNION SELECT src, dst FROM d_keyedge UNION SELECT src, dst FROM d_nearedge),
+ both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+ reach(id, r) AS (SELECT a, a FROM both_ways UNION SELECT reach.id, b FROM reach JOIN both_ways ON both_ways.a = reach.r)
+ SELECT id, min(r) AS component FROM reach GROUP BY id""")
+def _(t):
+    return D.components(D.duplicate_edges(t("v_postings"), posting_vectors(t)).select("src", "dst"))
+
+
 @query("dedup_near", f"""SELECT a.vec_id AS a, b.vec_id AS b FROM {VECS} a JOIN {VECS} b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {DOT} > CAST(0.9 AS DOUBLE)""")
 def _(t):
     return D.similar_pairs(vectors(t), "vec_id", "embedding", 0.9, block="label").select("a", "b")

@@ -228,10 +228,26 @@ scored("l", "v_pairs", "p.similarity", SKILL_LED_WEIGHTS)
 # Every onboarded candidate with every published golden posting, for the full recompute.
 ORACLE_PARTS["x_all"] = """
 SELECT p.user_id, j.job_id, s.sim AS similarity FROM v_profiles p CROSS JOIN v_jobs j LEFT JOIN (
-  SELECT c.user_id, b.job_id, max(list_dot_product(c.v, b.v) / sqrt(list_dot_product(c.v, c.v) * list_dot_product(b.v, b.v))) AS sim
+  SELECT c.user_id, b.job_id,
+    floor(max(list_dot_product(c.v, b.v) / sqrt(list_dot_product(c.v, c.v) * list_dot_product(b.v, b.v))) * 10000 + CAST(0.5 AS DOUBLE)) / 10000 AS sim
   FROM (SELECT user_id, CAST(vector AS DOUBLE[]) AS v FROM v_candidate_vectors) c
   CROSS JOIN (SELECT job_id, CAST(vector AS DOUBLE[]) AS v FROM v_job_vectors WHERE job_id IN (SELECT job_id FROM v_jobs)) b
   GROUP BY 1, 2) s ON s.user_id = p.user_id AND s.job_id = j.job_id
 WHERE p.onboarded_at IS NOT NULL AND j.status = 'published' AND j.is_golden
 """
 scored("x", "x_all", "p.similarity", DEFAULT_WEIGHTS)
+
+# All pairs meet here, so skills meet by key alone, before any pair is formed.
+LIVE_SKILLS = "(SELECT s.* FROM v_job_skills s JOIN v_jobs j ON j.job_id = s.job_id WHERE j.status = 'published' AND j.is_golden)"
+LIVE_USERS = "(SELECT user_id FROM v_profiles WHERE onboarded_at IS NOT NULL)"
+ORACLE_PARTS["x_exact"] = f"""
+SELECT e.user_id, s.job_id, s.pos, s.uri, s.importance, e.factor AS exact
+FROM o_factor e JOIN {LIVE_USERS} u ON u.user_id = e.user_id JOIN {LIVE_SKILLS} s ON s.uri = e.uri
+"""
+ORACLE_PARTS["x_near"] = f"""
+SELECT m.*, f.factor * CAST(0.5 AS DOUBLE) AS near FROM (
+  SELECT c.user_id, s.job_id, s.pos, s.uri, s.importance, min(c.uri) AS first_uri
+  FROM (SELECT c.* FROM v_candidate_skills c JOIN {LIVE_USERS} u ON u.user_id = c.user_id) c
+  JOIN o_related r ON r.a = c.uri JOIN {LIVE_SKILLS} s ON s.uri = r.b GROUP BY 1, 2, 3, 4, 5) m
+JOIN o_factor f ON f.user_id = m.user_id AND f.uri = m.first_uri
+"""
