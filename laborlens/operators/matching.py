@@ -816,11 +816,13 @@ def recompute(
 ) -> DataFrame:
     """Kept matches of all candidates against all postings (or against a given pair table).
 
-    Without a pair table only pairs that may reach ``possible`` are scored; see ``pruning``.
+    Without a pair table only pairs that may reach ``possible`` are scored; see ``pruning``. Both sides
+    are then read several times, so they are assembled once and checkpointed.
     """
     if pairs is None:
         from .pruning import promising_pairs
 
+        candidates, postings = cut_lineage(candidates), cut_lineage(postings)
         pairs = cut_lineage(promising_pairs(candidates, postings, cfg))
     hits = skill_hits(candidates, postings, pairs)
     kept = keep_matches(total_scores(join_pairs(pairs, candidates, postings, hits, listed=False), cfg), cfg)
