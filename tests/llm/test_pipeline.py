@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from test_line_dedup import plain as plain_lines
 from test_near_duplicates import plain as plain_groups
 from test_search_tiling_toxicity import plain_tiles, split, toxic_rows
@@ -97,3 +98,23 @@ def test_empty_corpus(spark, tmp_path):
         spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert toxicity.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")).lexicon == {}
+
+
+CLASHES = ("score", "held_out", "removed", "_id", "contaminated", "items", "id", "others_", "predicted", "line", "coverage", "n_lines")
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Names that stages use inside, no ``n_chars``, repeated ids, nulls and empty texts."""
+    rows = [(1, "a b c\nd e f"), (1, "quite another text of its own here"), (2, "a b c\nx y z"), (None, "a b c"), (3, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.lit("kept"))
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "no such passage in any text")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert all(r["removed"] == "kept" and r["items"] == "kept" and r["_id"] == "kept" for r in out.collect())
+    texts = [r["text"] for r in corpus_pipeline.one_of_each_group(spark, docs, folder).filter("doc_id = 1").collect()]
+    assert len(texts) == 2  # different texts under one id both stay

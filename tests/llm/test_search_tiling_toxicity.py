@@ -124,7 +124,7 @@ def test_tiling_equals_the_definition(make_docs, spark):
     got = {r["doc_id"]: r for r in tiling.contamination(make_docs(docs), bench, least=3, threshold=0.6).collect()}
     assert len(got) == len(docs)
     for i, text in enumerate(docs):
-        shares = {j: plain_tiles(split(t), split(text), 3) for j, t in items if j is not None and t}
+        shares = {j: plain_tiles(split(t), split(text), min(3, len(split(t)))) for j, t in items if j is not None and t}
         assert got[i]["items"] == sorted(j for j, s in shares.items() if s >= 0.6)
         assert got[i]["coverage"] == pytest.approx(max(shares.values()))
         assert got[i]["contaminated"] == any(s >= 0.6 for s in shares.values())
@@ -143,6 +143,24 @@ def test_reordered_passage_and_blocks(make_docs, spark, monkeypatch):
     assert [r["contaminated"] for r in rows] == want and rows[2]["text"] == " ".join(w[:15]) and rows[0]["items"] == [7, 7]
 
 
+def test_short_items_match_as_a_whole(make_docs, spark):
+    bench = spark.createDataFrame([(1, "What is two plus?"), (2, "yes"), (3, "..."), (4, "one two three four five")], "item_id long, text string")
+    docs = ["he asked what is two plus exactly", "what is two", "Yes.", "yesterday", "one two three four", "plus what is two"]
+    got = {r["doc_id"]: r["items"] for r in tiling.contamination(make_docs(docs), bench).collect()}
+    assert got == {0: [1], 1: [], 2: [2], 3: [], 4: [], 5: []}
+
+
+def test_one_word_over_and_over():
+    import numpy as np
+
+    item, doc = np.full(300, 7, np.uint64), np.full(60_000, 7, np.uint64)
+    seeds = tiling.Seeds([1], [item], 5)
+    grams = tiling.shingles(doc, 5)
+    entry, at = seeds.starts(doc, np.arange(len(grams)), grams)
+    assert len(entry) < len(doc) + len(item)  # one for each diagonal, not one for each pair of places
+    assert seeds.hits(doc, np.arange(len(grams)), grams) == [{"item": 1, "coverage": 1.0, "tiles": 1}]
+
+
 def test_empty_benchmark_and_table(make_docs, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["contaminated"] for r in tiling.contamination(make_docs(["a b c d e f"]), none).collect()] == [False]
