@@ -35,8 +35,10 @@ def employer_domain(company_domain: Column, apply_url: Column) -> Column:
 def resolve_companies(postings: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings with ``company_key``, companies to add, domains to fill in).
 
-    An employer domain decides first, then the normalised name; the rest are new companies,
-    one per domain or name. Postings without name and domain have no company.
+    An employer domain decides first, then the normalised name. Of the rest, names and domains make a
+    graph: a name goes with the domain it stands with most often (of equal ones the least), so postings
+    of one firm with and without a domain, or with two, are one new company. A domain without a
+    name is its own key. Postings without name and domain have no company.
     """
     p = postings.withColumns(
         {
@@ -48,16 +50,19 @@ def resolve_companies(postings: DataFrame, companies: DataFrame) -> tuple[DataFr
     by_name = companies.groupBy(X.normalize_company(F.col("name")).alias("_norm")).agg(F.min("company_id").alias("_n"))
     p = p.join(by_domain, "_domain", "left").join(by_name, "_norm", "left")
     known = F.coalesce("_d", "_n").cast("string")
-    fresh = F.concat(F.lit("new:"), F.coalesce("_domain", "_norm"))
+    links = p.filter(known.isNull() & F.col("_domain").isNotNull() & F.col("_norm").isNotNull()).groupBy("_norm", "_domain").agg(F.count("*").alias("_c"))
+    main = links.groupBy("_norm").agg(F.min_by("_domain", F.struct(-F.col("_c"), F.col("_domain"))).alias("_main"))
+    p = p.join(main, "_norm", "left")
+    fresh = F.concat(F.lit("new:"), F.when(F.col("_norm").isNotNull(), F.coalesce("_main", "_norm")).otherwise(F.col("_domain")))
     p = p.withColumn("company_key", F.coalesce(known, fresh))
     new = p.filter(F.col("company_key").startswith("new:")).groupBy("company_key").agg(
-        F.min(F.coalesce("company_name", "_domain")).alias("name"), F.min("_domain").alias("domain")
+        F.min(F.coalesce("company_name", "_domain")).alias("name"), F.min(F.coalesce("_main", "_domain")).alias("domain")
     )
     fills = p.filter(F.col("_d").isNull() & F.col("_n").isNotNull() & F.col("_domain").isNotNull()).groupBy(
         F.col("_n").alias("company_id")
     ).agg(F.min("_domain").alias("fill"))
     fills = fills.join(companies.filter(F.col("domain").isNull()).select("company_id"), "company_id", "left_semi")
-    return p.drop("_domain", "_norm", "_d", "_n"), new, fills
+    return p.drop("_domain", "_norm", "_d", "_n", "_main"), new, fills
 
 
 def same_key_edges(rows: DataFrame, key: str, row_id: str) -> DataFrame:

@@ -155,29 +155,63 @@ def advance_activity(profiles: DataFrame, visits: DataFrame) -> DataFrame:
     ).drop("_v")
 
 
-def application_state(feedback: DataFrame) -> DataFrame:
-    """Application status that follows from the feedback log, without replaying it row by row.
+# --- application state as a mergeable fold ------------------------------------------------------
+
+def _state(status: Column | None = None, saved: Column | None = None, applied: Column | None = None) -> Column:
+    none = F.lit(None)
+    status = none.cast("string") if status is None else F.nullif(status, F.lit(""))  # a nullable field in every form
+    return F.struct(
+        status.alias("status"),
+        (none if saved is None else saved).cast("timestamp").alias("saved_at"),
+        (none if applied is None else applied).cast("timestamp").alias("applied_at"),
+    )
+
+
+def event_summary(kind: Column, at: Column) -> Column:
+    """What one event makes of no row (``fresh``) and of a saved row (``held``); an applied row never changes.
 
-    ``saved`` creates a row when there is none, ``unsaved`` removes it only while it is saved,
-    ``applied`` creates or promotes it. So once applied, always applied; otherwise the row
-    exists when the last save is newer than the last unsave. The first apply gives its date; the
-    creating save is the first one after the last unsave before that apply (or of the open spell).
+    In ``held`` a null ``saved_at`` stands for the date that the row had before.
     """
-    key = ["user_id", "job_id"]
-    at = F.struct("created_at", "event_id")
+    makes, applies = kind.isin("saved", "applied"), kind == "applied"
+    fresh = _state(F.when(makes, kind), F.when(makes, at), F.when(applies, at))
+    held = _state(F.when(applies, "applied").when(kind != "unsaved", "saved"), None, F.when(applies, at))
+    return F.struct(fresh.alias("fresh"), held.alias("held"))
 
-    def when(kind: str) -> Column:
-        return F.when(F.col("type") == kind, at)
 
-    marks = feedback.groupBy(*key).agg(
-        F.min(when("applied")).alias("_apply"), F.max(when("saved")).alias("_save"), F.max(when("unsaved")).alias("_unsave")
-    )
-    status = F.when(F.col("_apply").isNotNull(), "applied").when(
-        F.col("_save").isNotNull() & (F.col("_unsave").isNull() | (F.col("_save") > F.col("_unsave"))), "saved"
-    )
-    return marks.withColumn("status", status).filter(F.col("status").isNotNull()).select(
-        *key, "status", F.col("_apply.created_at").alias("applied_at")
+def then(a: Column, b: Column) -> Column:
+    """The summary of ``a`` followed by ``b``; any grouping of neighbours gives the same."""
+
+    def after(start: Column) -> Column:
+        s = b["held"]
+        kept = F.struct(s["status"].alias("status"), F.coalesce(s["saved_at"], start["saved_at"]).alias("saved_at"), s["applied_at"].alias("applied_at"))
+        # a row that is deleted and made again within b has its own date, which is not null
+        return F.when(start["status"].isNull(), b["fresh"]).when(start["status"] == "applied", start).otherwise(kept)
+
+    return F.struct(after(a["fresh"]).alias("fresh"), after(a["held"]).alias("held"))
+
+
+def folded(parts: Column) -> Column:
+    """Summaries in order (``s`` of each element) as one."""
+    same = F.struct(_state().alias("fresh"), _state(F.lit("saved")).alias("held"))
+    return F.aggregate(parts, same, lambda acc, x: then(acc, x["s"]))
+
+
+def application_state(feedback: DataFrame, span: str = "hour") -> DataFrame:
+    """(user_id, job_id, status, saved_at, applied_at) that follows from the feedback log.
+
+    ``saved`` creates a row when there is none, ``unsaved`` removes it only while it is saved, ``applied``
+    creates or promotes it. ``saved_at`` is the date of the event that created the row. Events of a pair
+    are folded to one summary per ``span`` of time, and the summaries of the spans are merged in order:
+    a pair with many events is never gathered whole. Ties of the date go by event id.
+    """
+    key = ["user_id", "job_id"]
+    at = F.col("created_at").cast("timestamp")
+    events = feedback.filter(F.col("type").isin("saved", "unsaved", "applied")).select(
+        *key, F.date_trunc(span, at).alias("_span"), F.struct(at.alias("at"), F.col("event_id"), event_summary(F.col("type"), at).alias("s")).alias("e")
     )
+    spans = events.groupBy(*key, "_span").agg(folded(F.array_sort(F.collect_list("e"))).alias("s"))
+    whole = spans.groupBy(*key).agg(folded(F.array_sort(F.collect_list(F.struct("_span", "s")))).alias("s"))
+    return whole.filter(F.col("s.fresh.status").isNotNull()).select(*key, "s.fresh.*")
 
 
 def stage_dates(moves: DataFrame) -> DataFrame:
@@ -207,20 +241,30 @@ def moderate(jobs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def reclassify(jobs: DataFrame, overrides: DataFrame, occupations: DataFrame) -> DataFrame:
-    """Manual classification: occupation code looked up, confidence 1, no review reasons."""
-    o = overrides.join(occupations, "occupation_uri", "left").select(
-        "job_id", F.lit(True).alias("_o"), F.col("isco").alias("_isco"), F.col("new_seniority").alias("_sen"), "publish"
+    """Manual classification: occupation and its code, seniority, confidence 1, no review reasons.
+
+    Of several overrides of a posting the last counts (``decided_at``, then ``event_id``, where they are
+    columns). ``occupation_uri`` and ``review_reasons`` are renewed where the postings have them.
+    """
+    order = [c for c in ("decided_at", "event_id") if c in overrides.columns] or ["occupation_uri"]
+    last = latest(overrides, ["job_id"], order, ["occupation_uri", "new_seniority", "publish"])
+    o = last.join(occupations, "occupation_uri", "left").select(
+        "job_id", F.lit(True).alias("_o"), F.col("occupation_uri").alias("_uri"), F.col("isco").alias("_isco"),
+        F.col("new_seniority").alias("_sen"), "publish",
     )
     f, hit = jobs.join(o, "job_id", "left"), F.col("_o").isNotNull()
-    return f.withColumns(
-        {
-            "isco_code": F.when(hit, F.col("_isco")).otherwise(F.col("isco_code")),
-            "seniority": F.when(hit, F.col("_sen")).otherwise(F.col("seniority")),
-            "confidence": F.when(hit, 1.0).otherwise(F.col("confidence")),
-            "needs_review": F.col("needs_review") & ~hit,
-            "status": F.when(hit & F.col("publish"), "published").otherwise(F.col("status")),
-        }
-    ).drop("_o", "_isco", "_sen", "publish")
+    new = {
+        "isco_code": F.when(hit, F.col("_isco")).otherwise(F.col("isco_code")),
+        "seniority": F.when(hit, F.col("_sen")).otherwise(F.col("seniority")),
+        "confidence": F.when(hit, 1.0).otherwise(F.col("confidence")),
+        "needs_review": F.col("needs_review") & ~hit,
+        "status": F.when(hit & F.col("publish"), "published").otherwise(F.col("status")),
+    }
+    if "occupation_uri" in jobs.columns:
+        new["occupation_uri"] = F.when(hit, F.col("_uri")).otherwise(F.col("occupation_uri"))
+    if "review_reasons" in jobs.columns:
+        new["review_reasons"] = F.when(hit, F.array().cast("array<string>")).otherwise(F.col("review_reasons"))
+    return f.withColumns(new).drop("_o", "_uri", "_isco", "_sen", "publish")
 
 
 def merge_cv_skills(stored: DataFrame, parsed: DataFrame) -> DataFrame:

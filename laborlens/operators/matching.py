@@ -829,6 +829,40 @@ def recompute(
     return explain_scores(kept.join(postings.select("job_id", *LISTS), "job_id"), cfg)
 
 
+def changed_keys(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """(key, gone): rows that are new, changed or gone between two tables of digests (``input_digest``)."""
+    old, new = before.select(key, F.col("digest").alias("_old")), now.select(key, F.col("digest").alias("_new"))
+    both = old.join(new, key, "full").filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    return both.select(key, F.col("_new").isNull().alias("gone"))
+
+
+def recompute_changed(
+    candidates: DataFrame, postings: DataFrame, users: DataFrame | None, jobs: DataFrame | None, cfg: ModelConfig = DEFAULT
+) -> DataFrame:
+    """Kept matches of the pairs with a changed side; pairs whose sides are both as before are not scored.
+
+    ``users`` and ``jobs`` are key tables of ``changed_keys``, None where a side has no change.
+    """
+    parts = []
+    if users is not None:
+        parts.append(recompute(candidates.join(users.select("user_id"), "user_id", "left_semi"), postings, cfg))
+        candidates = candidates.join(users.select("user_id"), "user_id", "left_anti")
+    if jobs is not None:
+        parts.append(recompute(candidates, postings.join(jobs.select("job_id"), "job_id", "left_semi"), cfg))
+    if not parts:
+        raise ValueError("no side has changes")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def apply_changes(stored: DataFrame, kept: DataFrame, users: DataFrame | None, jobs: DataFrame | None) -> DataFrame:
+    """The match table after a change set: stored rows of unchanged sides, and the newly kept rows."""
+    rest = stored
+    for key, changed in (("user_id", users), ("job_id", jobs)):
+        if changed is not None:
+            rest = rest.join(changed.select(key), key, "left_anti")
+    return rest.unionByName(kept.select(*stored.columns))
+
+
 def sync_matches(stored: DataFrame, kept: DataFrame, evaluated_jobs: DataFrame, evaluated_users: DataFrame) -> DataFrame:
     """New state of the match table: stored rows outside the evaluated scope plus the kept rows.
 

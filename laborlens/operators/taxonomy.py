@@ -42,9 +42,10 @@ def grams(text: Column, needed: Column, longest: int = MAX_RUNS) -> Column:
 
 
 def place_in(text: Column, label: Column) -> Column:
-    """1-based place of a label as whole tokens, 0 when absent."""
+    """1-based place of a label as whole tokens, in code points, 0 when absent."""
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), label, F.lit(r"\E(?![\p{L}\p{N}+#])"))
-    return F.regexp_instr(text, pattern)
+    before = F.length(F.get(F.split(text, pattern, 2), F.lit(0)))  # a place of ``regexp_instr`` is in UTF-16 units
+    return F.when(F.regexp_instr(text, pattern) > 0, before + 1).otherwise(F.lit(0))
 
 
 DICTIONARY_BYTES = 64 << 20  # labels that tasks hold at most; a larger dictionary is joined
@@ -54,7 +55,8 @@ def find_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -
     """(doc_id, uri, label, index): every concept named in a text, once, with its longest label.
 
     Labels of one or two characters are looked for in the raw text with their case, the others
-    in the normalised text, as whole words. Labels without any letter or digit are left out. A
+    in the normalised text, as whole words. Labels without any letter or digit are left out. Rows that
+    share an id are one text; places are in code points. A
     dictionary of up to ``DICTIONARY_BYTES`` goes to the tasks, and only hits leave them; the words of
     the texts meet a larger one in a join.
     """
@@ -69,10 +71,17 @@ def find_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -
         finder = Finder(known)
         for b in batches:
             rows = [(i, *hit) for i, raw, norm in zip(b[doc_id], b["_raw"], b["_norm"]) for hit in finder.hits(raw, norm)]
-            yield pd.DataFrame(rows, columns=[doc_id, "uri", "label", "index"])
+            yield pd.DataFrame(rows, columns=[doc_id, "uri", "label", "index", "size", "entry"])
 
     work = docs.filter(F.col(text).isNotNull()).select(doc_id, F.col(text).alias("_raw"), normalize_label(F.col(text)).alias("_norm"))
-    return work.mapInPandas(find, f"`{doc_id}` {kind}, uri {uri}, label string, index int")
+    found = work.mapInPandas(find, f"`{doc_id}` {kind}, uri {uri}, label string, index int, size int, entry int")
+    return longest_labels(found.select(F.col(doc_id), F.struct("uri", "label", "size", "entry", "index").alias("h")), doc_id)
+
+
+def longest_labels(found: DataFrame, doc_id: str) -> DataFrame:
+    """One row per text and concept: the longest label, of equal ones the earlier entry, at its first place."""
+    best = F.max_by(F.col("h"), F.struct(F.col("h.size"), -F.col("h.entry"), -F.col("h.index"))).alias("h")
+    return found.groupBy(doc_id, F.col("h.uri").alias("uri")).agg(best).select(doc_id, "uri", "h.label", "h.index")
 
 
 class Finder:
@@ -115,7 +124,7 @@ class Finder:
                         rank = (len(normal), -entry)
                         if at >= 0 and (uri not in best or rank > best[uri][0]):
                             best[uri] = (rank, label, at)
-        return [(uri, label, at) for uri, (_, label, at) in best.items()]
+        return [(uri, label, at, size, -entry) for uri, ((size, entry), label, at) in best.items()]
 
 
 def joined_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -152,8 +161,7 @@ def joined_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str)
         ),
     )
     found = work.join(hits, doc_id).select(doc_id, F.explode_outer(placed).alias("h")).filter(F.col("h.index") >= 0)
-    longest = F.max_by(F.col("h"), F.struct(F.col("h.size"), -F.col("h.entry"))).alias("h")
-    return found.groupBy(doc_id, F.col("h.uri").alias("uri")).agg(longest).select(doc_id, "uri", "h.label", "h.index")
+    return longest_labels(found, doc_id)
 
 
 def best_concept(found: DataFrame, doc_id: str) -> DataFrame:

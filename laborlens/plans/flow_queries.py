@@ -387,12 +387,17 @@ def _(t):
     return I.geocode(jobs, t("v_cities")).select("job_id", "lat", "region")
 
 
-ORACLE_PARTS["d_company"] = f"""
-SELECT p.doc_id, CASE WHEN p.company_name IS NULL AND u.dom IS NULL THEN NULL ELSE coalesce(CAST(n.id AS STRING), 'new:' || coalesce(u.dom, p.norm)) END AS company_key
+ORACLE_PARTS["d_named"] = f"""
+SELECT p.doc_id, p.company_name, p.norm, u.dom, n.id
 FROM (SELECT *, {sql_company('company_name')} AS norm FROM v_postings) p
 JOIN (SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN 'example.com' END AS dom FROM v_postings) u ON u.doc_id = p.doc_id
 LEFT JOIN (SELECT {sql_company('name')} AS norm, min(id) AS id FROM (SELECT 7 AS id, 'Canal Analytics' AS name UNION ALL SELECT 8, 'Noord Software' UNION ALL SELECT company_id, name FROM v_companies) k GROUP BY 1) n ON n.norm = p.norm
 """
+ORACLE_PARTS["d_company"] = """
+SELECT p.doc_id, CASE WHEN p.id IS NOT NULL THEN CAST(p.id AS STRING) WHEN p.norm IS NOT NULL THEN 'new:' || coalesce(m.main, p.norm)
+  WHEN p.dom IS NOT NULL THEN 'new:' || p.dom END AS company_key
+FROM d_named p LEFT JOIN (SELECT norm, min(dom) AS main FROM d_named WHERE id IS NULL GROUP BY norm) m ON m.norm = p.norm
+"""
 
 
 def known_companies(t):

@@ -365,14 +365,24 @@ def _(t):
     return M.rank_matches(scored(t).select("user_id", "job_id", "total_score", "knocked_out"))
 
 
+GAPS = """SELECT user_id, job_id, string_agg(CAST(uri AS STRING) || CASE WHEN coalesce(near, 0) > 0 THEN 'r' ELSE 'm' END, ','
+ ORDER BY CASE WHEN importance = 'must' THEN 0 ELSE 1 END, pos) AS gaps FROM o_credit WHERE exact IS NULL GROUP BY 1, 2"""
+
+
 @query("match_explain_export", _shown("""SELECT t.user_id, t.job_id, total_score, label, t.limited_data, {p_skills} AS skill_points,
- {s_practical} AS practical_score FROM o_total t"""))
+ {s_practical} AS practical_score, coalesce(r.reasons, 'reason.fallback') AS reasons, coalesce(g.gaps, '') AS gaps FROM o_total t LEFT JOIN (""")
+       + _shown(REASONS) + f") r ON r.user_id = t.user_id AND r.job_id = t.job_id LEFT JOIN ({GAPS}) g ON g.user_id = t.user_id AND g.job_id = t.job_id")
 def _(t):
     rows = M.match_rows(scored(t))
     c = F.col("component_scores")
     points = F.coalesce(F.get_json_object(c, "$.skills.points"), F.lit("0"))
-    return rows.select("user_id", "job_id", "total_score", "label", "limited_data", points.cast("double").alias("skill_points"),
-                       F.get_json_object(c, "$.practical.score").cast("double").alias("practical_score"))
+    told = F.from_json("explanation", "reasons array<struct<key:string>>, gaps array<struct<uri:string,status:string>>")
+    return rows.withColumn("told", told).select(
+        "user_id", "job_id", "total_score", "label", "limited_data", points.cast("double").alias("skill_points"),
+        F.get_json_object(c, "$.practical.score").cast("double").alias("practical_score"),
+        F.array_join(F.transform("told.reasons", lambda r: r["key"]), ",").alias("reasons"),
+        F.array_join(F.transform("told.gaps", lambda g: F.concat(g["uri"], F.left(g["status"], F.lit(1)))), ",").alias("gaps"),
+    )
 
 
 # --- recomputation ----------------------------------------------------------------------
@@ -403,18 +413,20 @@ def _(t):
     return M.candidate_pairs(people, postings(t, matchable(t)), SKILL_LED)
 
 
-def touched(t) -> DataFrame:
-    """Postings last seen in the newest month of the table."""
+def changed_postings(t) -> DataFrame:
+    """Postings whose digest differs from that of a month ago, when those last seen since did not exist."""
     jobs = t("v_jobs")
     newest = jobs.agg(F.max("last_seen")).scalar()
-    return jobs.filter(F.col("last_seen") >= newest - F.expr("INTERVAL 30 DAYS"))
+    before = jobs.filter(F.col("last_seen") < newest - F.expr("INTERVAL 30 DAYS"))
+    return M.changed_keys(digests(t, "job_id", before), digests(t, "job_id"), "job_id")
 
 
 @query("match_recompute_delta", KEPT.replace("WHERE", """JOIN v_jobs j ON j.job_id = t.job_id
  WHERE j.last_seen >= (SELECT max(last_seen) FROM v_jobs) - INTERVAL 30 DAY AND""").replace(" AND total_score", " AND total_score"))
 def _(t):
-    live = matchable(t).join(touched(t).select("job_id"), "job_id", "left_semi")
-    return full(t, live).select(*RESULT)
+    people = candidates(t, vectors=True).join(onboarded(t), "user_id", "left_semi")
+    jobs = postings(t, matchable(t), vectors=True)
+    return M.recompute_changed(people, jobs, None, changed_postings(t), DEFAULT).select(*RESULT)
 
 
 @query("sink_match_sync", f"""SELECT user_id, job_id, total_score, label, knocked_out, limited_data FROM ({KEPT}) a
@@ -467,7 +479,8 @@ POSTING_INPUTS = ("job_languages", "job_skills", "job_vectors")
 KEYS = {"user_id": ("v_candidates", CANDIDATE_INPUTS), "job_id": ("v_jobs", POSTING_INPUTS)}
 
 
-def digests(t, key: str) -> DataFrame:
+def digests(t, key: str, rows: DataFrame | None = None) -> DataFrame:
+    """Digests of a side, or of some rows of it."""
     base, children = KEYS[key]
 
     def child(name):
@@ -476,7 +489,7 @@ def digests(t, key: str) -> DataFrame:
             rows = rows.withColumn("vector", F.array_join(F.transform("vector", lambda x: F.round(x * 1000000).cast("bigint").cast("string")), " "))
         return rows
 
-    return M.input_digest(t(base), key, {name: child(name) for name in children})
+    return M.input_digest(t(base) if rows is None else rows, key, {name: child(name) for name in children})
 
 
 def _text(columns) -> str:

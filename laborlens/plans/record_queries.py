@@ -260,10 +260,14 @@ def _(t):
     return L.advance_activity(t("v_profiles"), visits).select("user_id", "last_active_at", "warned_at")
 
 
-@query("app_state", """WITH m AS (SELECT user_id, job_id, min(created_at) FILTER (type = 'applied') AS applied_at,
- max(ROW(created_at, event_id)) FILTER (type = 'saved') AS sv, max(ROW(created_at, event_id)) FILTER (type = 'unsaved') AS us FROM v_feedback GROUP BY 1, 2)
- SELECT user_id, job_id, CASE WHEN applied_at IS NOT NULL THEN 'applied' ELSE 'saved' END AS status, applied_at FROM m
- WHERE applied_at IS NOT NULL OR (sv IS NOT NULL AND (us IS NULL OR sv > us))""")
+@query("app_state", """WITH f AS (SELECT *, ROW(created_at, event_id) AS w FROM v_feedback WHERE type IN ('saved', 'unsaved', 'applied')),
+ a AS (SELECT user_id, job_id, min(w) FILTER (type = 'applied') AS ap FROM f GROUP BY 1, 2),
+ u AS (SELECT f.user_id, f.job_id, any_value(a.ap) AS ap, max(f.w) FILTER (f.type = 'unsaved' AND (a.ap IS NULL OR f.w < a.ap)) AS us
+  FROM f JOIN a ON a.user_id = f.user_id AND a.job_id = f.job_id GROUP BY 1, 2),
+ s AS (SELECT f.user_id, f.job_id, any_value(u.ap) AS ap, min(f.created_at) FILTER (f.type = 'saved' AND (u.us IS NULL OR f.w > u.us) AND (u.ap IS NULL OR f.w < u.ap)) AS sv,
+  min(f.created_at) FILTER (f.type = 'applied') AS applied_at FROM f JOIN u ON u.user_id = f.user_id AND u.job_id = f.job_id GROUP BY 1, 2)
+ SELECT user_id, job_id, CASE WHEN ap IS NOT NULL THEN 'applied' ELSE 'saved' END AS status, CAST(coalesce(sv, applied_at) AS TIMESTAMP) AS saved_at,
+ CAST(applied_at AS TIMESTAMP) AS applied_at FROM s WHERE ap IS NOT NULL OR sv IS NOT NULL""")
 def _(t):
     return L.application_state(t("v_feedback"))
 
@@ -298,18 +302,21 @@ def _(t):
     return L.moderate(t("v_jobs"), t.sql(DECISIONS)).select("job_id", "status", "needs_review", "note")
 
 
-OVERRIDES = "SELECT s_suppkey AS job_id, s_nationkey AS occupation_uri, 'lead' AS new_seniority, s_suppkey % 4 = 0 AS publish FROM supplier WHERE s_acctbal > 5000"
+OVERRIDES = """SELECT s_suppkey AS job_id, s_nationkey AS occupation_uri, 'lead' AS new_seniority, s_suppkey % 4 = 0 AS publish, 2 AS event_id
+ FROM supplier WHERE s_acctbal > 5000 UNION ALL SELECT s_suppkey, s_nationkey + 1, 'junior', TRUE, 1 FROM supplier WHERE s_acctbal > 6000"""
 OCCUPATIONS = "SELECT n_nationkey AS occupation_uri, CAST(2000 + n_nationkey AS STRING) AS isco FROM nation WHERE n_nationkey % 5 <> 0"
 
 
 @query("job_reclassify", """SELECT s.job_id, CASE WHEN o.s_suppkey IS NULL THEN s.isco_code WHEN o.s_nationkey % 5 <> 0 THEN CAST(2000 + o.s_nationkey AS STRING) END AS isco_code,
  CASE WHEN o.s_suppkey IS NULL THEN s.seniority ELSE 'lead' END AS seniority, CASE WHEN o.s_suppkey IS NULL THEN 0.5 ELSE 1 END AS confidence,
- s.needs_review AND o.s_suppkey IS NULL AS needs_review, CASE WHEN o.s_suppkey % 4 = 0 THEN 'published' ELSE s.status END AS status
+ s.needs_review AND o.s_suppkey IS NULL AS needs_review, CASE WHEN o.s_suppkey % 4 = 0 THEN 'published' ELSE s.status END AS status,
+ coalesce(o.s_nationkey, -1) AS occupation_uri, CASE WHEN o.s_suppkey IS NULL AND s.needs_review THEN 'low_confidence' ELSE '' END AS review_reasons
  FROM v_jobs s LEFT JOIN supplier o ON o.s_suppkey = s.job_id AND o.s_acctbal > 5000""")
 def _(t):
-    jobs = t("v_jobs").withColumn("confidence", F.lit(0.5))
+    reasons = F.when(F.col("needs_review"), F.array(F.lit("low_confidence"))).otherwise(F.array().cast("array<string>"))
+    jobs = t("v_jobs").withColumns({"confidence": F.lit(0.5), "occupation_uri": F.lit(-1), "review_reasons": reasons})
     out = L.reclassify(jobs, t.sql(OVERRIDES), t.sql(OCCUPATIONS))
-    return out.select("job_id", "isco_code", "seniority", "confidence", "needs_review", "status")
+    return out.select("job_id", "isco_code", "seniority", "confidence", "needs_review", "status", "occupation_uri", F.array_join("review_reasons", ",").alias("review_reasons"))
 
 
 STORED = """SELECT user_id, uri, 'skill ' || CAST(uri AS STRING) AS label, last_used_year, CASE WHEN uri % 3 = 0 THEN 'manual' ELSE 'cv' END AS source,

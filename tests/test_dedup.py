@@ -59,8 +59,7 @@ def test_platform_hosts_say_nothing(one):
 
 
 def test_near_copies_of_a_company_join_groups(spark):
-    """The registered query groups by layer 4 too: near copies under other URLs and keys."""
-    import __spark_entry__ as entry
+    """Layer 4: near copies under other URLs and keys."""
     from laborlens.functions.embed import embed
     from pyspark.sql import functions as F
 
@@ -75,14 +74,20 @@ def test_near_copies_of_a_company_join_groups(spark):
     ]
     df = spark.createDataFrame(rows, "doc_id long, apply_url string, title string, company_name string, city string, description string, company_id long")
     df = df.withColumn("status", F.lit("published"))
-    query = entry.queries()["dedup_components"]
-
-    def tables(name):
-        assert name == "v_postings"
-        return df
-
-    body = next(c.cell_contents for c in query.__closure__ or () if callable(c.cell_contents))
-    got = {r["id"]: r["component"] for r in body(tables).collect()}
-    assert got == {1: 1, 2: 1, 4: 4, 5: 4}
     vectors = df.select("doc_id", embed(F.concat_ws("\n", "title", "description")).alias("embedding"))
+    got = {r["id"]: r["component"] for r in D.components(D.duplicate_edges(df, vectors).select("src", "dst")).collect()}
+    assert got == {1: 1, 2: 1, 4: 4, 5: 4}
     assert {(r["src"], r["dst"]) for r in D.duplicate_edges(df, vectors).filter("layer = 4").collect()} == {(2, 1)}
+
+
+def test_a_firm_with_and_without_domain_is_one_company(spark):
+    rows = [
+        (1, "Acme B.V.", "https://jobs.acme.example/1"), (2, "Acme", None), (3, "acme bv", "https://www.acme.test/2"), (4, "Acme", "https://jobs.acme.example/9"),
+        (5, None, "https://www.acme.test/3"), (6, "Other", "https://www.acme.test/4"), (7, None, None), (8, "Known", None), (9, "Shop", "https://boards.greenhouse.io/x"), (10, "Shop", None),
+    ]
+    posts = spark.createDataFrame(rows, "doc_id long, company_name string, apply_url string")
+    known = spark.createDataFrame([(77, "Known Ltd", None)], "company_id long, name string, domain string")
+    out, new, _ = D.resolve_companies(posts, known)
+    got = {r["doc_id"]: r["company_key"] for r in out.collect()}
+    assert got[1] == got[2] == got[3] == got[4] != got[6] and got[5] == got[6] and got[7] is None and got[9] == got[10]
+    assert len({r["company_key"] for r in new.collect()}) == new.count()
