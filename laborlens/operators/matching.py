@@ -860,7 +860,7 @@ def apply_changes(stored: DataFrame, kept: DataFrame, users: DataFrame | None, j
     for key, changed in (("user_id", users), ("job_id", jobs)):
         if changed is not None:
             rest = rest.join(changed.select(key), key, "left_anti")
-    return rest.unionByName(kept.select(*stored.columns))
+    return rest.select(*stored.columns).unionByName(kept.select(*stored.columns))
 
 
 def sync_matches(stored: DataFrame, kept: DataFrame, evaluated_jobs: DataFrame, evaluated_users: DataFrame) -> DataFrame:
