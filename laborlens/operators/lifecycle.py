@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .serving import LIVE
 from .skew import first_by, latest
@@ -113,17 +113,6 @@ def retention(profiles: DataFrame, now: Column, months: int, warning_days: int)
     return profiles.withColumn("cohort", F.when(drop, "delete").when(warn, "warn")).filter(F.col("cohort").isNotNull())
 
 
-def erase(tables: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the rows of the given users."""
-    ids = users.select("user_id").distinct()
-    return {n: df.join(ids, "user_id", "left_anti") for n, df in tables.items()}
-
-
-def erasure_proof(users: DataFrame) -> DataFrame:
-    who = F.lower(F.coalesce("email", F.col("user_id").cast("string")))
-    return users.select(F.sha2(who, 256).alias("email_hash"), F.lit("completed").alias("status"))
-
-
 def withdraw(consents: DataFrame, matches: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Users whose latest processing consent is a refusal lose matches and onboarding."""
     now = current_consents(consents)
@@ -267,16 +256,60 @@ def reclassify(jobs: DataFrame, overrides: DataFrame, occupations: DataFrame) ->
     return f.withColumns(new).drop("_o", "_uri", "_isco", "_sen", "publish")
 
 
-def merge_cv_skills(stored: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Unconfirmed CV skills are replaced by the parsed ones; all others stay and win."""
-    stays = stored.filter(~((F.col("source") == "cv") & ~F.col("confirmed")))
+MAX_EXPERIENCES = 15
+SKILL_SIZES = {"label": 200, "evidence": 300}  # characters kept of texts that a CV gives
+EXPERIENCE_SIZES = {"title": 200, "organisation": 200, "description": 2000}
+
+
+def _shortened(rows: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    return rows.withColumns({c: F.left(F.col(c), F.lit(n)) for c, n in sizes.items() if c in rows.columns})
+
+
+def merge_cv_skills(stored: DataFrame, parsed: DataFrame, users: DataFrame) -> DataFrame:
+    """Unconfirmed CV skills of the users are replaced by the parsed ones; all others stay and win."""
+    ids = users.select("user_id").distinct()
+    old = F.coalesce((F.col("source") == "cv") & ~F.col("confirmed"), F.lit(False))
+    stays = stored.filter(~old).unionByName(stored.filter(old).join(ids, "user_id", "left_anti").select(*stored.columns))
     key = F.coalesce(F.col("uri").cast("string"), F.lower("label"))
     have = stays.select("user_id", key.alias("_k"))
-    new = parsed.withColumn("_k", key).join(have, ["user_id", "_k"], "left_anti").drop("_k")
+    mine = parsed.join(ids, "user_id", "left_semi")
+    new = _shortened(mine.withColumn("_k", key).join(have, ["user_id", "_k"], "left_anti").drop("_k"), SKILL_SIZES)
     new = new.withColumns({"source": F.lit("cv"), "confirmed": F.lit(False)})
     return stays.unionByName(new.select(*stays.columns))
 
 
+def merge_cv(stored: dict[str, DataFrame], parsed: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Stored ``skills``, ``experiences``, ``languages`` and ``profiles`` after the parsed CVs of some users.
+
+    ``parsed["profiles"]`` has one row per parsed CV (user_id, summary, seniority, education_level); only these users
+    change. Experiences are replaced by the first fifteen of the CV in the order of ``pos``, numbered from 0; a
+    current one has no end. Languages are taken only where a user has none. An empty summary becomes null.
+    Rows of CVs that are not in ``profiles`` are left aside. Rows keep the columns of the stored tables.
+    """
+    users = parsed["profiles"].select("user_id").distinct()
+    out = {"skills": merge_cv_skills(stored["skills"], parsed["skills"], users)}
+
+    had = stored["experiences"]
+    mine = parsed["experiences"].join(users, "user_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("pos", "title")) - 1
+    mine = mine.withColumn("sort_order", place).filter(F.col("sort_order") < MAX_EXPERIENCES)
+    mine = mine.withColumn("end_date", F.when(~F.coalesce("is_current", F.lit(False)), F.col("end_date")))
+    kept = had.join(users, "user_id", "left_anti").select(*had.columns)
+    out["experiences"] = kept.unionByName(_shortened(mine, EXPERIENCE_SIZES).select(*had.columns))
+
+    had = stored["languages"]
+    without = users.join(had, "user_id", "left_anti")
+    out["languages"] = had.unionByName(parsed["languages"].join(without, "user_id", "left_semi").select(*had.columns))
+
+    cols = ["summary", "seniority", "education_level"]
+    new = parsed["profiles"].select("user_id", F.lit(True).alias("_p"), *[F.col(c).alias(f"_{c}") for c in cols])
+    new = new.withColumn("_summary", F.nullif("_summary", F.lit("")))
+    f = stored["profiles"].join(new, "user_id", "left")
+    fresh = {c: F.when(F.col("_p"), F.col(f"_{c}")).otherwise(F.col(c)) for c in cols}
+    out["profiles"] = f.withColumns(fresh).select(*stored["profiles"].columns)
+    return out
+
+
 def keep_one(rows: DataFrame, keys: list[str], position: str, keep: list[str], last: bool = False) -> DataFrame:
     """First (or last) row per key by position."""
     order = F.col(position).desc() if last else F.col(position)

@@ -173,29 +173,6 @@ def group_members(jobs: DataFrame, matches: DataFrame, connectors: DataFrame) ->
     )
 
 
-EXPORT_CHUNK = 1000
-
-
-def export_subjects(users: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    """(user_id, section, chunk, n, document): all rows of the users as JSON arrays.
-
-    A section of a user is cut into chunks of about a thousand rows, so a user with very many
-    rows is still written by many tasks and no row of the result grows without bound.
-    """
-    out = None
-    for name, df in parts.items():
-        cols = [c for c in df.columns if c != "user_id"]
-        mine = df.join(users.select("user_id"), "user_id", "left_semi")
-        sizes = mine.groupBy("user_id").agg(F.ceil(F.count("*") / F.lit(float(EXPORT_CHUNK))).cast("int").alias("_chunks"))
-        rows = mine.join(sizes, "user_id").withColumn("chunk", F.pmod(F.xxhash64(*cols), F.col("_chunks")).cast("int"))
-        docs = rows.groupBy("user_id", "chunk").agg(
-            F.count("*").alias("n"), F.to_json(F.collect_list(F.struct(*cols)), {"ignoreNullFields": "false"}).alias("document")
-        )
-        docs = docs.select("user_id", F.lit(name).alias("section"), "chunk", "n", "document")
-        out = docs if out is None else out.unionByName(docs)
-    return out
-
-
 # --- lookup by label ----------------------------------------------------------------------
 
 

@@ -585,7 +585,5 @@ def _(t):
 def _(t):
     root = shared_folder(t)
     t("v_feedback").select("event_id", "user_id", "job_id", "type", F.col("created_at").cast("timestamp").alias("created_at")).write.json(f"{root}/landing")
-    q = J.stream_latest_feedback(t.spark, f"{root}/landing", f"{root}/state", f"{root}/ckpt")
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return t.spark.read.parquet(f"{root}/state/version={last}").select("user_id", "job_id", "type")
+    J.stream_latest_feedback(t.spark, f"{root}/landing", f"{root}/state", f"{root}/ckpt").awaitTermination()
+    return J.feedback_table(t.spark, f"{root}/state").read().select("user_id", "job_id", "type")

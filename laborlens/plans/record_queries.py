@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics as A, lifecycle as L
+from ..operators import analytics as A, lifecycle as L, subjects as J
 from .match_queries import csv, riasec
 from .registry import query
+from .views import SUBJECTS
 
 NOW = "2026-09-01"
 
@@ -220,15 +221,34 @@ def _(t):
     return L.retention(t("v_profiles"), now(), 24, 30).select("user_id", "cohort")
 
 
-@query("life_erase", f"""SELECT 'skills' AS source, count(*) AS n FROM v_candidate_skills WHERE user_id NOT IN (SELECT user_id FROM ({COHORTS}) c WHERE cohort = 'delete')
- UNION ALL SELECT 'matches', count(*) FROM v_matches WHERE user_id NOT IN (SELECT user_id FROM ({COHORTS}) c WHERE cohort = 'delete')
- UNION ALL SELECT sha256(lower(coalesce(email, CAST(user_id AS STRING)))), -1 FROM ({COHORTS}) c WHERE cohort = 'delete'""")
+GONE = f"SELECT user_id FROM ({COHORTS}) c WHERE cohort = 'delete'"
+HASH = "sha256(lower(coalesce(email, CAST(user_id AS STRING))))"
+
+
+def sql_left(entry) -> str:
+    """Rows and people that a table holds after an erasure."""
+    view, key, gone = SUBJECTS[entry.name], entry.key, f"{entry.key} IN ({GONE})"
+    if entry.on_erase == "delete":
+        return f"SELECT '{entry.name}' AS source, count(*) AS n, count(DISTINCT {key}) AS people FROM {view} WHERE NOT coalesce({gone}, FALSE)"
+    people = f"CASE WHEN {gone} THEN NULL ELSE {key} END" if entry.on_erase == "forget" else key
+    return f"SELECT '{entry.name}', count(*), count(DISTINCT {people}) FROM {view}"
+
+
+@query("life_erase", " UNION ALL ".join(sql_left(e) for e in J.CATALOGUE if e.name in SUBJECTS)
+       + f""" UNION ALL SELECT {HASH}, -1, -1 FROM ({COHORTS}) c WHERE cohort = 'delete' UNION ALL SELECT 'account.delete:system:' || left({HASH}, 16), coalesce(f.n, 0), -1
+ FROM ({COHORTS}) c LEFT JOIN (SELECT user_id AS u, count(*) AS n FROM v_cv_files GROUP BY 1) f ON f.u = c.user_id WHERE cohort = 'delete'""")
 def _(t):
     gone = L.retention(t("v_profiles"), now(), 24, 30).filter(F.col("cohort") == "delete")
-    left = L.erase({"skills": t("v_candidate_skills"), "matches": t("v_matches")}, gone)
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("source"), "n") for k, df in left.items()]
-    proof = L.erasure_proof(gone).select(F.col("email_hash").alias("source"), F.lit(-1).cast("bigint").alias("n"))
-    return counts[0].unionByName(counts[1]).unionByName(proof)
+    entries = [e for e in J.CATALOGUE if e.name in SUBJECTS]
+    left = J.erase({e.name: t(SUBJECTS[e.name]) for e in entries}, gone)
+    none = F.lit(-1).cast("bigint")
+    proof = J.erasure_proof(gone).select(F.col("email_hash").alias("source"), none.alias("n"), none.alias("people"))
+    audit = J.erasure_audit(gone, "retention", t("v_cv_files")).select(
+        F.concat_ws(":", "action", "actor_role", "entity_id").alias("source"), F.col("metadata.cv_files").alias("n"), none.alias("people"))
+    out = proof.unionByName(audit)
+    for e in entries:
+        out = out.unionByName(left[e.name].agg(F.count("*").alias("n"), F.count_distinct(e.key).alias("people")).select(F.lit(e.name).alias("source"), "n", "people"))
+    return out
 
 
 @query("life_consent", """WITH r AS (SELECT user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, type ORDER BY created_at DESC, event_id DESC) AS rn
@@ -319,16 +339,40 @@ def _(t):
     return out.select("job_id", "isco_code", "seniority", "confidence", "needs_review", "status", "occupation_uri", F.array_join("review_reasons", ",").alias("review_reasons"))
 
 
-STORED = """SELECT user_id, uri, 'skill ' || CAST(uri AS STRING) AS label, last_used_year, CASE WHEN uri % 3 = 0 THEN 'manual' ELSE 'cv' END AS source,
- uri % 4 = 0 AS confirmed FROM v_candidate_skills WHERE last_used_year <= 1998"""
-PARSED = "SELECT user_id, uri, 'skill ' || CAST(uri AS STRING) AS label, last_used_year FROM v_candidate_skills"
-
-
-@query("cv_merge", f"""WITH st AS (SELECT * FROM ({STORED}) s WHERE NOT (source = 'cv' AND NOT confirmed))
- SELECT user_id, uri, last_used_year, source, confirmed FROM st UNION ALL SELECT user_id, uri, last_used_year, 'cv', FALSE FROM ({PARSED}) p
- WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.user_id = p.user_id AND st.uri = p.uri)""")
-def _(t):
-    return L.merge_cv_skills(t.sql(STORED), t.sql(PARSED)).select("user_id", "uri", "last_used_year", "source", "confirmed")
+# customers of three in four have a new CV; skills used before 1999 are stored already
+CV_USERS = "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 4 <> 3"
+STORED = "SELECT user_id, esco_uri AS uri, label, last_used_year, source, confirmed FROM v_skill_rows WHERE last_used_year <= 1998"
+PARSED = "SELECT user_id, esco_uri AS uri, label, last_used_year FROM v_skill_rows"
+OLD_EXPERIENCES = """SELECT user_id, CAST(0 AS INT) AS sort_order, title, organisation, start_date, end_date, is_current, description FROM v_experiences WHERE pos % 16 = 1"""
+OLD_LANGUAGES = "SELECT user_id, language, level FROM v_candidate_languages WHERE user_id % 5 <> 0"
+NEW_PROFILES = f"""SELECT user_id, CASE WHEN user_id % 6 = 0 THEN '' ELSE 'cv of ' || CAST(user_id AS STRING) END AS summary, 'senior' AS seniority,
+ CAST(user_id % 3 + 5 AS INT) AS education_level FROM ({CV_USERS}) u"""
+
+
+@query("cv_merge", f"""WITH u AS ({CV_USERS}),
+ st AS (SELECT * FROM ({STORED}) s WHERE NOT (source = 'cv' AND NOT confirmed AND user_id IN (SELECT user_id FROM u))),
+ sk AS (SELECT * FROM st UNION ALL SELECT user_id, uri, label, last_used_year, 'cv', FALSE FROM ({PARSED}) p WHERE user_id IN (SELECT user_id FROM u)
+  AND NOT EXISTS (SELECT 1 FROM st WHERE st.user_id = p.user_id AND st.uri = p.uri)),
+ ex AS (SELECT * FROM ({OLD_EXPERIENCES}) o WHERE user_id NOT IN (SELECT user_id FROM u) UNION ALL
+  SELECT user_id, CAST(rn - 1 AS INT), title, left(organisation, 200), start_date, CASE WHEN NOT is_current THEN end_date END, is_current, left(description, 2000)
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos, title) AS rn FROM v_experiences WHERE user_id IN (SELECT user_id FROM u)) r WHERE rn <= 15),
+ la AS (SELECT * FROM ({OLD_LANGUAGES}) o UNION ALL SELECT user_id, language, level FROM v_candidate_languages WHERE user_id IN (SELECT user_id FROM u)
+  AND user_id NOT IN (SELECT user_id FROM ({OLD_LANGUAGES}) o))
+ SELECT user_id, 'skill' AS part, concat_ws('|', CAST(uri AS VARCHAR), label, CAST(last_used_year AS VARCHAR), source, CAST(confirmed AS VARCHAR)) AS item FROM sk
+ UNION ALL SELECT user_id, 'experience', concat_ws('|', CAST(sort_order AS VARCHAR), title, organisation, start_date, end_date, CAST(is_current AS VARCHAR), description) FROM ex
+ UNION ALL SELECT user_id, 'language', language || '|' || level FROM la
+ UNION ALL SELECT c.user_id, 'profile', concat_ws('|', CASE WHEN n.user_id IS NULL THEN c.summary ELSE nullif(n.summary, '') END, CASE WHEN n.user_id IS NULL THEN c.seniority ELSE n.seniority END,
+  CAST(CASE WHEN n.user_id IS NULL THEN c.education_level ELSE n.education_level END AS VARCHAR)) FROM v_candidate_profiles c LEFT JOIN ({NEW_PROFILES}) n ON n.user_id = c.user_id""")
+def _(t):
+    profiles = t("v_candidate_profiles").select("user_id", "summary", "seniority", "education_level")
+    stored = {"skills": t.sql(STORED), "experiences": t.sql(OLD_EXPERIENCES), "languages": t.sql(OLD_LANGUAGES), "profiles": profiles}
+    parsed = {"skills": t.sql(PARSED), "experiences": t("v_experiences"), "languages": t("v_candidate_languages"), "profiles": t.sql(NEW_PROFILES)}
+    out = None
+    for name, df in L.merge_cv(stored, parsed).items():
+        item = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns if c != "user_id"])
+        rows = df.select("user_id", F.lit(name.removesuffix("s")).alias("part"), item.alias("item"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("sink_upsert", """SELECT job_id, title, status FROM v_jobs WHERE NOT needs_review UNION ALL

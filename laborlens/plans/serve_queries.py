@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import serving as S
+from ..operators import serving as S, subjects as J
 from .registry import query
+from .views import SUBJECTS
 
 
 def ts(text: str):
@@ -175,16 +176,44 @@ def _(t):
     return rows.select("id", "action").orderBy(F.desc("id")).offset(50).limit(50).withColumn("total", total)
 
 
-EXPORTS = {"skills": "v_candidate_skills", "languages": "v_candidate_languages", "matches": "v_matches", "feedback": "v_feedback",
-           "applications": "v_applications", "consents": "v_consents"}
+# the fields of a section that its view has; the others are null in the export
+EXPORTED = {
+    "profile": "email locale role created_at last_active_at", "candidateProfile": "headline summary seniority education_level onboarding_completed_at created_at",
+    "skills": "esco_uri label last_used_year source confirmed",
+    "experiences": "title organisation esco_occupation_uri isco_code start_date end_date is_current description", "languages": "language level",
+    "cvFiles": "version file_name mime_type size_bytes parse_status created_at", "matches": "job_id total_score label knocked_out created_at",
+    "matchFeedback": "job_id type reason created_at", "applications": "job_id status saved_at", "alertSettings": "enabled frequency min_score updated_at",
+    "consents": "type granted policy_version created_at", "deletionRequests": "status requested_at processed_at",
+}
+
+
+def sql_item(entry) -> str:
+    """All fields of an exported row by name, as ``field=value``."""
+    parts = []
+    for f in sorted(entry.fields):
+        shown = f"strftime(CAST({f} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')" if f.endswith("_at") else f"CAST({f} AS VARCHAR)"
+        parts.append(f"'{f}=' || coalesce({shown}, '-')" if f in EXPORTED[entry.name].split() else f"'{f}=-'")
+    return " || '|' || ".join(parts)
 
 
 @query("export_subject", " UNION ALL ".join(
-    f"SELECT user_id, '{k}' AS section, count(*) AS n FROM {v} WHERE user_id IN (SELECT user_id FROM v_profiles) GROUP BY user_id" for k, v in EXPORTS.items()))
+    f"SELECT user_id, '{e.name}' AS section, {sql_item(e)} AS item FROM {SUBJECTS[e.name]} WHERE user_id IN (SELECT user_id FROM v_profiles)"
+    for e in J.CATALOGUE if e.fields))
 def _(t):
-    docs = S.export_subjects(t("v_profiles"), {k: t(v) for k, v in EXPORTS.items()})
-    parsed = docs.withColumn("rows", F.json_array_length("document"))
-    return parsed.groupBy("user_id", "section").agg(F.sum("rows").cast("bigint").alias("n"))
+    sections = [e for e in J.CATALOGUE if e.fields]
+    docs = J.export_documents(t("v_profiles"), {e.name: t(SUBJECTS[e.name]) for e in sections})
+    one, many = "map<string,string>", "array<map<string,string>>"
+    d = docs.select("user_id", F.from_json("document", ", ".join(f"`{e.name}` {one if e.single else many}" for e in sections)).alias("d"))
+    rows = F.array(*[
+        F.struct(F.lit(e.name).alias("section"), (F.array_compact(F.array(F.col("d")[e.name])) if e.single else F.col("d")[e.name]).alias("rows"))
+        for e in sections])
+    d = d.select("user_id", F.explode(rows).alias("s")).select("user_id", "s.section", F.explode("s.rows").alias("m"))
+
+    def field(e):
+        at = F.date_format(F.try_to_timestamp(e["value"]), "yyyy-MM-dd HH:mm:ss")
+        return F.concat(e["key"], F.lit("="), F.coalesce(F.when(e["key"].endswith("_at"), at).otherwise(e["value"]), F.lit("-")))
+
+    return d.select("user_id", "section", F.array_join(F.transform(F.array_sort(F.map_entries("m")), field), "|").alias("item"))
 
 
 # --- label lookup -------------------------------------------------------------------------

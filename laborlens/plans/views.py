@@ -247,6 +247,56 @@ FROM (SELECT min(o_orderkey) AS application_id, o_custkey AS user_id, 1 + o_orde
       FROM orders GROUP BY o_custkey, 1 + o_orderkey % (SELECT max(s_suppkey) FROM supplier)) t
 """
 
+# --- what is stored about a candidate, beside the tables above ---
+
+VIEWS["v_experiences"] = f"""
+SELECT o_custkey AS user_id, CAST(o_orderkey AS BIGINT) AS pos,
+  {pick("o_orderkey", *q("Data Engineer", "Nurse", "Tester", "Cook"))} AS title,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'Firm ' || CAST(o_orderkey % 97 AS STRING) END AS organisation,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'o:' || CAST(o_orderkey % 7 AS STRING) END AS esco_occupation_uri,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(2500 + o_orderkey % 7 AS STRING) END AS isco_code,
+  CAST(2000 + o_orderkey % 15 AS STRING) || '-01-01' AS start_date,
+  CAST(2015 + o_orderkey % 9 AS STRING) || '-06-01' AS end_date,
+  o_orderkey % 8 = 0 AS is_current, o_orderpriority AS description
+FROM orders
+"""
+
+VIEWS["v_candidate_profiles"] = """
+SELECT c.user_id, p.headline, CASE WHEN c.user_id % 4 = 0 THEN NULL ELSE 'about ' || CAST(c.user_id AS STRING) END AS summary, c.seniority,
+  CAST(c.education_level AS INT) AS education_level, p.onboarded_at AS onboarding_completed_at, p.created_at
+FROM v_candidates c JOIN v_profiles p ON p.user_id = c.user_id
+"""
+
+VIEWS["v_skill_rows"] = """
+SELECT user_id, uri AS esco_uri, 'skill ' || CAST(uri AS STRING) AS label, last_used_year,
+  CASE WHEN uri % 3 = 0 THEN 'manual' ELSE 'cv' END AS source, uri % 4 = 0 AS confirmed
+FROM v_candidate_skills
+"""
+
+VIEWS["v_cv_files"] = f"""
+SELECT o_custkey AS user_id, CAST(o_orderkey % 100 AS INT) AS version, 'cv-' || CAST(o_orderkey AS STRING) || '.pdf' AS file_name,
+  'application/pdf' AS mime_type, CAST(1000 + o_orderkey % 5000 AS BIGINT) AS size_bytes,
+  {pick("o_orderkey", *q("parsed", "failed", "pending"))} AS parse_status, {DAY.format("2025-01-01", "o_orderkey % 500")} AS created_at
+FROM orders WHERE o_orderkey % 7 = 0
+"""
+
+VIEWS["v_alert_settings"] = f"""
+SELECT c_custkey AS user_id, c_custkey % 2 = 0 AS enabled, {pick("c_custkey", *q("daily", "weekly"))} AS frequency,
+  CAST(50 + c_custkey % 40 AS INT) AS min_score, {DAY.format("2025-03-01", "c_custkey % 300")} AS updated_at
+FROM customer WHERE c_custkey % 5 <> 0
+"""
+
+VIEWS["v_alert_deliveries"] = """
+SELECT user_id, event_id AS id, CAST(ts AS TIMESTAMP) AS sent_at FROM events WHERE event_type = 'view'
+"""
+
+VIEWS["v_deletion_requests"] = f"""
+SELECT c_custkey AS user_id, {pick("c_custkey", *q("pending", "completed", "processing"))} AS status,
+  {DAY.format("2026-01-01", "c_custkey % 200")} AS requested_at,
+  CASE WHEN c_custkey % 3 = 1 THEN {DAY.format("2026-02-01", "c_custkey % 200")} END AS processed_at
+FROM customer WHERE c_custkey % 11 = 0
+"""
+
 VIEWS["v_runs"] = f"""
 SELECT o_orderkey AS run_id, 'src' || CAST(o_custkey % 40 AS STRING) AS connector_id,
   {pick("o_custkey", *q("adzuna", "greenhouse", "lever", "recruitee", "personio", "generic_feed"))} AS connector_type,
@@ -321,3 +371,11 @@ SELECT lower(replace(n_name, '_', ' ')) AS norm, 51 + {dbl("(n_nationkey * 7) %
   4 + {dbl("(n_nationkey * 11) % 25", 12)} AS lng, 'province ' || CAST(n_regionkey AS STRING) AS province
 FROM nation
 """
+
+# Sections of the subject catalogue and the view that holds each.
+SUBJECTS = {
+    "profile": "v_profiles", "candidateProfile": "v_candidate_profiles", "skills": "v_skill_rows", "experiences": "v_experiences",
+    "languages": "v_candidate_languages", "cvFiles": "v_cv_files", "matches": "v_matches", "matchFeedback": "v_feedback",
+    "applications": "v_applications", "alertSettings": "v_alert_settings", "consents": "v_consents",
+    "deletionRequests": "v_deletion_requests", "alertDeliveries": "v_alert_deliveries", "auditLog": "v_audit",
+}

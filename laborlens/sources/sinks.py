@@ -1,4 +1,4 @@
-"""Writers: raw archive, keyed snapshots, audit rows."""
+"""Writers: raw archive and audit rows; keyed tables are in ``snapshots``."""
 
 from __future__ import annotations
 
@@ -27,10 +27,3 @@ def match_audit(scored: DataFrame, model_version: Column) -> DataFrame:
 
 def write_audit(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("action").parquet(path)
-
-
-def write_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """Write a full snapshot into its own versioned folder; readers switch by path."""
-    path = f"{root}/version={version}"
-    df.write.mode("errorifexists").parquet(path)
-    return path

@@ -95,7 +95,7 @@ def test_ingest_stream_runs_once(spark, tmp_path):
     def run(n, rows):
         write(land / f"{n}.json", "\n".join(json.dumps(dict(zip(("source_id", "external_id", "payload"), r))) for r in rows))
         J.stream_ingest(spark, str(land), *dirs, lambda d: d.select("external_id", "payload_hash")).awaitTermination()
-        return spark.read.parquet(dirs[0]).count(), spark.read.parquet(dirs[1]).count()
+        return J.archive_table(spark, dirs[0]).read().count(), spark.read.parquet(dirs[1]).count()
 
     assert run(1, [("s", "1", "a"), ("s", "1", "a"), ("s", "2", "b")]) == (2, 2)
     assert run(2, [("s", "1", "a"), ("s", "1", "c")]) == (3, 3)
