@@ -195,6 +195,12 @@ def ground_labels(raw: DataFrame, entries: DataFrame, doc_id: str) -> DataFrame:
     return mapped.unionByName(lost)
 
 
+def unmapped_labels(raw: DataFrame, entries: DataFrame, doc_id: str) -> DataFrame:
+    """(doc_id, cls_unmapped): the free labels of a posting that no concept answers to, in order."""
+    lost = ground_labels(raw, entries, doc_id).filter(F.col("unmapped").isNotNull())
+    return lost.groupBy(doc_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "unmapped"))), lambda x: x["unmapped"]).alias("cls_unmapped"))
+
+
 def _inside(texts: DataFrame, entries: DataFrame) -> DataFrame:
     keyed = texts.select(F.col("label").alias("text_id"), F.col("label").alias("text"))
     found = find_concepts(keyed, entries, "text_id", "text")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numbers as N, text as X
+from ..functions.embed import embed
+from .dedup import resolve_companies
+from .language import detect_language
 
 
 def stable_hash(*names: str) -> Column:
@@ -88,18 +91,44 @@ def geocode(rows: DataFrame, cities: DataFrame) -> DataFrame:
     ).drop("_lat", "_lng", "_region")
 
 
-def enrich(rows: DataFrame, classified: DataFrame, cities: DataFrame, key: str = "doc_id") -> DataFrame:
+def named_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """Rows with ``company_key`` and ``_company``, the name of the known or new company."""
+    posts, new, _fills = resolve_companies(rows, companies)
+    names = companies.select(F.col("company_id").cast("string").alias("company_key"), F.col("name").alias("_company"))
+    names = names.unionByName(new.select("company_key", F.col("name").alias("_company"))).dropDuplicates(["company_key"])
+    return posts.join(names, "company_key", "left")
+
+
+def enrich(
+    rows: DataFrame, classified: DataFrame, cities: DataFrame, key: str = "doc_id", companies: DataFrame | None = None,
+    profiles: DataFrame | None = None, today: Column | None = None,
+) -> DataFrame:
     """Canonical rows to posting rows: the source's value first, then the classifier's, then lookups.
 
-    ``classified`` is the output of the classifier; ``salary`` is struct<min,max,unit,currency,text>.
+    ``classified`` is the output of the classifier; with ``cls_unmapped`` it also has the labels without a concept.
+    ``salary`` is struct<min,max,unit,currency,text>. With ``companies`` (company_id, name, domain) every posting gets a
+    ``company_key``, and the name behind it goes into the duplicate key. With the language ``profiles`` a posting
+    without a language gets that of its text. ``today`` is the date of postings without one. ``embedding`` is the vector
+    of title and description.
     """
     f = geocode(rows.join(classified, key, "left"), cities)
+    f = f.withColumn("_text", F.concat_ws("\n", "title", "description"))
+    if companies is not None:
+        f = named_companies(f, companies)
+    else:
+        f = f.withColumn("_company", F.lit(None).cast("string"))
+    if profiles is not None:
+        f = f.join(detect_language(f, profiles, key, "_text").withColumnRenamed("detected", "_lang"), key, "left")
+        f = f.withColumn("language", F.coalesce("language", "_lang") if "language" in rows.columns else F.col("_lang")).drop("_lang")
+    if today is not None:
+        f = f.withColumn("date_posted", F.coalesce("date_posted", today) if "date_posted" in rows.columns else today)
     hours = F.coalesce("hours_min", "cls_hours.min", "hours_max", "cls_hours.max")
     s = F.col("salary")
     money = N.salary_normalize(s["min"], s["max"], s["unit"], s["currency"], s["text"], hours)
     f = f.withColumn("_money", money)
     n_skills = F.coalesce(F.size("cls_skills"), F.lit(0))
-    reasons = review_reasons(F.col("cls_confidence"), n_skills, F.col("cls_isco"), F.lit(0))
+    unmapped = F.coalesce(F.size("cls_unmapped"), F.lit(0)) if "cls_unmapped" in classified.columns else F.lit(0)
+    reasons = review_reasons(F.col("cls_confidence"), n_skills, F.col("cls_isco"), unmapped)
     f = f.withColumn("review_reasons", reasons)
     return f.withColumns(
         {
@@ -113,12 +142,13 @@ def enrich(rows: DataFrame, classified: DataFrame, cities: DataFrame, key: str =
             "isco_code": F.col("cls_isco"),
             "seniority": F.col("cls_seniority"),
             "apply_url_normalized": X.url_canonical(F.col("apply_url")),
-            "dedup_key": X.dedup_key(F.col("title"), F.col("company_name"), F.col("city")),
+            "dedup_key": X.dedup_key(F.col("title"), F.coalesce("_company", "company_name"), F.col("city")),
             "classification_confidence": N.half_up(F.col("cls_confidence"), 2),
             "needs_review": F.size("review_reasons") > 0,
             "status": routed_status(F.col("review_reasons")),
+            "embedding": embed(F.col("_text")),
         }
-    ).drop("_money")
+    ).drop("_money", "_company", "_text")
 
 
 def manual_rows(entries: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..sources.sinks import archive_rows
 from ..streaming import jobs as J
 from .oracle import ORACLE_PARTS
 from .registry import query
-from .text_queries import sql_canonical, sql_company, sql_title
+from .text_queries import sql_canonical, sql_company, sql_detected, sql_title
 
 # --- feeds: raw JSON or XML made from the posting texts, then parsed and mapped -------------
 
@@ -465,29 +465,55 @@ def canonical_rows(t):
         "doc_id", "source_id", "external_id", "title", "description", "company_name", "apply_url", "city",
         F.when(i % 3 == 0, "onsite").alias("remote_policy"), F.when(i % 2 == 0, F.array(F.lit("contract"))).otherwise(F.array().cast("array<string>")).alias("employment_types"),
         F.when(i % 4 == 0, 20.0).alias("hours_min"), none.cast("double").alias("hours_max"), none.cast("double").alias("lat"), none.cast("double").alias("lng"),
-        none.cast("string").alias("region"), none.cast("string").alias("country"),
+        none.cast("string").alias("region"), none.cast("string").alias("country"), F.when(i % 3 == 0, "fy").alias("language"),
+        F.when(i % 4 != 1, F.lit("2026-03-04").cast("date")).alias("date_posted"),
         F.struct(none.cast("double").alias("min"), none.cast("double").alias("max"), none.cast("string").alias("unit"), F.lit("EUR").alias("currency"), F.col("salary_text").alias("text")).alias("salary"))
 
 
+# labels that no concept answers to: as many as the number leaves over six; and one that the dictionary has
+FREE_LABELS = """SELECT doc_id, CAST(n AS INT) AS pos, 'zqx' || CAST(n AS STRING) AS label, 'nice' AS importance FROM v_postings JOIN (SELECT n_nationkey AS n FROM nation) k
+ ON n >= 1 AND n <= doc_id % 6"""
+
+
 def enriched(t, rows):
-    from ..operators.classify import classify
+    from ..operators import classify as C, language as G
     from .text_queries import entries, title_entries
 
-    cls = classify(rows.select("doc_id", "title", "description"), entries(t), title_entries(t))
-    return I.enrich(rows, cls, t("v_cities"))
+    known = entries(t)
+    cls = C.classify(rows.select("doc_id", "title", "description"), known, title_entries(t))
+    named = rows.select("doc_id", F.lit(0).alias("pos"), F.lit(known.agg(F.min("label")).scalar()).alias("label"), F.lit("must").alias("importance"))
+    cls = cls.join(C.unmapped_labels(t.sql(FREE_LABELS).unionByName(named), known, "doc_id"), "doc_id", "left")
+    profiles = G.language_profiles(t("documents").select("doc_id", "lang", "text"))
+    return I.enrich(rows, cls, t("v_cities"), companies=known_companies(t), profiles=profiles, today=F.lit("2026-09-01").cast("date"))
+
+
+ENRICHED = f"""SELECT p.doc_id, CASE WHEN p.doc_id % 3 = 0 THEN 'onsite' ELSE CASE p.doc_id % 6 WHEN 1 THEN 'hybrid' WHEN 2 THEN 'onsite' WHEN 4 THEN 'onsite' END END AS remote_policy,
+ CASE WHEN p.doc_id % 2 = 0 THEN 'contract' ELSE concat_ws(',', CASE WHEN p.doc_id % 6 = 1 THEN 'full_time,part_time' END,
+ CASE WHEN p.doc_id % 6 = 5 OR p.doc_id % 11 = 7 THEN 'internship' END) END AS types, 'NL' AS country, '2511' AS isco_code,
+ CASE WHEN p.doc_id % 3 = 0 THEN 'fy' WHEN r.same = 1 THEN r.lang END AS language, k.company_key, p.doc_id % 6 > 3 AS unmapped,
+ {sql_title('title')} || '|' || {sql_company("coalesce(n.name, c.name, p.company_name, '')")} || '|' || lower(coalesce(city, '')) AS dedup_key,
+ CASE WHEN p.doc_id % 4 = 1 THEN '2026-09-01' ELSE '2026-03-04' END AS date_posted @more
+ FROM v_postings p LEFT JOIN rk r ON r.doc_id = p.doc_id AND r.rn = 1 JOIN d_company k ON k.doc_id = p.doc_id
+ LEFT JOIN (SELECT company_key, min(coalesce(d.company_name, dom)) AS name FROM d_company e JOIN d_named d ON d.doc_id = e.doc_id WHERE company_key LIKE 'new:%' GROUP BY 1) n
+  ON n.company_key = k.company_key
+ LEFT JOIN (SELECT '7' AS id, 'Canal Analytics' AS name UNION ALL SELECT '8', 'Noord Software' UNION ALL SELECT CAST(company_id AS STRING), name FROM v_companies) c ON c.id = k.company_key"""
+DETECTED = sql_detected("(SELECT doc_id, title || chr(10) || description AS text FROM v_postings) q")
+
+
+def shown(out):
+    return out.select("doc_id", "remote_policy", F.array_join("employment_types", ",").alias("types"), "country", "isco_code", "language", "company_key",
+                      F.array_contains("review_reasons", "unmapped_skills").alias("unmapped"), "dedup_key", F.col("date_posted").cast("string").alias("date_posted"),
+                      *[c for c in ("source_id", "source_priority") if c in out.columns and "source_priority" in out.columns])
 
 
-@query("ing_enrich", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'onsite' ELSE CASE doc_id % 6 WHEN 1 THEN 'hybrid' WHEN 2 THEN 'onsite' WHEN 4 THEN 'onsite' END END AS remote_policy,
- CASE WHEN doc_id % 2 = 0 THEN 'contract' ELSE concat_ws(',', CASE WHEN doc_id % 6 = 1 THEN 'full_time,part_time' END,
- CASE WHEN doc_id % 6 = 5 OR doc_id % 11 = 7 THEN 'internship' END) END AS types, 'NL' AS country, '2511' AS isco_code FROM v_postings""")
+@query("ing_enrich", f"WITH {DETECTED} {ENRICHED.replace('@more', '')}")
 def _(t):
-    out = enriched(t, canonical_rows(t))
-    return out.select("doc_id", "remote_policy", F.array_join("employment_types", ",").alias("types"), "country", "isco_code")
+    return shown(enriched(t, canonical_rows(t)))
 
 
-@query("job_manual", "SELECT doc_id, NULL AS source_id, 100 AS source_priority FROM v_postings")
+@query("job_manual", f"WITH {DETECTED} {ENRICHED.replace('@more', ', NULL AS source_id, 100 AS source_priority')}")
 def _(t):
-    return I.manual_rows(canonical_rows(t)).select("doc_id", "source_id", "source_priority")
+    return shown(enriched(t, I.manual_rows(canonical_rows(t))))
 
 
 # --- duplicates -------------------------------------------------------------------------------

@@ -208,10 +208,15 @@ PROFILE = f"""prof AS (SELECT lang, gram, 301 - rn AS weight FROM (SELECT lang,
   FROM (SELECT lang, {GRAM3} AS gram FROM (SELECT lang, {LOWER} AS x FROM documents) d) g GROUP BY lang, gram) r WHERE rn <= 300)"""
 
 
-@query("lang_detect", f"""WITH {PROFILE},
- sc AS (SELECT doc_id, p.lang, sum(weight) AS score FROM (SELECT doc_id, {GRAM3} AS gram FROM (SELECT doc_id, {LOWER} AS x FROM documents
+def sql_detected(source: str) -> str:
+    """CTEs that end in ``rk``: the best language of each text of ``source`` (doc_id, text), ``same`` best ones."""
+    return f"""{PROFILE},
+ sc AS (SELECT doc_id, p.lang, sum(weight) AS score FROM (SELECT doc_id, {GRAM3} AS gram FROM (SELECT doc_id, {LOWER} AS x FROM {source}
    WHERE length(trim(regexp_replace(text, '{WS}+', ' ', 'g'))) >= 40) d) g JOIN prof p ON p.gram = g.gram GROUP BY 1, 2),
- rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS rn, count(*) OVER (PARTITION BY doc_id, score) AS same FROM sc)
+ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS rn, count(*) OVER (PARTITION BY doc_id, score) AS same FROM sc)"""
+
+
+@query("lang_detect", f"""WITH {sql_detected('documents')}
  SELECT d.doc_id, CASE WHEN r.same = 1 THEN r.lang END AS detected FROM documents d LEFT JOIN rk r ON r.doc_id = d.doc_id AND r.rn = 1""")
 def _(t):
     docs = t("documents").select("doc_id", "lang", "text")
