@@ -14,12 +14,6 @@ def is_matchable() -> Column:
     return (F.col("status") == "published") & F.col("is_golden")
 
 
-def changed_since(changed: Column, since: Column, keep_undated: bool = False) -> Column:
-    """Rows changed at or after ``since``; a null ``since`` keeps all."""
-    hit = since.isNull() | (changed >= since)
-    return F.coalesce(hit | changed.isNull() if keep_undated else hit, F.lit(False))
-
-
 def moderation_tab(tab: str) -> Column:
     status = F.col("status")
     return {

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N, text as X
 from ..functions.embed import embed
 from ..operators import assemble as A, cv as V, dedup as D, ingest as I
-from ..session import ensure_checkpoint_dir
+from ..session import new_folder
 from ..sources import feeds as S, mapping as P, taxonomy_files as TX
 from ..sources.sinks import archive_rows
 from ..streaming import jobs as J
@@ -20,8 +18,21 @@ from .text_queries import sql_canonical, sql_company, sql_detected, sql_title
 # --- feeds: raw JSON or XML made from the posting texts, then parsed and mapped -------------
 
 
-def parsed(df, payload, ddl):
-    return df.select("doc_id", F.from_json(payload, ddl).alias("r")).select("doc_id", "r.*")
+def shared_folder(t) -> str:
+    return new_folder(t.spark)
+
+
+def landed(t, payload, head="", tail="") -> str:
+    """The raw records of all postings as landed pages of about a hundred, one a line: the folder they are in."""
+    page = F.floor(F.col("doc_id") / 100).alias("page")
+    pages = t("v_postings").select(page, payload.alias("raw")).groupBy("page").agg(F.array_join(F.sort_array(F.collect_list("raw")), ",").alias("raw"))
+    folder = shared_folder(t)
+    pages.select(F.concat(F.lit(head), "raw", F.lit(tail))).write.text(f"{folder}/pages")
+    return f"{folder}/pages"
+
+
+def numbered(df):
+    return df.withColumn("doc_id", F.col("id").cast("bigint"))
 
 
 def j(*cols):
@@ -53,7 +64,8 @@ def _(t):
                  .otherwise(F.array(F.lit("NL"), F.lit("R"))).alias("area")).alias("location"),
         F.when(i % 4 != 0, 30000 + i).otherwise(0).alias("salary_min"), F.lit("0").alias("salary_is_predicted"),
         F.when(i % 3 == 0, "full_time").otherwise("part_time").alias("contract_time"), F.when(i % 3 == 0, "contract").alias("contract_type"))
-    out = S.map_adzuna(parsed(p, raw, S.ADZUNA), ["doc_id"])
+    files = S.read_adzuna(t.spark, landed(t, raw, '{"count":1,"results":[', "]}"), lines=True)
+    out = S.map_adzuna(numbered(files), ["doc_id"])
     return show(out, "title", "company_name", "city", "types", "lo", "unit", "date_posted")
 
 
@@ -73,7 +85,8 @@ def _(t):
         F.array(m("Workplace Type", F.when(i % 3 == 0, "Remote").when(i % 3 == 1, "Hybrid").otherwise("-")),
                 m("Employment Type", F.when(i % 2 == 0, "Full-time").otherwise("Internship"))).alias("metadata"),
         content.alias("content"))
-    out = S.map_greenhouse(parsed(p, raw, S.GREENHOUSE), "Acme", ["doc_id"])
+    files = S.read_greenhouse(t.spark, landed(t, raw, '{"jobs":[', "]}"), lines=True)
+    out = S.map_greenhouse(numbered(files), "Acme", ["doc_id"])
     return show(out, "title", "company_name", "city", "remote_policy", "types", "description")
 
 
@@ -89,7 +102,8 @@ def _(t):
         F.concat(F.lit("plain "), i.cast("string")).alias("descriptionPlain"), F.lit("bye").alias("additionalPlain"),
         F.array(F.struct(F.lit("You").alias("text"), F.lit("<ul><li>code</li></ul>").alias("content"))).alias("lists"),
         F.when(i % 2 == 0, F.struct(F.lit(4000).alias("min"), F.lit("per-month-salary").alias("interval"))).alias("salaryRange"))
-    out = S.map_lever(parsed(p, raw, S.LEVER), "Acme", ["doc_id"])
+    files = S.read_lever(t.spark, landed(t, raw, "[", "]"), lines=True)
+    out = S.map_lever(numbered(files), "Acme", ["doc_id"])
     return show(out, "title", "company_name", "city", "remote_policy", "description", "lo", "unit", "date_posted")
 
 
@@ -103,7 +117,8 @@ def _(t):
         (i % 4 == 0).alias("hybrid"), (i % 2 == 0).alias("remote"), F.lit(True).alias("on_site"), F.lit("part_time").alias("employment_type_code"),
         F.when(i % 3 == 0, F.struct(F.lit("20").alias("min"), F.lit("hour").alias("period"))).alias("salary"),
         "company_name", F.when(i % 5 == 1, "closed").when(i % 5 != 2, "published").alias("status"))
-    out = S.map_recruitee(parsed(p, raw, S.RECRUITEE), ["doc_id"])
+    files = S.read_recruitee(t.spark, landed(t, raw, '{"offers":[', "]}"), lines=True)
+    out = S.map_recruitee(numbered(files), ["doc_id"])
     return show(out, "title", "company_name", "city", "country", "remote_policy", "types", "lo", "unit")
 
 
@@ -116,10 +131,39 @@ def _(t):
         F.lit("<position><id>"), i, F.lit("</id><office>Breda</office><name>Job "), i, F.lit("</name><jobDescriptions><jobDescription><name>You</name>"
         "<value><![CDATA[<p>do things</p>]]></value></jobDescription></jobDescriptions><employmentType>"),
         F.when(F.col("doc_id") % 2 == 0, "intern").otherwise("permanent"), F.lit("</employmentType><schedule>full-time</schedule></position>"))
-    raw = t("v_postings").select("doc_id", F.from_xml(xml, S.PERSONIO).alias("r")).select("doc_id", "r.*")
+    folder = shared_folder(t)  # a file is one document, of a thousand positions
+    feed = t("v_postings").groupBy(F.floor(F.col("doc_id") / 1000).alias("page")).agg(F.concat(
+        F.lit("<workzag-jobs>"), F.array_join(F.collect_list(xml), ""), F.lit("</workzag-jobs>")).alias("value"))
+    feed.repartition("page").write.partitionBy("page").text(f"{folder}/positions")
+    raw = numbered(S.read_personio(t.spark, f"{folder}/positions"))
     return show(S.map_personio(raw, "acme", keep=["doc_id"]), "title", "company_name", "city", "types", "description", "apply_url")
 
 
+SINCE = "2026-07-01"
+AGE = "DATE '2026-07-01' + CAST(doc_id % 21 - 10 AS INT)"
+
+
+@query("flt_since", f"""SELECT 'greenhouse' AS source, doc_id FROM v_postings WHERE doc_id % 6 <> 5 AND doc_id % 21 >= 10
+ UNION ALL SELECT 'lever', doc_id FROM v_postings WHERE doc_id % 21 >= 10 UNION ALL SELECT 'adzuna', doc_id FROM v_postings WHERE doc_id % 6 <> 5 AND doc_id % 21 >= 10
+ UNION ALL SELECT 'recruitee', doc_id FROM v_postings WHERE doc_id % 6 = 5 OR doc_id % 21 >= 10 UNION ALL SELECT 'personio', doc_id FROM v_postings WHERE doc_id % 6 = 5 OR doc_id % 21 >= 10""")
+def _(t):
+    i, since = F.col("doc_id"), F.lit(SINCE).cast("timestamp")
+    p = t("v_postings").select("doc_id", F.expr(f"CAST({AGE} AS TIMESTAMP)").alias("at"))
+    day = F.when(i % 6 != 5, F.date_format("at", "yyyy-MM-dd"))
+    none = F.lit(None).cast("string")
+    feeds = {
+        "greenhouse": p.select("doc_id", day.alias("updated_at")), "lever": p.select("doc_id", F.unix_millis("at").alias("createdAt")),
+        "adzuna": p.select("doc_id", day.alias("created")), "personio": p.select("doc_id", F.coalesce(day, F.lit("")).alias("createdAt")),
+        "recruitee": p.select("doc_id", F.when(i % 2 == 0, day).alias("updated_at"), none.alias("published_at"), day.alias("created_at")),
+    }
+    now = since + F.expr("INTERVAL 20 DAYS")
+    out = None
+    for source, raw in feeds.items():
+        rows = S.changed_since(raw, source, since, now).select(F.lit(source).alias("source"), "doc_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 MAPPING = {
     "externalId": {"path": "$.ref"}, "title": {"path": "$.functie", "transform": "trim"}, "description": {"path": "$.tekst", "transform": "html_to_text"},
     "companyName": {"path": "$.bedrijf", "default": "Unknown"}, "city": {"template": "{{$.plaats}}"}, "applyUrl": {"path": "$.link"},
@@ -589,11 +633,6 @@ def _(t):
 # --- streams ----------------------------------------------------------------------------------
 
 
-def shared_folder(t) -> str:
-    ensure_checkpoint_dir(t.spark)
-    return f"{t.spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-
-
 @query("stream_ingest", f"SELECT DISTINCT source_id, external_id, sha256(payload) AS payload_hash, json_extract_string(payload, '$.title') AS title FROM ({RAW_ROWS}) r")
 def _(t):
     root = shared_folder(t)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A, lifecycle as L, subjects as J
-from .match_queries import csv, riasec
+from ..session import new_folder
+from ..sources.sinks import decision_audit, match_audit, write_audit
+from ..sources.snapshots import SnapshotTable
+from .match_queries import csv, riasec, scored
 from .registry import query
 from .views import SUBJECTS
 
@@ -380,14 +383,18 @@ def _(t):
 def _(t):
     jobs = t("v_jobs").select("job_id", "title", "status")
     new = t("v_jobs").filter("needs_review").select("job_id", F.concat("title", F.lit(" (new)")).alias("title"), F.lit("published").alias("status"))
-    return L.upsert(jobs, new, ["job_id"])
+    table = SnapshotTable(t.spark, f"{new_folder(t.spark)}/jobs", ["job_id"])
+    table.upsert(jobs)
+    table.upsert(new)
+    return table.read()
 
 
-@query("sink_audit", """SELECT 'match.compute' AS action, label, count(*) AS n, count(*) FILTER (knocked_out) AS knocked_out FROM v_matches GROUP BY label""")
+@query("sink_audit", f"""SELECT 'match.compute' AS action, CAST(t.user_id AS STRING) || ':' || CAST(t.job_id AS STRING) AS entity_id, CAST(total_score AS DOUBLE) AS score, label, knocked_out,
+ NULL AS note FROM o_total t JOIN o_ko k ON k.user_id = t.user_id AND k.job_id = t.job_id
+ UNION ALL SELECT 'job.' || new_status, CAST(job_id AS STRING), NULL, NULL, NULL, note FROM ({DECISIONS}) d""")
 def _(t):
-    from ..sources.sinks import match_audit
-
-    rows = match_audit(t("v_matches"), F.lit(1))
-    m = F.col("metadata")
-    ko = F.count_if(m["knocked_out"])
-    return rows.groupBy("action", m["label"].alias("label")).agg(F.count("*").alias("n"), ko.alias("knocked_out"))
+    path = f"{new_folder(t.spark)}/audit"
+    write_audit(match_audit(scored(t), F.lit(1)), path)
+    write_audit(decision_audit(t.sql(DECISIONS)), path)
+    m = F.from_json("metadata", "score double, label string, knocked_out boolean, note string")
+    return t.spark.read.parquet(path).select("action", "entity_id", m.alias("m")).select("action", "entity_id", "m.*")

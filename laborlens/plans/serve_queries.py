@@ -10,10 +10,6 @@ from .registry import query
 from .views import SUBJECTS
 
 
-def ts(text: str):
-    return F.lit(text).cast("timestamp")
-
-
 def feed(t):
     return S.feed(t("v_matches"), t("v_jobs"), t("v_companies"), t("v_feedback"))
 
@@ -61,11 +57,6 @@ def _(t):
     return t("v_profiles").filter(F.col("onboarded_at").isNotNull()).select("user_id")
 
 
-@query("flt_since", "SELECT job_id FROM v_jobs WHERE valid_through IS NULL OR valid_through >= TIMESTAMP '2026-08-01 00:00:00'")
-def _(t):
-    return t("v_jobs").filter(S.changed_since(F.col("valid_through"), ts("2026-08-01"), keep_undated=True)).select("job_id")
-
-
 @query("flt_feed", """SELECT user_id, job_id FROM f_feed WHERE feedback IN ('saved', 'applied') AND NOT knocked_out
  AND label IN ('strong', 'good') AND contains(lower(title || ' ' || coalesce(company_name, '') || ' ' || coalesce(city, '')), 'data')""")
 def _(t):

@@ -56,35 +56,77 @@ UNITS = ("hour", "day", "week", "month", "year")
 # --- end of fixed values ----------------------------------------------------------------
 
 
-def read_adzuna(spark: SparkSession, path: str) -> DataFrame:
-    pages = spark.read.schema(f"count bigint, results array<struct<{_fields(ADZUNA)}>>").json(path, multiLine=True)
-    return pages.select(F.explode("results").alias("r")).select("r.*")
-
-
-def read_greenhouse(spark: SparkSession, path: str) -> DataFrame:
-    boards = spark.read.schema(f"jobs array<struct<{_fields(GREENHOUSE)}>>").json(path, multiLine=True)
-    return boards.select(F.explode("jobs").alias("r")).select("r.*")
-
-
-def read_lever(spark: SparkSession, path: str) -> DataFrame:
+def changed_at(source: str) -> tuple[Column, bool]:
+    """When a raw record of a source was changed, and whether records without that date pass a filter on it."""
+    if source == "lever":
+        return F.timestamp_millis("createdAt"), False
+    if source == "greenhouse":
+        return F.try_to_timestamp("updated_at"), False
+    if source == "recruitee":
+        return F.try_to_timestamp(F.nullif(F.coalesce("updated_at", "published_at", "created_at"), F.lit(""))), True
+    if source == "personio":
+        return F.try_to_timestamp(F.nullif("createdAt", F.lit(""))), True
+    if source == "adzuna":
+        return F.try_to_timestamp("created"), False
+    raise ValueError(f"no date of change is known for {source}")
+
+
+def changed_since(raw: DataFrame, source: str, since: Column | None, now: Column | None = None) -> DataFrame:
+    """Records changed at ``since`` or later; all of them without it.
+
+    Aggregated pages are asked for by whole days of age, at least one and 30 without ``since``, counted from
+    ``now``. Where a source keeps records without a date, one that is no date is dropped.
+    """
+    at, keep_undated = changed_at(source)
+    if source == "adzuna":
+        if now is None:
+            return raw
+        days = F.lit(30) if since is None else F.greatest(F.lit(1), F.ceil((F.unix_micros(now) - F.unix_micros(since)) / F.lit(86_400_000_000)))
+        return raw.filter(at >= now - F.make_dt_interval(days=days.cast("int")))
+    if since is None:
+        return raw
+    if not keep_undated:
+        return raw.filter(at >= since)
+    given = F.coalesce("updated_at", "published_at", "created_at") if source == "recruitee" else F.col("createdAt")
+    return raw.filter(F.coalesce(given, F.lit("")).eqNullSafe("") | (at >= since))
+
+
+def _pages(spark: SparkSession, path: str, field: str, schema: str, lines: bool) -> DataFrame:
+    """Records of the array ``field`` of landed JSON pages: one page a file, or one a line."""
+    pages = spark.read.schema(f"{field} array<struct<{_fields(schema)}>>").json(path, multiLine=not lines)
+    return pages.select(F.explode(field).alias("r")).select("r.*")
+
+
+def read_adzuna(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _pages(spark, path, "results", ADZUNA, lines)
+
+
+def read_greenhouse(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _pages(spark, path, "jobs", GREENHOUSE, lines)
+
+
+def read_lever(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Records of landed arrays of postings; a line may also hold one array."""
+    if lines:
+        page = F.from_json("value", f"array<struct<{_fields(LEVER)}>>")
+        return spark.read.text(path).select(F.explode(page).alias("r")).select("r.*")
     return spark.read.schema(LEVER).json(path, multiLine=True)
 
 
-def read_recruitee(spark: SparkSession, path: str) -> DataFrame:
-    offers = spark.read.schema(f"offers array<struct<{_fields(RECRUITEE)}>>").json(path, multiLine=True)
-    return offers.select(F.explode("offers").alias("r")).select("r.*")
+def read_recruitee(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _pages(spark, path, "offers", RECRUITEE, lines)
 
 
 def read_personio(spark: SparkSession, path: str) -> DataFrame:
+    """Positions of landed XML feeds; a file is cut at its positions, so a large one is read by many tasks."""
     return spark.read.format("xml").option("rowTag", "position").schema(PERSONIO).load(path)
 
 
-def read_feed_items(spark: SparkSession, path: str, fmt: str, items: str, schema: str) -> DataFrame:
+def read_feed_items(spark: SparkSession, path: str, fmt: str, items: str, schema: str, lines: bool = False) -> DataFrame:
     """Items of a generic feed: an array field of JSON documents or a repeated XML element."""
     if fmt == "xml":
         return spark.read.format("xml").option("rowTag", items).option("attributePrefix", "attr_").schema(schema).load(path)
-    docs = spark.read.schema(f"{items} array<struct<{_fields(schema)}>>").json(path, multiLine=True)
-    return docs.select(F.explode(items).alias("r")).select("r.*")
+    return _pages(spark, path, items, schema, lines)
 
 
 def _fields(ddl: str) -> str:

@@ -25,5 +25,14 @@ def match_audit(scored: DataFrame, model_version: Column) -> DataFrame:
     )
 
 
+def decision_audit(decisions: DataFrame) -> DataFrame:
+    """One audit row per decision on a posting (job_id, new_status, note)."""
+    return decisions.select(
+        F.lit("admin").alias("actor_role"), F.concat(F.lit("job."), "new_status").alias("action"), F.lit("job").alias("entity_type"),
+        F.col("job_id").cast("string").alias("entity_id"), F.lit(None).cast("int").alias("model_version"), F.struct("note").alias("metadata"),
+    )
+
+
 def write_audit(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("action").parquet(path)
+    """Append audit rows, parted by action; what is particular to an action is JSON."""
+    rows.withColumn("metadata", F.to_json("metadata")).write.mode("append").partitionBy("action").parquet(path)
