@@ -10,6 +10,8 @@ functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
@@ -94,12 +96,17 @@ def described_lines(lines: DataFrame, ranks: list[int], similarity: float) -> Da
     return t.withColumns({"p": fold, "k0": F.array_min("prefix"), "k1": F.array_max("prefix")})
 
 
-def _alike(a: str, b: str, similarity: float) -> Column:
+def _differ(a: str, b: str, parities: tuple[str, ...]) -> Column:
+    """A lower bound of the number of words that only one of the two sets has."""
+    bits = [F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in parities]
+    return reduce(lambda x, y: x + y, bits)
+
+
+def _alike(a: str, b: str, similarity: float, parities: tuple[str, ...] = ("p",)) -> Column:
     """Length filter and parity filter: true for every pair that is similar enough."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     near = F.least(na, nb) >= F.greatest(na, nb) * similarity - _EPS
-    differ = F.bit_count(F.col(f"{a}.p").bitwiseXOR(F.col(f"{b}.p")))
-    return near & (differ <= na + nb - 2 * least_overlap(na, nb, similarity))
+    return near & (_differ(a, b, parities) <= na + nb - 2 * least_overlap(na, nb, similarity))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -169,14 +176,17 @@ def sampled_pairs(classes: DataFrame, similarity: float) -> DataFrame:
 def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> DataFrame:
     """Pairs (later, earlier) that share a word of both prefixes and pass all filters; the later is not settled.
 
-    ``off`` is the share of the words that surely differ, in thousandths.
+    ``off`` is the share of the words that surely differ, in thousandths. Parities of 128 places travel with the
+    postings: with 64 places, lines near a group of near copies that match none of it met all of the group.
     """
+    halves = ("p0", "p1")
     done = settled.withColumn("_done", F.lit(2**31 - 1))
     if done.count() <= BROADCAST_ROWS:
         done = F.broadcast(done)
     flagged = classes.join(done, ["id", "line"], "left")
+    folded = [F.col("q0").bitwiseXOR(F.col("q1")).alias("p0"), F.col("q2").bitwiseXOR(F.col("q3")).alias("p1")]
     posts = flagged.select(
-        "id", "line", "p", "n", F.coalesce("_done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("at", "word")
+        "id", "line", *folded, "n", F.coalesce("_done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("at", "word")
     )
     x, y = posts.alias("x"), posts.alias("y")
     rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
@@ -188,10 +198,10 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> D
         (F.col("x.word") == F.col("y.word"))
         & _earlier("x", "y")
         & looking
-        & _alike("x", "y", similarity)
+        & _alike("x", "y", similarity, halves)
         & (rest >= least_overlap(F.col("x.n"), F.col("y.n"), similarity)),
     )
-    off = F.bit_count(F.col("x.p").bitwiseXOR(F.col("y.p"))) * 1000 / (F.col("x.n") + F.col("y.n"))
+    off = _differ("x", "y", halves) * 1000 / (F.col("x.n") + F.col("y.n"))
     return met.select(*_pair("x", "y"), off.cast("int").alias("off")).distinct()
 
 
