@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from ..functions import text as X
 from ..session import cut_lineage
@@ -24,7 +24,10 @@ NEAR_THRESHOLD = 0.9
 # --- end of fixed values --------------------------------------------------------------------
 
 PIVOTS = 32  # pivot vectors held by every task
+SAMPLE = 512  # vectors that the pivots and the directions of heads are taken from
 TILE = 2048  # rows per side of one comparison task
+PAIR_RUN = 1 << 15  # open pairs whose vectors are gathered at a time
+BOUND_SLACK = 1e-9  # rounding of sums of products of unit vectors
 
 
 def employer_domain(company_domain: Column, apply_url: Column) -> Column:
@@ -83,8 +86,125 @@ def live_rows(postings: DataFrame) -> DataFrame:
 # --- near duplicates by vectors ---------------------------------------------------------------
 
 
+def main_directions(sample: np.ndarray) -> np.ndarray:
+    """Orthonormal directions, as columns, by falling weight in a sample of unit vectors: a quarter of all.
+
+    The bounds hold for any orthonormal directions; these only gather more of a product.
+    """
+    return np.linalg.eigh(sample.T @ sample)[1][:, ::-1][:, : max(1, sample.shape[1] // 4)]
+
+
+def heads(m: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Of each row, as a unit vector: its part along the directions, then the norm of what is left."""
+    u = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    part = u @ basis
+    rest = np.sqrt(np.maximum(0.0, (u * u).sum(axis=1) - (part * part).sum(axis=1)))
+    return np.c_[part, rest]
+
+
+def pairs_above(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(i, j, cosine) of all pairs of rows above the threshold, and the multiplications spent.
+
+    The products of the heads, the norms of the rests included, bound every cosine from above (Cauchy and
+    Schwarz on the rests); only pairs whose bound passes are computed whole. Blocks of heads whose balls
+    lie too far apart are dropped at once. A row of zeros has no partner.
+    """
+    none, d, h = np.zeros(0, np.int64), x.shape[1], hx.shape[1]
+    work = 0
+    if len(x) * len(y) > 8 * (len(x) + len(y)):
+        work = 2 * h * (len(x) + len(y))
+        cx, cy = hx[:, :-1].mean(axis=0), hy[:, :-1].mean(axis=0)
+        reach = [np.linalg.norm(m[:, :-1] - c, axis=1).max() for m, c in ((hx, cx), (hy, cy))]
+        if np.linalg.norm(cx - cy) - sum(reach) > math.sqrt(max(0.0, 2 - 2 * threshold)) + BOUND_SLACK:
+            return none, none, np.zeros(0), work
+    bound = hx @ hy.T
+    work += h * bound.size
+    i, j = np.nonzero(bound > threshold - BOUND_SLACK)
+    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    if len(i) * 4 > bound.size:  # most are open: one product is cheaper than gathered rows
+        dots = (x @ y.T)[i, j]
+        work += d * bound.size
+    else:
+        runs = [slice(at, at + PAIR_RUN) for at in range(0, len(i), PAIR_RUN)]
+        dots = np.concatenate([np.einsum("ij,ij->i", x[i[r]], y[j[r]]) for r in runs]) if runs else np.zeros(0)
+        work += d * len(i)
+    norm = nx[i] * ny[j]
+    s = np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0)
+    over = (s > threshold) & (norm > 0)
+    return i[over], j[over], s[over], work
+
+
+def _tiled_pairs(home: DataFrame, probe: DataFrame, threshold: float, work: tuple | None) -> DataFrame:
+    """(a, b, similarity), a < b, of the pairs of (id, blk, v, head, cell) rows of one cell above the threshold.
+
+    Cells above ``TILE`` rows are cut by a hash of the id on both sides, so a task holds two tiles at most.
+    """
+
+    def tiles(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("blk", "cell").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias(name))
+
+    size = tiles(home, "nh").join(tiles(probe, "np"), ["blk", "cell"])
+    spread = F.pmod(F.xxhash64("id"), F.col("n_own")).cast("int")
+
+    def side(df: DataFrame, own: str, other: str, role: int) -> DataFrame:
+        s = size.select("blk", "cell", F.col(own).alias("n_own"), F.col(other).alias("n_other"))
+        out = df.join(s, ["blk", "cell"]).withColumn("mine", spread)
+        out = out.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
+        first, second = ("mine", "theirs") if role == 0 else ("theirs", "mine")
+        return out.select("blk", "cell", F.col(first).alias("th"), F.col(second).alias("tp"), "id", "v", "head", F.lit(role).alias("role"))
+
+    both = side(home, "nh", "np", 0).unionByName(side(probe, "np", "nh", 1))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, p = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
+        if h.empty or p.empty:
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+        x, y = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (h, p))
+        hx, hy = (np.stack(d["head"].to_numpy()) for d in (h, p))
+        i, j, s, spent = pairs_above(x, y, hx, hy, threshold)
+        if work is not None:
+            work[0].add(spent)
+            work[1].add(len(x) * len(y) * x.shape[1])
+        ids_h, ids_p = h["id"].to_numpy()[i], p["id"].to_numpy()[j]
+        once = ids_h < ids_p
+        return pd.DataFrame({"a": ids_h[once], "b": ids_p[once], "similarity": s[once]})
+
+    return both.groupBy("blk", "cell", "th", "tp").applyInPandas(compare, "a long, b long, similarity double")
+
+
+def _vectors(rows: DataFrame, row_id: str, vector: str, block: str | None) -> tuple[DataFrame, np.ndarray]:
+    """(id, blk, v) rows with a vector, and a sample of at most ``SAMPLE`` unit vectors."""
+    base = rows.select(
+        F.col(row_id).alias("id"), (F.col(block).cast("string") if block else F.lit("")).alias("blk"), F.col(vector).alias("v")
+    ).filter(F.col("v").isNotNull())
+    sample = base.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()  # at most SAMPLE rows
+    known = np.array([r["v"] for r in sample], dtype=np.float64)
+    if len(known):
+        known /= np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-12)
+    return base, known
+
+
+def _with_heads(base: DataFrame, sample: np.ndarray, work: tuple | None) -> DataFrame:
+    """The rows with ``head``, made once for each row."""
+    basis = main_directions(sample)
+
+    @pandas_udf(ArrayType(DoubleType()))
+    def head(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        if work is not None:
+            work[0].add(len(v) * basis.size)
+        return pd.Series(list(heads(np.stack(v.to_numpy()).astype(np.float64), basis)))
+
+    return base.withColumn("head", head("v"))
+
+
+def _no_pairs(base: DataFrame) -> DataFrame:
+    return base.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
+
+
 def similar_pairs(
-    rows: DataFrame, row_id: str, vector: str, threshold: float = NEAR_THRESHOLD, block: str | None = None
+    rows: DataFrame, row_id: str, vector: str, threshold: float = NEAR_THRESHOLD, block: str | None = None, work: tuple | None = None
 ) -> DataFrame:
     """(a, b, similarity) with a < b: all pairs whose cosine is above the threshold, exactly.
 
@@ -93,16 +213,15 @@ def similar_pairs(
     x's own angle to that pivot, and only in cells of pivots not farther from x than its
     nearest one plus 2t. A row is stored in one cell and probes those few others. Large cells
     are cut into tiles by hash, so no task holds more than a tile of each side; a task
-    multiplies two tiles and returns only the pairs above the threshold.
+    multiplies the heads of two tiles, and vectors only
+    where the heads leave a pair open (``pairs_above``), and returns only the pairs above the threshold.
+    ``work`` may be two accumulators: multiplications spent, and those that whole products of the tiles
+    would take. Null vectors have no partner, a vector of zeros neither; an empty table gives no pair.
     """
-    base = rows.select(
-        F.col(row_id).alias("id"), (F.col(block).cast("string") if block else F.lit("")).alias("blk"), F.col(vector).alias("v")
-    ).filter(F.col("v").isNotNull())
-    sample = base.orderBy(F.xxhash64("id")).limit(PIVOTS).select("v").collect()  # at most PIVOTS rows
-    if not sample:
-        return base.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity"))
-    pivots = np.array([r["v"] for r in sample], dtype=np.float64)
-    pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-12)
+    base, sample = _vectors(rows, row_id, vector, block)
+    if not len(sample):
+        return _no_pairs(base)
+    pivots = sample[:PIVOTS]
     angle = math.acos(threshold)
     width, slack = angle, 1e-5
 
@@ -124,39 +243,37 @@ def similar_pairs(
             out.append([own] + sorted(set(probe)))
         return pd.Series(out)
 
-    placed = base.withColumn("cells", cells("v"))
-    home = placed.select("id", "blk", "v", F.get("cells", F.lit(0)).alias("cell"))
-    probe = placed.select("id", "blk", "v", F.explode(F.slice("cells", 2, 1 << 30)).alias("cell"))
+    placed = _with_heads(base, sample, work).withColumn("cells", cells("v"))
+    home = placed.select("id", "blk", "v", "head", F.get("cells", F.lit(0)).alias("cell"))
+    probe = placed.select("id", "blk", "v", "head", F.explode(F.slice("cells", 2, 1 << 30)).alias("cell"))
+    return _tiled_pairs(home, probe, threshold, work)
 
-    def tiles(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("blk", "cell").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias(name))
 
-    size = tiles(home, "nh").join(tiles(probe, "np"), ["blk", "cell"])
-    spread = F.pmod(F.xxhash64("id"), F.col("n_own")).cast("int")
-
-    def side(df: DataFrame, own: str, other: str, role: int) -> DataFrame:
-        s = size.select("blk", "cell", F.col(own).alias("n_own"), F.col(other).alias("n_other"))
-        out = df.join(s, ["blk", "cell"]).withColumn("mine", spread)
-        out = out.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
-        first, second = ("mine", "theirs") if role == 0 else ("theirs", "mine")
-        return out.select("blk", "cell", F.col(first).alias("th"), F.col(second).alias("tp"), "id", "v", F.lit(role).alias("role"))
+def hyperplane_pairs(
+    rows: DataFrame, row_id: str, vector: str, threshold: float = NEAR_THRESHOLD, block: str | None = None,
+    planes: int = 10, tables: int = 24, work: tuple | None = None,
+) -> DataFrame:
+    """(a, b, similarity) with a < b: most pairs above the threshold, none below it.
 
-    both = side(home, "nh", "np", 0).unionByName(side(probe, "np", "nh", 1))
+    The option for data that pivots do not part. Signs against ``planes`` random hyperplanes are the cell
+    of a vector in each of ``tables`` tables; a pair at angle t shares a cell of one table with probability
+    (1 - t / pi) ** planes, so with the given numbers a pair at a cosine of 0.9 is missed with probability
+    0.004. A row is copied once for each table. Cells of any size are compared whole, in tiles.
+    """
+    base, sample = _vectors(rows, row_id, vector, block)
+    if not len(sample):
+        return _no_pairs(base)
+    normals = np.random.default_rng(7).normal(size=(sample.shape[1], tables * planes))
+    weights = 1 << np.arange(planes)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, p = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        if h.empty or p.empty:
-            return empty
-        x, y = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (h, p))
-        nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-        norm = np.outer(nx, ny)
-        sim = np.divide(x @ y.T, norm, out=np.zeros_like(norm), where=norm > 0)
-        ids_h, ids_p = h["id"].to_numpy(), p["id"].to_numpy()
-        i, j = np.nonzero((sim > threshold) & (ids_h[:, None] < ids_p[None, :]))
-        return pd.DataFrame({"a": ids_h[i], "b": ids_p[j], "similarity": sim[i, j]})
+    @pandas_udf(ArrayType(IntegerType()))
+    def cells(v: pd.Series) -> pd.Series:
+        sign = np.stack(v.to_numpy()).astype(np.float64) @ normals > 0
+        key = sign.reshape(len(v), tables, planes) @ weights
+        return pd.Series(list((key + (np.arange(tables) << planes)).astype(np.int32)))
 
-    return both.groupBy("blk", "cell", "th", "tp").applyInPandas(compare, "a long, b long, similarity double")
+    placed = _with_heads(base, sample, work).withColumn("cell", F.explode(cells("v")))
+    return _tiled_pairs(placed, placed, threshold, work).dropDuplicates(["a", "b"])
 
 
 def nearest(pairs: DataFrame, k: int = 5) -> DataFrame:

@@ -24,6 +24,41 @@ def test_similar_pairs_equal_brute_force(spark, monkeypatch, tile):
     assert blocked == {(i, j) for i, j in want if i % 2 == j % 2}
 
 
+def test_pairs_above_equal_whole_products():
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 64))
+    v = np.concatenate([c + rng.normal(scale=0.3, size=(20, 64)) for c in centres] + [np.zeros((1, 64))])
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    sim = u @ u.T
+    h = D.heads(v, D.main_directions(u[:100]))
+    for threshold in (0.95, 0.9, 0.5, 0.0):
+        i, j, s, _ = D.pairs_above(v, v, h, h, threshold)
+        assert set(zip(i, j)) == set(zip(*np.nonzero(sim > threshold)))
+        assert np.allclose(s, sim[i, j])
+    # balls that lie far apart are dropped before any product of two rows
+    one = np.eye(64)[:1] + 0.01 * u[:50]
+    far = [D.heads(m, np.eye(64)[:, :16]) for m in (one, -one)]
+    got = D.pairs_above(one, -one, *far, 0.9)
+    assert len(got[0]) == 0 and got[3] == 2 * 17 * 100
+
+
+def test_work_that_bounds_skip_and_recall_of_hyperplanes(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(100, 64))
+    v = np.concatenate([c + rng.normal(scale=0.3, size=(15, 64)) for c in centres])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = u @ u.T
+    want = {(i, j) for i, j in itertools.combinations(range(len(v)), 2) if sim[i, j] > 0.9}
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, v array<double>")
+    work = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    assert {(r["a"], r["b"]) for r in D.similar_pairs(df, "id", "v", work=work).collect()} == want
+    assert 0 < work[0].value < work[1].value / 2
+    found = [(r["a"], r["b"]) for r in D.hyperplane_pairs(df, "id", "v").collect()]
+    assert len(found) == len(set(found)) and set(found) <= want and len(found) >= 0.9 * len(want)
+    none = df.filter("id < 0")
+    assert D.similar_pairs(none, "id", "v").count() == 0 and D.hyperplane_pairs(none, "id", "v").count() == 0
+
+
 def test_components_equal_union_find(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(r.randint(100, 400), r.randint(100, 400)) for _ in range(180)]
