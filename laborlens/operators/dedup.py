@@ -135,7 +135,9 @@ def pairs_above(x: np.ndarray, y: np.ndarray, hx: np.ndarray, hy: np.ndarray, th
 
 
 def _tiled_pairs(home: DataFrame, probe: DataFrame, threshold: float, work: tuple | None) -> DataFrame:
-    """(a, b, similarity), a < b, of the pairs of (id, blk, v, head, cell) rows of one cell above the threshold.
+    """(a, b, similarity), a < b, of the pairs of (id, blk, v, head, cell, same) rows of one cell above the threshold.
+
+    A ``same`` row of ``probe`` is a row of that cell itself, where each pair is met from both ends.
 
     Cells above ``TILE`` rows are cut by a hash of the id on both sides, so a task holds two tiles at most.
     """
@@ -151,7 +153,7 @@ def _tiled_pairs(home: DataFrame, probe: DataFrame, threshold: float, work: tupl
         out = df.join(s, ["blk", "cell"]).withColumn("mine", spread)
         out = out.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("n_other") - 1)))
         first, second = ("mine", "theirs") if role == 0 else ("theirs", "mine")
-        return out.select("blk", "cell", F.col(first).alias("th"), F.col(second).alias("tp"), "id", "v", "head", F.lit(role).alias("role"))
+        return out.select("blk", "cell", F.col(first).alias("th"), F.col(second).alias("tp"), "id", "v", "head", "same", F.lit(role).alias("role"))
 
     both = side(home, "nh", "np", 0).unionByName(side(probe, "np", "nh", 1))
 
@@ -165,9 +167,10 @@ def _tiled_pairs(home: DataFrame, probe: DataFrame, threshold: float, work: tupl
         if work is not None:
             work[0].add(spent)
             work[1].add(len(x) * len(y) * x.shape[1])
-        ids_h, ids_p = h["id"].to_numpy()[i], p["id"].to_numpy()[j]
-        once = ids_h < ids_p
-        return pd.DataFrame({"a": ids_h[once], "b": ids_p[once], "similarity": s[once]})
+        ids_h, ids_p, same = h["id"].to_numpy()[i], p["id"].to_numpy()[j], p["same"].to_numpy(dtype=bool)[j]
+        once = (ids_h < ids_p) | (~same & (ids_h > ids_p))
+        a, b = np.minimum(ids_h, ids_p)[once], np.maximum(ids_h, ids_p)[once]
+        return pd.DataFrame({"a": a, "b": b, "similarity": s[once]})
 
     return both.groupBy("blk", "cell", "th", "tp").applyInPandas(compare, "a long, b long, similarity double")
 
@@ -211,7 +214,8 @@ def similar_pairs(
     Vectors are parted by their nearest of a few pivots and by rings of the angle to it. Angles
     obey the triangle inequality, so a partner within angle t of x lies in a ring within t of
     x's own angle to that pivot, and only in cells of pivots not farther from x than its
-    nearest one plus 2t. A row is stored in one cell and probes those few others. Large cells
+    nearest one plus 2t. A row is stored in one cell and probes those of the others that have a higher
+    number, as a partner in a lower one probes its cell. Large cells
     are cut into tiles by hash, so no task holds more than a tile of each side; a task
     multiplies the heads of two tiles, and vectors only
     where the heads leave a pair open (``pairs_above``), and returns only the pairs above the threshold.
@@ -240,12 +244,13 @@ def similar_pairs(
             for p in np.flatnonzero(a[i] <= near[i] + 2 * angle + slack):
                 lo, hi = int(max(0.0, a[i, p] - angle - slack) / width), int((a[i, p] + angle + slack) / width)
                 probe.extend(int(p) * rings + r for r in range(lo, hi + 1))
-            out.append([own] + sorted(set(probe)))
+            out.append([own] + sorted(c for c in set(probe) if c >= own))
         return pd.Series(out)
 
     placed = _with_heads(base, sample, work).withColumn("cells", cells("v"))
-    home = placed.select("id", "blk", "v", "head", F.get("cells", F.lit(0)).alias("cell"))
-    probe = placed.select("id", "blk", "v", "head", F.explode(F.slice("cells", 2, 1 << 30)).alias("cell"))
+    home = placed.select("id", "blk", "v", "head", F.get("cells", F.lit(0)).alias("cell"), F.lit(True).alias("same"))
+    probe = placed.select("id", "blk", "v", "head", F.get("cells", F.lit(0)).alias("own"), F.explode(F.slice("cells", 2, 1 << 30)).alias("cell"))
+    probe = probe.withColumn("same", F.col("own") == F.col("cell")).drop("own")
     return _tiled_pairs(home, probe, threshold, work)
 
 
@@ -272,7 +277,7 @@ def hyperplane_pairs(
         key = sign.reshape(len(v), tables, planes) @ weights
         return pd.Series(list((key + (np.arange(tables) << planes)).astype(np.int32)))
 
-    placed = _with_heads(base, sample, work).withColumn("cell", F.explode(cells("v")))
+    placed = _with_heads(base, sample, work).withColumn("cell", F.explode(cells("v"))).withColumn("same", F.lit(True))
     return _tiled_pairs(placed, placed, threshold, work).dropDuplicates(["a", "b"])
 
 
