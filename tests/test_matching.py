@@ -189,3 +189,26 @@ def test_protected_attributes_never_enter():
 
     names = set(ALLOWED) | set(re.findall(r"(\w+)[ :](?:string|double|array|struct)", PREFERENCES)) | set(re.findall(r"(\w+) \w+", PROFILE))
     assert not {n.lower() for n in names} & {n.lower() for n in PROTECTED}
+
+
+def exchanged(df):
+    """Columns of every shuffle of a plan."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    blocks = [b.strip().splitlines() for b in text.split("\n\n") if ") Exchange" in b.strip().split("\n")[0]]
+    return [{c.split("#")[0].strip(" []") for c in b[1].split(": ", 1)[1].split(",")} for b in blocks]
+
+
+def test_posting_lists_do_not_travel_with_pairs(spark):
+    """A pair is shuffled with its candidate's own skills at most, and with no skill list of the posting."""
+    parents, have, need = fixture()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c, p = sides(spark, parents, have, need, DEFAULT)
+        pairs = spark.createDataFrame(list(itertools.product(have, need)), "user_id long, job_id long")
+        f = M.match_rows(M.score_pairs(M.join_pairs(pairs, c, p)))
+        shuffles = [s for s in exchanged(f) if "user_id" in s and "job_id" in s]
+        assert shuffles and not any(n.startswith(("j_", "_j")) or n == "key" for s in shuffles for n in s)
+        assert f.count() == len(have) * len(need)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
