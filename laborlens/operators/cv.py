@@ -113,7 +113,7 @@ def skill_recency(cvs: DataFrame, entries: DataFrame, doc_id: str = "doc_id") ->
 
     Outside any block the newest end counts. ``cvs`` has the columns text and blocks.
     """
-    found = find_concepts(cvs, entries, doc_id, "text").join(cvs.select(doc_id, "blocks"), doc_id)
+    found = find_concepts(cvs, entries, doc_id, "text").join(cvs.select(doc_id, "blocks").hint("merge"), doc_id)
     inside = F.filter("blocks", lambda b: (F.col("index") >= b["from"]) & (F.col("index") < b["to"]))
     home = F.get(inside, F.lit(0))
     newest = F.array_max(F.transform("blocks", lambda b: b["end"]))

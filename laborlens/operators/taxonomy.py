@@ -128,7 +128,10 @@ class Finder:
 
 
 def joined_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``find_concepts`` for a dictionary of any size: word runs meet the labels in an equi-join."""
+    """``find_concepts`` for a dictionary of any size: word runs meet the labels in an equi-join.
+
+    Labels and texts are much larger than the files Spark would judge them by, so neither is broadcast.
+    """
     def key(c: Column) -> Column:
         return F.array_join(F.slice(F.regexp_extract_all(c, F.lit(RUN), F.lit(0)), 1, MAX_RUNS), " ")
 
@@ -150,7 +153,7 @@ def joined_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str)
     )
     # the outer form: a plain explode adds a filter on the array's size, which computes it twice
     probes = sized.select(doc_id, F.explode_outer(runs).alias("key"))
-    hits = probes.join(known, "key").groupBy(doc_id).agg(
+    hits = probes.join(known.hint("merge"), "key").groupBy(doc_id).agg(
         F.collect_list(F.struct("uri", "label", "norm", "entry", "short")).alias("_hits")
     )
     placed = F.transform(
@@ -160,7 +163,7 @@ def joined_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str)
             (F.when(h["short"], place_in(F.col("_raw"), h["label"])).otherwise(place_in(F.col("_norm"), h["norm"])) - 1).alias("index"),
         ),
     )
-    found = work.join(hits, doc_id).select(doc_id, F.explode_outer(placed).alias("h")).filter(F.col("h.index") >= 0)
+    found = work.hint("merge").join(hits, doc_id).select(doc_id, F.explode_outer(placed).alias("h")).filter(F.col("h.index") >= 0)
     return longest_labels(found, doc_id)
 
 

@@ -407,7 +407,7 @@ def _(t):
     s = skills.groupBy("doc_id").agg(F.count("*").alias("skills"))
     e = exp.groupBy("doc_id").agg(F.count("*").alias("experiences"), F.max("isco_code").alias("isco"))
     lang = langs.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "language", "level"))), ",").alias("languages"))
-    return s.join(e, "doc_id").join(lang, "doc_id")
+    return s.hint("merge").join(e, "doc_id").join(lang.hint("merge"), "doc_id")
 
 
 @query("embed_candidates")

@@ -21,6 +21,18 @@ def test_both_lookups_agree(spark):
     assert got == rows(T.joined_concepts(docs, entries, "doc_id", "text")) and len(got) > 100
 
 
+def test_joined_dictionary_is_not_broadcast(spark, tmp_path):
+    """Label and text tables look small as files; sent to all tasks they would pass through the driver."""
+    docs = spark.createDataFrame([(1, "data and sql")], "doc_id long, text string")
+    concepts = spark.createDataFrame([(1, "sql", None, None)], "uri long, label_en string, label_nl string, alt_labels array<string>")
+    for name, df in (("docs", docs), ("concepts", concepts)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    docs, concepts = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("docs", "concepts"))
+    found = T.joined_concepts(docs, T.label_entries(concepts), "doc_id", "text")
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.select("doc_id", "uri", "label").collect()] == [(1, 1, "sql")]
+
+
 def test_language_is_the_best_profile(spark):
     rnd = random.Random(5)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "é"], "cc": ["ka", "ung", "zu"]}
