@@ -200,7 +200,7 @@ def autocomplete_pairs(queries: DataFrame, labels: DataFrame, threshold: float =
 
     More than ``threshold`` of either side's trigrams is shared by a similar pair, so the first shared
     one, in an order of rarity, stands early on both sides; common trigrams join nothing. A text that
-    contains the needle contains its rarest run too.
+    contains the needle contains its rarest run too. The runs of all labels are shuffled, never broadcast.
     """
     counts = labels.select(F.explode("_lt").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
 
@@ -212,11 +212,11 @@ def autocomplete_pairs(queries: DataFrame, labels: DataFrame, threshold: float =
     least = F.floor((F.col("a.size") + F.col("b.size")) * (threshold / (1 + threshold)) - 1e-9) + 1
     rest = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
     sized = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9
-    similar = a.join(b, (F.col("a.g") == F.col("b.g")) & sized & (rest >= least)).select("q", "uri")
+    similar = a.join(b.hint("merge"), (F.col("a.g") == F.col("b.g")) & sized & (rest >= least)).select("q", "uri")
     runs = labels.select("uri", F.explode("_runs").alias("g"))
     often = runs.groupBy("g").agg(F.count("*").alias("n"))
     rare = queries.select("q", F.explode("_qruns").alias("g")).join(often, "g").groupBy("q").agg(F.min(F.struct("n", "g"))["g"].alias("g"))
-    return similar.unionByName(rare.join(runs, "g").select("q", "uri")).distinct()
+    return similar.unionByName(rare.join(runs.hint("merge"), "g").select("q", "uri")).distinct()
 
 
 def autocomplete(queries: DataFrame, labels: DataFrame, k: int = 10, threshold: float = 0.3) -> DataFrame:
@@ -231,7 +231,7 @@ def autocomplete(queries: DataFrame, labels: DataFrame, k: int = 10, threshold:
     q = q.withColumn("_qruns", F.when(F.length("_needle") < 3, F.array("_needle")).otherwise(F.array_distinct(runs(F.col("_needle"), 3))))
     text = F.col("search_text")
     lt = labels.withColumns({"_lt": trigrams(text), "_runs": F.array_distinct(F.concat(runs(text, 3), runs(text, 2), runs(text, 1)))})
-    both = autocomplete_pairs(q, lt, threshold).join(q.select("q", "_needle", "_qt"), "q").join(lt.drop("_runs"), "uri")
+    both = autocomplete_pairs(q, lt, threshold).join(q.select("q", "_needle", "_qt"), "q").join(lt.drop("_runs").hint("merge"), "uri")
     similar = trigram_similarity(F.col("_qt"), F.col("_lt"))
     inside = F.col("search_text").contains(F.col("_needle"))
     score = F.greatest(F.coalesce(similar, F.lit(0.0)), F.when(inside, 0.5).otherwise(0.0))
@@ -264,7 +264,7 @@ def lexical_search(queries: DataFrame, entries: DataFrame, k: int = 10) -> DataF
     probe = whole.join(often, "g").groupBy("q", "qn").agg(F.min(F.struct("n", "g"))["g"].alias("g"))
     short = q.filter(F.length("qn") < 3).withColumn("g", F.col("qn"))
     # a single letter is in most labels, so hot runs are dealt over many tasks
-    hits = probe.join(runs(3), "g").unionByName(salted_join(runs(1, 2), short, "g", "uri"))
+    hits = probe.join(runs(3).hint("merge"), "g").unionByName(salted_join(runs(1, 2), short, "g", "uri"))
     score = (
         F.when(F.col("norm") == F.col("qn"), 3).when(F.col("norm").startswith(F.col("qn")), 2)
         .when(F.col("norm").contains(F.col("qn")), 1)
