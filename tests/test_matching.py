@@ -212,3 +212,40 @@ def test_posting_lists_do_not_travel_with_pairs(spark):
         assert f.count() == len(have) * len(need)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_pairs_that_share_skills_are_made_once_in_their_cell(spark, monkeypatch):
+    """Blocks, slices and runs of any size give the pairs and the credit of a plain join; no row per shared key is shuffled."""
+    from laborlens.operators import pruning as P
+
+    parents, have, need = fixture(seed=5, users=25, jobs=14)
+    have[3] = {}
+    c, p = sides(spark, parents, have, need, DEFAULT)
+    credit = {}
+    scored = M.join_pairs(M.every_pair(c, p), c, p).withColumn("skill_credits", M.skill_credits())
+    for r in scored.select("user_id", "job_id", M.skills_earned().alias("earned"), F.size("skill_credits").alias("n")).collect():
+        if r["n"]:
+            credit[r["user_id"], r["job_id"]] = r["earned"]
+    for keys, rows, run in ((1 << 23, 1 << 17, 1 << 21), (20, 4, 7)):
+        monkeypatch.setattr(P, "BLOCK_KEYS", keys)
+        monkeypatch.setattr(P, "SLICE_ROWS", rows)
+        monkeypatch.setattr(P, "SHARED_RUN", run)
+        pairs = M.evidence_pairs(c, p)
+        got = [tuple(r) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == set(credit)
+        assert {(r["user_id"], r["job_id"]): r["earned"] for r in P.skill_evidence(c, p, DEFAULT).collect()} == pytest.approx(credit)
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and plan.index("MapInArrow") < plan.index("RepartitionByExpression") and not plan.startswith("Aggregate")
+
+
+def test_a_cosine_that_lowers_the_total_drops_the_pair_before_it_is_scored(spark):
+    from laborlens.operators import pruning as P
+
+    parents, have, need = fixture(seed=11, users=20, jobs=15)
+    c, p = sides(spark, parents, have, need, DEFAULT)
+    c = c.withColumn("c_vectors", F.array(F.array(F.lit(1.0), (F.col("user_id") % 3).cast("double"))))
+    p = p.withColumn("j_vector", F.array(F.lit(0.0), F.lit(1.0)))
+    every = M.keep_matches(M.total_scores(M.join_pairs(M.every_pair(c, p), c, p, listed=False))).select("user_id", "job_id")
+    want = {tuple(r) for r in every.collect()}
+    left = {tuple(r) for r in P.promising_pairs(c, p, DEFAULT).collect()}
+    assert want and want <= left and len(left) <= 1.2 * len(want)
