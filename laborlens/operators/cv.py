@@ -52,9 +52,6 @@ def cv_blocks(text: Column, year: int, body_lines: int | None = None) -> Column:
         rest = F.regexp_replace(line, r"(?s)^(.*?)(?:" + span + ")", "$1")
         rest = F.regexp_replace(rest, ws(r"[()|,–—-]+\s*$"), "")
         head = js_trim(F.regexp_replace(rest, ws(r"^[-•*\s]+").replace(f"[-•*{BLANK}]", f"(?:[-•*]|{BLANK})"), ""))
-        parts = F.split(head, "(?i)" + ws(TITLE_SPLIT), -1)
-        until = F.regexp_extract(line, span, 2)
-        current = has(until, CURRENT)
         body = F.filter(
             F.transform(F.slice(lines, s + 2, stop - s - 1), js_trim), lambda x: (x != "") & ~has(x, BODY_STOP)
         )
@@ -62,14 +59,19 @@ def cv_blocks(text: Column, year: int, body_lines: int | None = None) -> Column:
         def offset(i: Column) -> Column:
             return F.length(F.array_join(F.slice(lines, F.lit(1), i), "\n")) + F.when(i > 0, 1).otherwise(0)
 
-        return F.struct(
-            k.alias("k"), js_trim(F.get(parts, F.lit(0))).alias("title"),
-            F.nullif(js_trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), F.lit("")).alias("org"),
-            F.regexp_extract(line, span, 1).cast("int").alias("start"),
-            F.when(current, year).otherwise(F.left(until, F.lit(4)).try_cast("int")).alias("end"),
-            current.alias("is_current"), (body if body_lines is None else F.slice(body, 1, body_lines)).alias("body"),
-            offset(s).alias("from"), offset(stop).alias("to"),
-        )
+        def made(parts: Column, years: Column) -> Column:
+            until = years["until"]
+            return let(has(until, CURRENT), lambda current: F.struct(
+                k.alias("k"), js_trim(F.get(parts, F.lit(0))).alias("title"),
+                F.nullif(js_trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))), F.lit("")).alias("org"),
+                years["since"].cast("int").alias("start"),
+                F.when(current, year).otherwise(F.left(until, F.lit(4)).try_cast("int")).alias("end"),
+                current.alias("is_current"), (body if body_lines is None else F.slice(body, 1, body_lines)).alias("body"),
+                offset(s).alias("from"), offset(stop).alias("to"),
+            ))
+
+        years = F.struct(F.regexp_extract(line, span, 1).alias("since"), F.regexp_extract(line, span, 2).alias("until"))
+        return let(F.split(head, "(?i)" + ws(TITLE_SPLIT), -1), lambda parts: let(years, lambda y: made(parts, y)))
 
     def blocks(lines: Column) -> Column:
         all_places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(span))
@@ -78,15 +80,23 @@ def cv_blocks(text: Column, year: int, body_lines: int | None = None) -> Column:
     return let(F.split(text, "\n", -1), blocks)
 
 
+def block_rows(cvs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """One row per block. A plain explode adds a filter on the blocks, which is pushed to the scan and makes them twice."""
+    rows = cvs.select(doc_id, F.explode_outer("blocks").alias("b"))
+    return rows.filter(F.col("b").isNotNull()).select(doc_id, "b.*")
+
+
 def section(text: Column, heading: str) -> Column:
     """Lines under the first matching heading up to the next heading-like line; "" without one."""
 
     def cut(lines: Column) -> Column:
         hit = F.array_position(F.transform(lines, lambda x: has(js_trim(x), heading)), True)
-        rest = F.when(hit > 0, F.slice(lines, (hit + 1).cast("int"), F.size(lines))).otherwise(F.array().cast("array<string>"))
+        none = F.array().cast("array<string>")
+        return let(let(hit, lambda h: F.when(h > 0, F.slice(lines, (h + 1).cast("int"), F.size(lines))).otherwise(none)), until_heading)
+
+    def until_heading(rest: Column) -> Column:
         stop = F.array_position(F.transform(rest, lambda x: js_trim(x).rlike(NEXT_HEADING)), True)
-        kept = F.when(stop > 0, F.slice(rest, F.lit(1), (stop - 1).cast("int"))).otherwise(rest)
-        return F.array_join(kept, "\n")
+        return let(stop, lambda s: F.array_join(F.when(s > 0, F.slice(rest, F.lit(1), (s - 1).cast("int"))).otherwise(rest), "\n"))
 
     return let(F.split(text, "\n", -1), cut)
 
@@ -137,7 +147,7 @@ def ground_cv(cvs: DataFrame, entries: DataFrame, occupations: DataFrame, doc_id
     title; unknown languages are dropped.
     """
     skills = skill_recency(cvs, entries, doc_id)
-    rows = cvs.select(doc_id, F.explode("blocks").alias("b")).select(doc_id, "b.*")
+    rows = block_rows(cvs, doc_id)
     titles = rows.select("title").distinct().withColumn("t", F.col("title"))
     jobs = best_concept(find_concepts(titles, occupations.drop("isco_code"), "t", "title"), "t").select(
         F.col("t").alias("title"), F.col("uri").alias("occupation_uri")

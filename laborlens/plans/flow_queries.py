@@ -353,15 +353,20 @@ def _(t):
 # --- CVs --------------------------------------------------------------------------------------
 
 
+def cv_texts(t):
+    """The texts, dealt to all cores: they are made of a narrow table, which may lie in a single split."""
+    return t.sql("SELECT * FROM v_cvs", spread_out=("customer",))
+
+
 def cvs(t):
-    return t("v_cvs").withColumn("blocks", V.cv_blocks(F.col("text"), 2026))
+    return cv_texts(t).withColumn("blocks", V.cv_blocks(F.col("text"), 2026))
 
 
 @query("cv_blocks", """SELECT c_custkey AS doc_id, 0 AS k, 'Data Engineer' AS title, 'Acme' AS org, CAST(2000 + c_custkey % 10 AS INT) AS start,
  CAST(2001 + c_custkey % 10 + c_custkey % 7 AS INT) AS end, FALSE AS is_current, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 5 END AS lines FROM customer
  UNION ALL SELECT c_custkey, 1, 'Senior Tester', 'Noord', 2016, 2026, TRUE, 4 FROM customer WHERE c_custkey % 2 = 0""")
 def _(t):
-    b = cvs(t).select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
+    b = V.block_rows(cvs(t), "doc_id")
     return b.select("doc_id", "k", "title", "org", "start", "end", "is_current", F.size("body").alias("lines"))
 
 
@@ -389,12 +394,12 @@ def _(t):
 
 @query("cv_education", "SELECT c_custkey AS doc_id, CASE c_custkey % 5 WHEN 0 THEN 8 WHEN 1 THEN 7 WHEN 2 THEN 6 WHEN 3 THEN 4 END AS eqf FROM customer")
 def _(t):
-    return t("v_cvs").select("doc_id", V.education_level(F.col("text")).alias("eqf"))
+    return cv_texts(t).select("doc_id", V.education_level(F.col("text")).alias("eqf"))
 
 
 @query("cv_sections", """SELECT c_custkey AS doc_id, 'Dutch native, English (fluent)' || chr(10) || 'German B1' AS languages, 'Data person number ' || CAST(c_custkey AS STRING) AS summary FROM customer""")
 def _(t):
-    return t("v_cvs").select("doc_id", V.section(F.col("text"), V.LANGUAGE_HEADING).alias("languages"), V.summary(F.col("text")).alias("summary"))
+    return cv_texts(t).select("doc_id", V.section(F.col("text"), V.LANGUAGE_HEADING).alias("languages"), V.summary(F.col("text")).alias("summary"))
 
 
 @query("cv_ground", """SELECT c_custkey AS doc_id, 3 AS skills, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS experiences, '2511' AS isco,
@@ -413,7 +418,7 @@ def _(t):
 @query("embed_candidates")
 def _(t):
     skills = t("v_candidate_skills").join(t("v_skills").select("uri", "label_en"), "uri").groupBy("user_id").agg(F.array_sort(F.collect_list("label_en")).alias("labels"))
-    f = t("v_profiles").select("user_id", "headline").join(t("v_cvs").select(F.col("doc_id").alias("user_id"), "text"), "user_id").join(skills, "user_id", "left")
+    f = t("v_profiles").select("user_id", "headline").join(cv_texts(t).select(F.col("doc_id").alias("user_id"), "text"), "user_id").join(skills, "user_id", "left")
     parts = F.filter(F.array("headline", "text", F.array_join("labels", ", ")), lambda x: x.isNotNull() & (x != ""))
     rows = X.redact_text(f.select("user_id", F.array_join(parts, "\n").alias("profile")), "profile")
     return rows.select("user_id", embed(F.col("profile")).alias("embedding"))
