@@ -34,11 +34,25 @@ def fnv1a(grams: list[str]) -> np.ndarray:
     return h
 
 
-def embed_words(words: pd.Series) -> list[np.ndarray]:
+RUN_CHARS = 1 << 20  # characters of texts whose words are held at a time
+
+
+def embed_texts(texts: pd.Series) -> list[np.ndarray]:
+    """Vectors of texts of words with single blanks; only the words of a run of texts are held at a time."""
+    out, run, size = [], [], 0
+    for text in texts:
+        run.append([] if text is None else text.split(" ") if text else [])
+        size += len(text or "")
+        if size >= RUN_CHARS:
+            out += embed_words(run)
+            run, size = [], 0
+    return out + embed_words(run)
+
+
+def embed_words(words: list[list[str]]) -> list[np.ndarray]:
     index: dict[str, int] = {}
     docs = []
     for w in words:
-        w = [] if w is None else list(w)
         grams = w + [f"{a}_{b}" for a, b in zip(w, w[1:])]
         docs.append(np.fromiter((index.setdefault(g, len(index)) for g in grams), dtype=np.int64, count=len(grams)))
     h = fnv1a(list(index))
@@ -54,10 +68,10 @@ def embed_words(words: pd.Series) -> list[np.ndarray]:
 
 
 @pandas_udf(ArrayType(FloatType()))
-def _embed(words: pd.Series) -> pd.Series:
-    return pd.Series(embed_words(words))
+def _embed(texts: pd.Series) -> pd.Series:
+    return pd.Series(embed_texts(texts))
 
 
 def embed(text: Column) -> Column:
     """Unit vector of 768 dimensions of a text."""
-    return _embed(words_of(text))
+    return _embed(F.array_join(words_of(text), " "))

@@ -11,6 +11,17 @@ from laborlens.operators import taxonomy as T
 from laborlens.plans.registry import Tables
 
 
+def test_vectors_hold_the_words_of_a_run_of_texts(monkeypatch):
+    rnd = random.Random(3)
+    texts = [None, ""] + [" ".join(rnd.choices(["data", "zorg", "werk", "naïef", "abc"], k=rnd.randrange(1, 40))) for _ in range(60)]
+    whole, held, plain = E.embed_texts(pd.Series(texts)), [], E.embed_words
+    monkeypatch.setattr(E, "RUN_CHARS", 200)
+    monkeypatch.setattr(E, "embed_words", lambda words: held.append(sum(map(len, words))) or plain(words))
+    cut = E.embed_texts(pd.Series(texts))
+    assert len(cut) == len(texts) and all(np.array_equal(a, b) for a, b in zip(whole, cut))
+    assert len(held) > 10 and max(held) < 120
+
+
 def test_cv_texts_are_dealt_to_all_cores(spark, tmp_path):
     from laborlens.plans import flow_queries as Q
 
