@@ -48,6 +48,7 @@ def place_in(text: Column, label: Column) -> Column:
     return F.when(F.regexp_instr(text, pattern) > 0, before + 1).otherwise(F.lit(0))
 
 
+FOUND_ROWS = 256  # texts whose hits are held at a time
 DICTIONARY_BYTES = 64 << 20  # labels that tasks hold at most; a larger dictionary is joined
 
 
@@ -70,10 +71,14 @@ def find_concepts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(known)
         for b in batches:
-            rows = [(i, *hit) for i, raw, norm in zip(b[doc_id], b["_raw"], b["_norm"]) for hit in finder.hits(raw, norm)]
-            yield pd.DataFrame(rows, columns=[doc_id, "uri", "label", "index", "size", "entry"])
-
-    work = docs.filter(F.col(text).isNotNull()).select(doc_id, F.col(text).alias("_raw"), normalize_label(F.col(text)).alias("_norm"))
+            for at in range(0, len(b), FOUND_ROWS):
+                part = b.iloc[at : at + FOUND_ROWS]
+                rows = [(i, *hit) for i, raw, norm in zip(part[doc_id], part["_raw"], part["_norm"]) for hit in finder.hits(raw or "", norm)]
+                yield pd.DataFrame(rows, columns=[doc_id, "uri", "label", "index", "size", "entry"])
+
+    cased = known["norm"].str.len().le(2).any()  # only short labels are looked for in the raw text
+    raw = F.col(text) if cased else F.lit(None).cast("string")
+    work = docs.filter(F.col(text).isNotNull()).select(doc_id, raw.alias("_raw"), normalize_label(F.col(text)).alias("_norm"))
     found = work.mapInPandas(find, f"`{doc_id}` {kind}, uri {uri}, label string, index int, size int, entry int")
     return longest_labels(found.select(F.col(doc_id), F.struct("uri", "label", "size", "entry", "index").alias("h")), doc_id)
 
@@ -90,9 +95,8 @@ class Finder:
     def __init__(self, known: pd.DataFrame):
         import regex
 
-        self.run, self.regex = regex.compile(RUN), regex
+        self.run, self.letter, self.tail = regex.compile(RUN), regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"[\p{L}\p{N}+#]")
         self.by_key: dict[tuple[bool, tuple[str, ...]], list[tuple]] = {}
-        self.patterns: dict[str, object] = {}
         for uri, label, norm, entry in known.itertuples(index=False):
             short = len(norm) <= 2
             key = tuple(self.run.findall(label if short else norm)[:MAX_RUNS])
@@ -102,10 +106,13 @@ class Finder:
 
     def place(self, text: str, label: str) -> int:
         """0-based place of a label as whole tokens, -1 when absent."""
-        if label not in self.patterns:
-            self.patterns[label] = self.regex.compile(rf"(?<![\p{{L}}\p{{N}}]){self.regex.escape(label, literal_spaces=True)}(?![\p{{L}}\p{{N}}+#])")
-        found = self.patterns[label].search(text)
-        return found.start() if found else -1
+        at = text.find(label)
+        while at >= 0:
+            end = at + len(label)
+            if not (at and self.letter.match(text, at - 1)) and not self.tail.match(text, end):
+                return at
+            at = text.find(label, at + 1)
+        return -1
 
     def hits(self, raw: str, norm: str) -> list[tuple]:
         best: dict[object, tuple] = {}

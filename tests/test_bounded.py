@@ -22,6 +22,17 @@ def test_vectors_hold_the_words_of_a_run_of_texts(monkeypatch):
     assert len(held) > 10 and max(held) < 120
 
 
+def test_places_of_labels_without_a_pattern_for_each():
+    known = pd.DataFrame([("a", "c++", "c++", 0), ("b", "data", "data", 0)], columns=["uri", "label", "norm", "entry"])
+    finder, rnd = T.Finder(known), random.Random(5)
+    for _ in range(3000):
+        text = "".join(rnd.choices("dat+ #é1", k=12))
+        label = "".join(rnd.choices("dat+", k=rnd.randrange(1, 4)))
+        found = regex.search(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(label, literal_spaces=True)}(?![\p{{L}}\p{{N}}+#])", text)
+        assert finder.place(text, label) == (found.start() if found else -1)
+    assert not hasattr(finder, "patterns")
+
+
 def test_cv_texts_are_dealt_to_all_cores(spark, tmp_path):
     from laborlens.plans import flow_queries as Q
 
