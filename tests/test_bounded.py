@@ -48,3 +48,20 @@ def test_pairs_that_read_no_skills_assemble_none(spark):
     for name in ("comp_occupation", "agg_mean_known"):
         plan = all_queries()[0][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "p_partkey" not in plan and "Window" not in plan
+
+
+def test_equal_vectors_have_equal_cosines_wherever_they_lie():
+    from laborlens.operators import dedup as D
+
+    rng = np.random.default_rng(2)
+    one = rng.normal(size=67)
+    for copies in (5, 40, 333):
+        y = np.repeat((one + rng.normal(size=67) * 0.1)[None, :], copies, axis=0)
+        x = np.r_[one[None, :], one[None, :] + rng.normal(size=(30, 67)) * 0.1]
+        basis = D.main_directions(x / np.linalg.norm(x, axis=1, keepdims=True))
+        i, j, s, _ = D.pairs_above(x, y, D.heads(x, basis), D.heads(y, basis), 0.5)
+        for row in range(len(x)):
+            mine = s[i == row]
+            assert len(mine) == copies and len(set(mine)) == 1
+            want = sum(a * b for a, b in zip(x[row], y[0])) / np.sqrt(sum(a * a for a in x[row]) * sum(b * b for b in y[0]))
+            assert mine[0] == want
