@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import numbers as N, text as X
 from ..functions.embed import embed
 from .dedup import resolve_companies
-from .language import detect_language
+from .language import language_column
 
 
 def stable_hash(*names: str) -> Column:
@@ -91,12 +91,15 @@ def geocode(rows: DataFrame, cities: DataFrame) -> DataFrame:
     ).drop("_lat", "_lng", "_region")
 
 
-def named_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
-    """Rows with ``company_key`` and ``_company``, the name of the known or new company."""
-    posts, new, _fills = resolve_companies(rows, companies)
+def named_companies(rows: DataFrame, companies: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, company_key, _company): the known or new company of every posting and its name.
+
+    Only the columns that say so are read, so texts and whatever else a row holds stay where they are.
+    """
+    posts, new, _fills = resolve_companies(rows.select(key, "company_name", "apply_url"), companies)
     names = companies.select(F.col("company_id").cast("string").alias("company_key"), F.col("name").alias("_company"))
     names = names.unionByName(new.select("company_key", F.col("name").alias("_company"))).dropDuplicates(["company_key"])
-    return posts.join(names, "company_key", "left")
+    return posts.join(names, "company_key", "left").select(key, "company_key", "_company")
 
 
 def enrich(
@@ -109,17 +112,18 @@ def enrich(
     ``salary`` is struct<min,max,unit,currency,text>. With ``companies`` (company_id, name, domain) every posting gets a
     ``company_key``, and the name behind it goes into the duplicate key. With the language ``profiles`` a posting
     without a language gets that of its text. ``today`` is the date of postings without one. ``embedding`` is the vector
-    of title and description.
+    of title and description. ``key`` names a posting once. Companies are looked up beside the rows and texts are scored
+    in place, so that what stands above is not made again for a later lookup.
     """
     f = geocode(rows.join(classified, key, "left"), cities)
     f = f.withColumn("_text", F.concat_ws("\n", "title", "description"))
     if companies is not None:
-        f = named_companies(f, companies)
+        f = f.join(named_companies(rows, companies, key), key, "left")
     else:
         f = f.withColumn("_company", F.lit(None).cast("string"))
     if profiles is not None:
-        f = f.join(detect_language(f, profiles, key, "_text").withColumnRenamed("detected", "_lang"), key, "left")
-        f = f.withColumn("language", F.coalesce("language", "_lang") if "language" in rows.columns else F.col("_lang")).drop("_lang")
+        found = language_column(profiles, F.col("_text"))
+        f = f.withColumn("language", F.coalesce("language", found) if "language" in rows.columns else found)
     if today is not None:
         f = f.withColumn("date_posted", F.coalesce("date_posted", today) if "date_posted" in rows.columns else today)
     hours = F.coalesce("hours_min", "cls_hours.min", "hours_max", "cls_hours.max")

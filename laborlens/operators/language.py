@@ -72,8 +72,8 @@ def language_profiles(texts: DataFrame, text: str = "text", lang: str = "lang",
     return ranked.select(F.col("lang").alias(lang), "gram", (F.lit(top + 1) - F.col("rank")).alias("weight"))
 
 
-def detect_language(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, detected): the language whose profile fits best; null when short or undecided.
+def language_column(profiles: DataFrame, text: Column) -> Column:
+    """The language whose profile fits a text best; null when short or undecided.
 
     The profiles have a fixed number of rows per language, so they go to the tasks, and every text
     is scored where it is read.
@@ -103,6 +103,11 @@ def detect_language(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str
                 out[part.start + i] = names[int(scores[:, i].argmax())]
         return pd.Series(out, dtype=object)
 
-    long = F.length(F.trim(F.regexp_replace(F.col(text), rf"{BLANK}+", " "))) >= MIN_CHARS
-    body = F.when(long, padded(F.col(text))).otherwise(F.lit(""))
-    return docs.select(doc_id, F.when(long, best(body)).alias("detected"))
+    long = F.length(F.trim(F.regexp_replace(text, rf"{BLANK}+", " "))) >= MIN_CHARS
+    body = F.when(long, padded(text)).otherwise(F.lit(""))
+    return F.when(long, best(body))
+
+
+def detect_language(docs: DataFrame, profiles: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, detected): the language of every text, see ``language_column``."""
+    return docs.select(doc_id, language_column(profiles, F.col(text)).alias("detected"))

@@ -80,3 +80,33 @@ def test_enrichment_is_one_path(spark):
     assert out[2]["review_reasons"] == [] and set(out[3]["review_reasons"]) >= {"no_skills", "no_occupation"} and out[3]["status"] == "pending_review"
     assert out[2]["language"] == "fy" and out[1]["language"] is None  # too short to say
     assert str(out[1]["date_posted"]) == "2026-09-01" and len(out[1]["embedding"]) == 768 and out[1]["lat"] == 51.5
+
+
+def test_classified_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    none = "CAST(NULL AS {0}) AS {1}"
+    rows = spark.range(40).selectExpr(
+        "id AS doc_id", "'Cook' AS title", "concat('a text that is long enough to say which language it is ', id) AS description",
+        "CASE WHEN id % 2 = 0 THEN 'Acme' WHEN id % 3 = 0 THEN 'Other' END AS company_name", "CASE WHEN id % 4 = 0 THEN 'https://acme.example/1' END AS apply_url",
+        "'Breda' AS city", *[none.format("STRING", c) for c in ("remote_policy", "region", "country", "language")],
+        *[none.format("DOUBLE", c) for c in ("hours_min", "hours_max", "lat", "lng")], "CAST(array() AS ARRAY<STRING>) AS employment_types",
+        "named_struct('min', CAST(NULL AS DOUBLE), 'max', CAST(NULL AS DOUBLE), 'unit', CAST(NULL AS STRING), 'currency', 'EUR', 'text', CAST(NULL AS STRING)) AS salary")
+    cls = rows.select("doc_id").mapInPandas(counted, "doc_id long").select(
+        "doc_id", F.lit(0.9).alias("cls_confidence"), F.lit("2512").alias("cls_isco"), F.array(F.lit("py")).alias("cls_skills"),
+        F.lit("senior").alias("cls_seniority"), F.lit("remote").alias("cls_remote"), F.array(F.lit("full_time")).alias("cls_employment"),
+        F.struct(F.lit(8.0).alias("min"), F.lit(16.0).alias("max")).alias("cls_hours"))
+    cities = spark.createDataFrame([("breda", 51.5, 4.7, "NB")], "norm string, lat double, lng double, province string")
+    companies = spark.createDataFrame([(5, "Known", None)], "company_id long, name string, domain string")
+    profiles = spark.createDataFrame([("en", "the", 300), ("en", "lon", 200)], "lang string, gram string, weight int")
+    out = I.enrich(rows, cls, cities, companies=companies, profiles=profiles, today=F.lit("2026-09-01").cast("date"))
+    got = out.select("doc_id", "company_key", "language", "status", "dedup_key").collect()
+    assert made.value == 40 and len(got) == 40
+    assert {r["language"] for r in got} == {"en"} and {r["status"] for r in got} == {"published"}
+    assert {(r["doc_id"] % 2, r["company_key"]) for r in got if r["doc_id"] % 2 == 0} == {(0, "new:acme.example")}
+    assert {r["company_key"] for r in got if r["doc_id"] % 6 == 3} == {"new:other"}
