@@ -35,37 +35,46 @@ def employer_domain(company_domain: Column, apply_url: Column) -> Column:
     return F.when(~host.rlike(PLATFORM_HOST), host)
 
 
+def _normalised(rows: DataFrame, name: str, *more: Column) -> DataFrame:
+    """The distinct names with their normalised form ``_norm``, and further aggregates.
+
+    The form is made of an aggregate: a condition on a grouping column would be moved below the grouping, to every row.
+    """
+    one = rows.groupBy(name).agg(F.max(name).alias("_same"), *more)
+    return one.withColumn("_norm", X.normalize_company(F.col("_same"))).drop("_same")
+
+
 def resolve_companies(postings: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings with ``company_key``, companies to add, domains to fill in).
 
     An employer domain decides first, then the normalised name. Of the rest, names and domains make a
     graph: a name goes with the domain it stands with most often (of equal ones the least), so postings
     of one firm with and without a domain, or with two, are one new company. A domain without a
-    name is its own key. Postings without name and domain have no company.
+    name is its own key. Postings without name and domain have no company. All this is found for the distinct
+    pairs of name and domain, so names are normalised once each and postings meet their pair in one join.
     """
-    p = postings.withColumns(
-        {
-            "_domain": employer_domain(F.lit(None).cast("string"), F.col("apply_url")),
-            "_norm": X.normalize_company(F.col("company_name")),
-        }
-    )
+    domain = employer_domain(F.lit(None).cast("string"), F.col("apply_url"))
+    p = postings.drop("company_key").withColumn("_domain", domain)
+    pairs = p.groupBy("company_name", "_domain").agg(F.count("*").alias("_rows"))
+    names = _normalised(pairs, "company_name")
     by_domain = companies.filter(F.col("domain").isNotNull()).groupBy(F.col("domain").alias("_domain")).agg(F.min("company_id").alias("_d"))
-    by_name = companies.groupBy(X.normalize_company(F.col("name")).alias("_norm")).agg(F.min("company_id").alias("_n"))
-    p = p.join(by_domain, "_domain", "left").join(by_name, "_norm", "left")
+    by_name = _normalised(companies, "name", F.min("company_id").alias("_n")).groupBy("_norm").agg(F.min("_n").alias("_n"))
+    pairs = pairs.join(names.join(by_name, "_norm", "left"), "company_name", "left").join(by_domain, "_domain", "left")
     known = F.coalesce("_d", "_n").cast("string")
-    links = p.filter(known.isNull() & F.col("_domain").isNotNull() & F.col("_norm").isNotNull()).groupBy("_norm", "_domain").agg(F.count("*").alias("_c"))
+    links = pairs.filter(known.isNull() & F.col("_domain").isNotNull() & F.col("_norm").isNotNull()).groupBy("_norm", "_domain").agg(F.sum("_rows").alias("_c"))
     main = links.groupBy("_norm").agg(F.min_by("_domain", F.struct(-F.col("_c"), F.col("_domain"))).alias("_main"))
-    p = p.join(main, "_norm", "left")
     fresh = F.concat(F.lit("new:"), F.when(F.col("_norm").isNotNull(), F.coalesce("_main", "_norm")).otherwise(F.col("_domain")))
-    p = p.withColumn("company_key", F.coalesce(known, fresh))
-    new = p.filter(F.col("company_key").startswith("new:")).groupBy("company_key").agg(
+    pairs = pairs.join(main, "_norm", "left").withColumn("company_key", F.coalesce(known, fresh))
+    new = pairs.filter(F.col("company_key").startswith("new:")).groupBy("company_key").agg(
         F.min(F.coalesce("company_name", "_domain")).alias("name"), F.min(F.coalesce("_main", "_domain")).alias("domain")
     )
-    fills = p.filter(F.col("_d").isNull() & F.col("_n").isNotNull() & F.col("_domain").isNotNull()).groupBy(
+    fills = pairs.filter(F.col("_d").isNull() & F.col("_n").isNotNull() & F.col("_domain").isNotNull()).groupBy(
         F.col("_n").alias("company_id")
     ).agg(F.min("_domain").alias("fill"))
     fills = fills.join(companies.filter(F.col("domain").isNull()).select("company_id"), "company_id", "left_semi")
-    return p.drop("_domain", "_norm", "_d", "_n", "_main"), new, fills
+    keys = pairs.filter(F.col("company_key").isNotNull()).select(F.col("company_name").alias("_name"), F.col("_domain").alias("_host"), "company_key")
+    posts = p.join(keys, F.col("company_name").eqNullSafe(F.col("_name")) & F.col("_domain").eqNullSafe(F.col("_host")), "left")
+    return posts.drop("_domain", "_name", "_host"), new, fills
 
 
 def same_key_edges(rows: DataFrame, key: str, row_id: str) -> DataFrame:

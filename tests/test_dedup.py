@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from laborlens.operators import dedup as D
 
@@ -126,3 +127,23 @@ def test_a_firm_with_and_without_domain_is_one_company(spark):
     got = {r["doc_id"]: r["company_key"] for r in out.collect()}
     assert got[1] == got[2] == got[3] == got[4] != got[6] and got[5] == got[6] and got[7] is None and got[9] == got[10]
     assert len({r["company_key"] for r in new.collect()}) == new.count()
+
+
+def test_a_name_is_normalised_once(spark, monkeypatch):
+    seen, real = spark.sparkContext.accumulator(0), D.X.normalize_company
+
+    @F.pandas_udf("string")
+    def counted(names):
+        seen.add(len(names))
+        return names
+
+    monkeypatch.setattr(D.X, "normalize_company", lambda c: real(counted(c)))
+    posts = spark.range(3000).selectExpr(
+        "id AS doc_id", "element_at(array('Acme', 'Acme B.V.', NULL, 'Known'), CAST(id % 4 AS INT) + 1) AS company_name",
+        "CASE WHEN id % 2 = 0 THEN 'https://www.acme.example/1' END AS apply_url")
+    known = spark.createDataFrame([(77, "Known Ltd", None)], "company_id long, name string, domain string")
+    out, new, fills = D.resolve_companies(posts, known)
+    got = {(r["company_name"], r["company_key"]): r["n"] for r in out.groupBy("company_name", "company_key").agg(F.count("*").alias("n")).collect()}
+    assert got == {("Acme", "new:acme.example"): 750, ("Acme B.V.", "new:acme.example"): 750, (None, "new:acme.example"): 750, ("Known", "77"): 750}
+    assert seen.value < 100
+    assert [tuple(r) for r in new.collect()] == [("new:acme.example", "Acme", "acme.example")] and fills.count() == 0
