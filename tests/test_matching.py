@@ -1,5 +1,6 @@
 """The engine against a plain-Python brute force over every pair of a small fixture."""
 
+import hashlib
 import itertools
 import random
 
@@ -249,3 +250,18 @@ def test_a_cosine_that_lowers_the_total_drops_the_pair_before_it_is_scored(spark
     want = {tuple(r) for r in every.collect()}
     left = {tuple(r) for r in P.promising_pairs(c, p, DEFAULT).collect()}
     assert want and want <= left and len(left) <= 1.2 * len(want)
+
+
+def test_pairs_meet_their_postings_first(spark):
+    pairs = spark.createDataFrame([(u, j, None if u == 3 else 0.8) for u in range(4) for j in (7, 8, 9)], "user_id long, job_id long, similarity double")
+    people = spark.createDataFrame([(u, f"c{u}") for u in range(3)], "user_id long, digest string")
+    jobs = spark.createDataFrame([(7, "j7"), (8, "j8")], "job_id long, digest string")
+    out = M.with_input_hash(pairs, people, jobs, M.DEFAULT, 1, 2026)
+    keys = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Join [" in line]
+    assert len(keys) >= 2 and "user_id" in keys[0] and "SortMergeJoin [job_id" in keys[1]  # the digest that repeats travels, side by side
+    model = M.model_digest(M.DEFAULT)
+    for r in out.collect():
+        u, j = r["user_id"], r["job_id"]
+        text = "|".join([f"c{u}" if u < 3 else "", f"j{j}" if j < 9 else "", "" if u == 3 else "8000", model, "2026"])
+        assert r["input_hash"] == hashlib.sha256(text.encode()).hexdigest()
+    assert out.count() == 12
