@@ -99,12 +99,12 @@ def export_documents(users: DataFrame, tables: dict[str, DataFrame], chunk: int
     is usual, has the one part 0; further chunks of long sections follow as further parts with the same fields.
     Users without any row have a part 0 of empty sections.
     """
-    chunks = export_chunks(users, tables, chunk)
+    chunks = export_chunks(users, tables, chunk).select("user_id", F.col("chunk").alias("part"), "section", "document")
+    none = F.lit(None).cast("string")
+    first = users.select("user_id").distinct().select("user_id", F.lit(0).alias("part"), none.alias("section"), none.alias("document"))
     sections = [c for c in known(tables) if c.fields]
     texts = [F.max(F.when(F.col("section") == c.name, F.col("document"))).alias(c.name) for c in sections]
-    parts = chunks.groupBy("user_id", F.col("chunk").alias("part")).agg(*texts)
-    first = users.select("user_id").distinct().withColumn("part", F.lit(0))
-    parts = parts.join(first, ["user_id", "part"], "full")
+    parts = chunks.unionByName(first).groupBy("user_id", "part").agg(*texts)
     fields = [F.concat(F.lit(f'"{c.name}":'), F.coalesce(F.col(c.name), F.lit("null" if c.single else "[]"))) for c in sections]
     return parts.select("user_id", "part", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("document"))
 

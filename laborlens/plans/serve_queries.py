@@ -193,18 +193,23 @@ def sql_item(entry) -> str:
 def _(t):
     sections = [e for e in J.CATALOGUE if e.fields]
     docs = J.export_documents(t("v_profiles"), {e.name: t(SUBJECTS[e.name]) for e in sections})
-    one, many = "map<string,string>", "array<map<string,string>>"
-    d = docs.select("user_id", F.from_json("document", ", ".join(f"`{e.name}` {one if e.single else many}" for e in sections)).alias("d"))
-    rows = F.array(*[
-        F.struct(F.lit(e.name).alias("section"), (F.array_compact(F.array(F.col("d")[e.name])) if e.single else F.col("d")[e.name]).alias("rows"))
-        for e in sections])
-    d = d.select("user_id", F.explode(rows).alias("s")).select("user_id", "s.section", F.explode("s.rows").alias("m"))
-
-    def field(e):
-        at = F.date_format(F.try_to_timestamp(e["value"]), "yyyy-MM-dd HH:mm:ss")
-        return F.concat(e["key"], F.lit("="), F.coalesce(F.when(e["key"].endswith("_at"), at).otherwise(e["value"]), F.lit("-")))
-
-    return d.select("user_id", "section", F.array_join(F.transform(F.array_sort(F.map_entries("m")), field), "|").alias("item"))
+    kinds = {e.name: "struct<" + ", ".join(f"`{f}`: string" for f in e.fields) + ">" for e in sections}
+    schema = ", ".join(f"`{e.name}` {kinds[e.name] if e.single else f'array<{kinds[e.name]}>'}" for e in sections)
+    d = docs.select("user_id", F.from_json("document", schema).alias("d"))
+
+    def item(e, r):
+        def field(f):
+            at = F.date_format(F.try_to_timestamp(r[f]), "yyyy-MM-dd HH:mm:ss") if f.endswith("_at") else r[f]
+            return F.concat(F.lit(f"{f}="), F.coalesce(at, F.lit("-")))
+
+        return F.concat_ws("|", *[field(f) for f in sorted(e.fields)])
+
+    def items(e):
+        rows = F.array_compact(F.array(F.col("d")[e.name])) if e.single else F.col("d")[e.name]
+        return F.struct(F.lit(e.name).alias("section"), F.transform(rows, lambda r: item(e, r)).alias("items"))
+
+    d = d.select("user_id", F.explode(F.array(*[items(e) for e in sections])).alias("s"))
+    return d.select("user_id", "s.section", F.explode("s.items").alias("item"))
 
 
 # --- label lookup -------------------------------------------------------------------------

@@ -85,3 +85,17 @@ def test_merge_of_a_parsed_cv(spark):
     assert sorted((r["user_id"], r["language"]) for r in out["languages"].collect()) == [(1, "en"), (2, "nl")]
     assert sorted(tuple(r) for r in out["profiles"].collect()) == [(1, None, "senior", None), (2, "t", "lead", 7)]
     assert all(out[n].columns == stored[n].columns for n in stored)
+
+
+def test_users_without_rows_need_no_join(spark):
+    users = spark.createDataFrame([(1,), (2,), (2,), (9,), (None,)], "user_id long")
+    rows = spark.createDataFrame([(1, f"c{k}") for k in range(40)] + [(2, "only"), (5, "not asked for")], "user_id long, type string")
+    out = S.export_documents(users, {"consents": rows}, chunk=10)
+    assert "FullOuter" not in out._jdf.queryExecution().optimizedPlan().toString()  # whole documents are not shuffled again
+    docs = {}
+    for r in out.collect():
+        assert (r["user_id"], r["part"]) not in docs
+        docs[r["user_id"], r["part"]] = [c["type"] for c in json.loads(r["document"])["consents"]]
+    assert sorted(x for (u, _), v in docs.items() if u == 1 for x in v) == sorted(f"c{k}" for k in range(40))
+    assert docs[2, 0] == ["only"] and docs[9, 0] == [] and docs[None, 0] == [] and {u for u, _ in docs} == {1, 2, 9, None}
+    assert len([1 for u, _ in docs if u in (2, 9, None)]) == 3 and (1, 0) in docs
