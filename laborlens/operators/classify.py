@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.numbers import let
 from ..functions.text import BLANK, has, java, normalize_label
 from .taxonomy import best_concept, find_concepts
 
@@ -51,6 +54,11 @@ EMPLOYMENT_PHRASES = (
     ("internship", r"internship|\bstage\b|stagiair"),
     ("temporary", r"temporary|tijdelijk|fixed[- ]term"),
 )
+# what a text must hold, in lower case, for the phrases above; without i, k and s, which match further letters
+EMPLOYMENT_PARTS = {
+    "full_time": ("full", "volt"), "part_time": ("part", "deelt"), "freelance": ("freelance", "zzp", "nter"),
+    "internship": ("ntern", "tag"), "temporary": ("temporar", "jdel", "xed"),
+}
 HOURS_RANGE = r"(\d{2})\s*(?:-|–|tot|to)\s*(\d{2})\s*(?:uur|hours|hrs|u\b)"
 HOURS_SINGLE = r"(\d{2})\s*(?:uur|hours|hrs)(?:\s*(?:per|p\/)\s*(?:week|w))?"
 EDUCATION_REQUIRED = (
@@ -98,7 +106,15 @@ def remote_policy(text: Column) -> Column:
 
 
 def employment(text: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(has(text, w), F.lit(n)) for n, w in EMPLOYMENT_PHRASES]))
+    """Names of the employment types whose phrases occur; plain parts of them spare most texts the pattern."""
+
+    def found(low: Column) -> Column:
+        def may(name: str) -> Column:
+            return reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in EMPLOYMENT_PARTS[name]])
+
+        return F.array_compact(F.array(*[F.when(may(n) & has(text, w), F.lit(n)) for n, w in EMPLOYMENT_PHRASES]))
+
+    return let(F.lower(text), found)
 
 
 def hours(text: Column) -> Column:

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from laborlens.operators import language as L, taxonomy as T
+from laborlens.operators import classify as C, language as L, taxonomy as T
 
 
 def test_both_lookups_agree(spark):
@@ -61,3 +61,15 @@ def test_language_is_the_best_profile(spark):
             score = sorted(((sum(w.get(g, 0) for g in grams(text)), lang) for lang, w in want.items()), reverse=True)
             best = score[0][1] if score[0][0] > score[1][0] else None
         assert found[i] == best, text
+
+
+def test_plain_parts_spare_the_employment_patterns(spark):
+    words = ["Full-Time", "FULL TIME", "fulltıme", "VOLTİJD", "voltıjd", "Part time", "deeltijd", "DEELTİJD", "Freelance", "zzp", "zzper", "INTERİM", "ınterım", "internſhip",
+             "internship", "ſtage", "STAGE", "backstage", "ſtagıaır", "temporary", "TİJDELİJK", "tijdelijK", "fixed term", "fıxed-term", "full", "", "é nothing", "stage, interim; fulltime"]
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(words)] + [(99, None)], "id int, text string")
+    whole = F.array_compact(F.array(*[F.when(C.has(F.col("text"), p), F.lit(n)) for n, p in C.EMPLOYMENT_PHRASES]))
+    out = df.select("id", C.employment(F.col("text")).alias("types"), whole.alias("whole"))
+    rows = out.collect()
+    assert all(r["types"] == r["whole"] for r in rows) and sum(bool(r["types"]) for r in rows) > 15
+    plan = out.select("types")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("contains(") >= len(C.EMPLOYMENT_PHRASES)
