@@ -147,3 +147,21 @@ def test_a_name_is_normalised_once(spark, monkeypatch):
     assert got == {("Acme", "new:acme.example"): 750, ("Acme B.V.", "new:acme.example"): 750, (None, "new:acme.example"): 750, ("Known", "77"): 750}
     assert seen.value < 100
     assert [tuple(r) for r in new.collect()] == [("new:acme.example", "Acme", "acme.example")] and fills.count() == 0
+
+
+def test_a_full_tile_is_compared_in_strips():
+    import tracemalloc
+
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(2048, 64))
+    x[:, 0] += 6  # heads leave many pairs open
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    h = D.heads(x, D.main_directions(unit[:512]))
+    tracemalloc.start()
+    i, j, s, _work = D.pairs_above(x, x, h, h, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = unit @ unit.T
+    a, b = np.nonzero(whole > 0.9 + 1e-9)
+    assert set(zip(a.tolist(), b.tolist())) <= set(zip(i.tolist(), j.tolist())) and (s > 0.9).all() and np.abs(whole[i, j] - s).max() < 1e-9
+    assert peak < 48 << 20
