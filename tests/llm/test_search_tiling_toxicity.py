@@ -82,6 +82,49 @@ def test_search_equals_all_scores(make_docs, monkeypatch, small):
         assert [i for _, i in got[q]] == [i for _, i in best]
 
 
+def test_index_rows_are_narrow_and_read_one_by_one(spark):
+    """A posting takes as few bytes as its numbers need; no reader holds thousands of index rows at a time."""
+    counts = [1, 255, 256, 70000]
+    for most in counts:
+        sizes = np.array([2] * 299 + [most + 1])
+        hashes = np.concatenate([*[np.array([7, 9], np.uint64)] * 299, np.array([7] + [9] * most, np.uint64)])
+        shard = topk.build_shard(np.arange(300), hashes, np.r_[0, np.cumsum(sizes)])
+        postings = int(shard["starts"][-1])
+        width = {1: 1, 255: 1, 256: 2, 70000: 4}[most]
+        assert postings == 600 and shard["at"].nbytes == 2 * postings and shard["tf"].nbytes == width * postings
+        assert topk.widened(shard["tf"].tobytes(), postings).max() == most
+        assert topk.widened(shard["at"].tobytes(), postings).tolist() == list(range(300)) * 2
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    with topk.small_batches(spark):
+        assert spark.conf.get(name) == "1"
+    assert spark.conf.get(name) == before
+
+
+@pytest.mark.parametrize("frequent", [1, 3, 10**9])
+def test_a_floor_drops_no_document(monkeypatch, frequent):
+    """Lists held as rows, in part or not at all, and any rounds: the best with a floor are those without one."""
+    monkeypatch.setattr(topk, "FREQUENT", frequent)
+    monkeypatch.setattr(topk, "STEP_POSTINGS", 500)
+    monkeypatch.setattr(topk, "LOOKUP", 1)
+    rnd = np.random.default_rng(3)
+    texts = [np.minimum(rnd.zipf(1.3, rnd.integers(0, 60)), 200).astype(np.uint64) for _ in range(300)]
+    shard = topk.build_shard(np.arange(300), np.concatenate(texts), np.r_[0, np.cumsum([len(t) for t in texts])])
+    df = dict(zip(shard["terms"].tolist(), np.diff(shard["starts"]).tolist()))
+    asked = [np.unique(t) for t in texts[::10] if len(t)]
+    terms = np.concatenate(asked)
+    idf = np.array([math.log(1 + (300 - df[t] + 0.5) / (df[t] + 0.5)) for t in terms.tolist()])
+    queries = topk.Queries(np.arange(len(asked)), np.r_[0, np.cumsum([len(t) for t in asked])], terms, idf, np.zeros(len(asked)))
+    row = {k: v.tobytes() for k, v in shard.items()}
+    want = {q: (ids.tolist(), scores.tolist()) for q, ids, scores in topk.Shard(row, 30.0, queries).search(queries, 5)}
+    assert len(want) == len(asked)
+    for place in (-1, 2):  # floors met by the last, or by some of the best only
+        queries.least = np.array([want[q][1][min(place, len(want[q][1]) - 1)] for q in range(len(asked))])
+        for q, ids, scores in topk.Shard(row, 30.0, queries).search(queries, 5):
+            keep = [k for k, score in enumerate(want[q][1]) if score >= queries.least[q]]
+            assert ids.tolist() == [want[q][0][k] for k in keep] and scores.tolist() == [want[q][1][k] for k in keep]
+
+
 def test_search_of_nothing(make_docs):
     assert topk.search(make_docs([]), make_docs(["a"])).count() == 0
     assert topk.search(make_docs(["a"]), make_docs([])).count() == 0
