@@ -10,9 +10,7 @@ functions.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut
 
@@ -51,16 +49,20 @@ def rarity_ranks(lines: DataFrame) -> list[int]:
 
 
 def ordered_words(body: Column, ranks: list[int]) -> Column:
-    """Distinct words of a line as 63-bit numbers, rarest first: rank of the digest, then the rest of the hash."""
-    table = F.split(F.lit(",".join(str(r << 47) for r in ranks)), ",").cast("array<bigint>")  # folded into one constant
-    low = (1 << 47) - 1
+    """Distinct words of a line as numbers, rarest first: their hashes with the rank of the digest in place of the digest."""
+
+    def signed(high: int) -> int:
+        return (high << 48) - (1 << 64 if high >> 15 else 0)
+
+    # folded into one constant; ranks are moved down by half, as longs have a sign
+    table = F.split(F.lit(",".join(str(signed(b ^ r ^ (1 << 15))) for b, r in enumerate(ranks))), ",").cast("array<bigint>")
 
-    def number(word: Column) -> Column:
-        h = F.xxhash64(word)
-        return F.get(table, F.shiftrightunsigned(h, 48).cast("int")).bitwiseOR(h.bitwiseAND(F.lit(low)))
+    def number(h: Column) -> Column:
+        # the default is never taken; without nulls Spark sorts the numbers as plain longs
+        return F.coalesce(F.get(table, F.shiftrightunsigned(h, 48)), F.lit(0).cast("long")).bitwiseXOR(h)
 
     pieces = F.array_remove(line_words(body), "")
-    return F.sort_array(F.array_distinct(F.transform(pieces, number)))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(pieces, lambda w: F.xxhash64(w)), number)))
 
 
 def prefix_length(n: Column, similarity: float) -> Column:
@@ -72,41 +74,39 @@ def least_overlap(a: Column, b: Column, similarity: float) -> Column:
 
 
 def described_lines(lines: DataFrame, ranks: list[int], similarity: float) -> DataFrame:
-    """(id, line, s, p, q0..q3, n, prefix, k0, k1) of every line with words.
+    """(id, line, s, p0, p1, n, prefix) of every line with words.
 
-    ``s`` hashes the set; ``q0..q3`` have the parity of the words in each of 256 places, ``p`` the same
-    in 64, so two sets differ in at least as many words as these differ in bits; ``k0`` and ``k1`` are two words of the
-    prefix, sampled by their hashes.
+    ``s`` hashes the set; ``p0`` and ``p1`` have the parity of the words in each of 128 places, so two sets differ in at
+    least as many words as these differ in bits.
+    Functions with a lambda run word by word outside the generated code, so each word goes through few of them.
     """
-    one = F.lit(1).cast("long")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     t = lines.filter(F.btrim("body") != "").select("id", "line", ordered_words(F.col("body"), ranks).alias("t"))
     n = F.size("t")
+    t = t.select("id", "line", F.xxhash64("t").alias("s"), n.alias("n"), F.transform("t", lambda x: F.hash(x)).alias("w"))
 
-    def parity(part: int) -> Column:
-        """Of the words whose bits 6 and 7 are ``part``; a shift by a word shifts by its last six bits."""
-        mine = F.filter("low", lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(3)) == part)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x)))
+    def parity(words: Column) -> Column:
+        """A shift by a word shifts by its last six bits."""
+        return F.aggregate(words, none, lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x)))
 
     t = t.select(
-        "id", "line", F.xxhash64("t").alias("s"), n.alias("n"), F.slice("t", F.lit(1), prefix_length(n, similarity)).alias("prefix"),
-        F.transform("t", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("low"),
+        "id", "line", "s", parity(F.col("w")).alias("p"), parity(F.filter("w", lambda x: x < 0)).alias("p1"), "n",
+        F.slice("w", F.lit(1), prefix_length(F.col("n"), similarity)).alias("prefix"),
     )
-    t = t.select("id", "line", "s", *[parity(i).alias(f"q{i}") for i in range(4)], "n", F.transform("prefix", lambda x: F.hash(x)).alias("prefix"))
-    fold = F.col("q0").bitwiseXOR(F.col("q1")).bitwiseXOR(F.col("q2")).bitwiseXOR(F.col("q3"))
-    return t.withColumns({"p": fold, "k0": F.array_min("prefix"), "k1": F.array_max("prefix")})
+    return t.select("id", "line", "s", F.col("p").bitwiseXOR(F.col("p1")).alias("p0"), "p1", "n", "prefix")
 
 
-def _differ(a: str, b: str, parities: tuple[str, ...]) -> Column:
+def _differ(a: str, b: str) -> Column:
     """A lower bound of the number of words that only one of the two sets has."""
-    bits = [F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in parities]
-    return reduce(lambda x, y: x + y, bits)
+    p0, p1 = (F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in ("p0", "p1"))
+    return p0 + p1
 
 
-def _alike(a: str, b: str, similarity: float, parities: tuple[str, ...] = ("p",)) -> Column:
+def _alike(a: str, b: str, similarity: float) -> Column:
     """Length filter and parity filter: true for every pair that is similar enough."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     near = F.least(na, nb) >= F.greatest(na, nb) * similarity - _EPS
-    return near & (_differ(a, b, parities) <= na + nb - 2 * least_overlap(na, nb, similarity))
+    return near & (_differ(a, b) <= na + nb - 2 * least_overlap(na, nb, similarity))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -135,19 +135,19 @@ def only_hashed(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataF
     return marked.filter(hit).drop("_word", "_bit", "_mask")
 
 
-def texts_of(places: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, line, body) of the lines at the given places."""
-    near = only_hashed(lines, places, ["id", "line"])
+def texts_of(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, line, body) of the lines at the given places; other documents are not cut into lines."""
+    near = only_hashed(line_rows(only_hashed(docs, places, ["id"]), "id", "text"), places, ["id", "line"])
     # an inner join with distinct places: a semi join would be moved below the bitmap
     return near.join(places, ["id", "line"]).groupBy("id", "line").agg(F.min("body").alias("body"))
 
 
-def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose Jaccard similarity, counted on the words themselves, is high enough."""
     places = pairs.select(F.col("aid").alias("id"), F.col("aline").alias("line")).unionByName(
         pairs.select(F.col("bid").alias("id"), F.col("bline").alias("line"))
     ).distinct()
-    texts = cut(texts_of(places, lines), "line-texts")
+    texts = cut(texts_of(places, docs), "line-texts")
     a = texts.select(F.col("id").alias("aid"), F.col("line").alias("aline"), F.col("body").alias("abody"))
     b = texts.select(F.col("id").alias("bid"), F.col("line").alias("bline"), F.col("body").alias("bbody"))
     # the lines travel as they are; arrays of words take four times as much
@@ -159,18 +159,15 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
 
 
 def sampled_pairs(classes: DataFrame, similarity: float) -> DataFrame:
-    """Each class with the first and the most frequent class among those that share a sampled word."""
+    """Each class with the first and the most frequent of the earlier classes that share a sampled word."""
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in range(2)])).alias("key")
-    shared = classes.select(keys).select("key.*").groupBy("i", "k").agg(F.count("*").alias("m")).filter("m > 1").select("i", "k")
-    shared = cut(shared, "line-sampled")
-    members = classes.select("id", "line", "p", "n", "copies", keys).select("id", "line", "p", "n", "copies", "key.i", "key.k")
-    members = only_hashed(members, shared, ["i", "k"])
-    me = F.struct("id", "line", "p", "n")
-    common = F.struct(-F.col("copies"), F.col("id"), F.col("line"))
-    leads = members.groupBy("i", "k").agg(F.min(me).alias("first"), F.min_by(me, common).alias("common"), F.count("*").alias("m")).filter("m > 1")
-    lead = members.join(leads, ["i", "k"]).select("id", "line", "p", "n", F.explode(F.array("first", "common")).alias("lead"))
-    x = lead.select(F.struct("id", "line", "p", "n").alias("x"), F.col("lead").alias("y"))
-    return x.filter(_earlier("x", "y") & _alike("x", "y", similarity)).select(*_pair("x", "y")).distinct()
+    members = classes.select("id", "line", "p0", "p1", "n", "copies", keys).select("key.i", "key.k", F.struct("id", "line", "p0", "p1", "n").alias("x"), "copies")
+    # both run along with the rows, so nothing is kept of a word that many classes share
+    sofar = Window.partitionBy("i", "k").orderBy("x.id", "x.line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    common = F.min_by("x", F.struct(-F.col("copies"), F.col("x.id"), F.col("x.line"))).over(sofar)
+    led = members.select("x", F.first("x").over(sofar).alias("first"), common.alias("common"))
+    lead = led.select("x", F.explode(F.array("first", "common")).alias("y"))
+    return lead.filter(_earlier("x", "y") & _alike("x", "y", similarity)).select(*_pair("x", "y")).distinct()
 
 
 def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> DataFrame:
@@ -179,14 +176,12 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> D
     ``off`` is the share of the words that surely differ, in thousandths. Parities of 128 places travel with the
     postings: with 64 places, lines near a group of near copies that match none of it met all of the group.
     """
-    halves = ("p0", "p1")
     done = settled.withColumn("_done", F.lit(2**31 - 1))
     if done.count() <= BROADCAST_ROWS:
         done = F.broadcast(done)
     flagged = classes.join(done, ["id", "line"], "left")
-    folded = [F.col("q0").bitwiseXOR(F.col("q1")).alias("p0"), F.col("q2").bitwiseXOR(F.col("q3")).alias("p1")]
     posts = flagged.select(
-        "id", "line", *folded, "n", F.coalesce("_done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("at", "word")
+        "id", "line", "p0", "p1", "n", F.coalesce("_done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("at", "word")
     )
     x, y = posts.alias("x"), posts.alias("y")
     rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
@@ -198,61 +193,40 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> D
         (F.col("x.word") == F.col("y.word"))
         & _earlier("x", "y")
         & looking
-        & _alike("x", "y", similarity, halves)
+        & _alike("x", "y", similarity)
         & (rest >= least_overlap(F.col("x.n"), F.col("y.n"), similarity)),
     )
-    off = _differ("x", "y", halves) * 1000 / (F.col("x.n") + F.col("y.n"))
+    off = _differ("x", "y") * 1000 / (F.col("x.n") + F.col("y.n"))
     return met.select(*_pair("x", "y"), off.cast("int").alias("off")).distinct()
 
 
-def narrowed(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that the finer parities leave: most of those that are not similar go before any line is read."""
-    q = [f"q{i}" for i in range(4)]
-    known = only_hashed(
-        classes.select("id", "line", "n", *q),
-        pairs.select(F.col("aid").alias("id"), F.col("aline").alias("line")).unionByName(pairs.select(F.col("bid").alias("id"), F.col("bline").alias("line"))),
-        ["id", "line"],
-    )
-    known = cut(known, "line-parities")
-    a = known.select(F.col("id").alias("aid"), F.col("line").alias("aline"), F.col("n").alias("an"), *[F.col(c).alias(f"a{c}") for c in q])
-    b = known.select(F.col("id").alias("bid"), F.col("line").alias("bline"), F.col("n").alias("bn"), *[F.col(c).alias(f"b{c}") for c in q])
-    met = pairs.join(a, ["aid", "aline"]).join(b, ["bid", "bline"])
-    differ = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in q)
-    an, bn = F.col("an"), F.col("bn")
-    return met.filter(differ <= an + bn - 2 * least_overlap(an, bn, similarity)).select("aid", "aline", "bid", "bline")
-
-
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, line) of every line that is similar to an earlier line of the table.
 
     Earlier is by document id, then by line number. Whether the earlier line is removed itself does not
     matter, so the result does not depend on the order of work.
     """
-    lines = line_rows(docs, id_col, text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    lines = line_rows(docs, "id", "text")
     ranks = rarity_ranks(lines)
     rows = cut(described_lines(lines, ranks, similarity), "line-sets")
-    firsts = rows.groupBy("s", "p").agg(
-        F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("copies"),
-        F.first(F.struct("n", "prefix", "k0", "k1", "q0", "q1", "q2", "q3")).alias("set"),
-    )
-    classes = cut(firsts.select("s", "p", "first.*", "copies", "set.*"), "line-classes")
-    early = cut(verified(cut(sampled_pairs(classes, similarity), "line-pairs"), lines, similarity), "line-settled")
+    firsts = rows.groupBy("s", "p0").agg(F.min(F.struct("id", "line", "p1", "n", "prefix")).alias("first"), F.count("*").alias("copies"))
+    sampled = {"k0": F.array_min("prefix"), "k1": F.array_max("prefix")}  # two words of the prefix, by their hashes
+    classes = cut(firsts.select("s", "p0", "copies", "first.*").withColumns(sampled), "line-classes")
+    early = cut(verified(cut(sampled_pairs(classes, similarity), "line-pairs"), docs, similarity), "line-settled")
     settled = early.select(F.col("aid").alias("id"), F.col("aline").alias("line")).distinct()
     pairs = cut(prefix_pairs(classes, settled, similarity), "line-pairs")
     # one match is enough: the likeliest is tried first, the others for lines that are still unmatched
     likeliest = pairs.groupBy("aid", "aline").agg(F.min(F.struct("off", "bid", "bline")).alias("y")).select("aid", "aline", "y.bid", "y.bline")
-    near = cut(verified(likeliest, lines, similarity), "line-near").select("aid", "aline").distinct()
+    near = cut(verified(likeliest, docs, similarity), "line-near").select("aid", "aline").distinct()
     others = cut(pairs.drop("off").join(near, ["aid", "aline"], "left_anti").join(likeliest, ["aid", "aline", "bid", "bline"], "left_anti"), "line-others")
-    others = cut(narrowed(others, classes, similarity), "line-narrowed")
-    late = verified(others, lines, similarity).select("aid", "aline").unionByName(near)
+    late = verified(others, docs, similarity).select("aid", "aline").unionByName(near)
     gone = settled.unionByName(late.select(F.col("aid").alias("id"), F.col("aline").alias("line"))).distinct()
-    gone = gone.withColumn("gone", F.lit(True))
-    judged = classes.select("s", "p", "id", "line").join(gone, ["id", "line"], "left").select(
-        "s", "p", F.col("id").alias("first_id"), F.col("line").alias("first_line"), "gone"
-    )
-    of = rows.select("id", "line", "s", "p").join(judged, ["s", "p"])
+    # a copy always goes, whatever becomes of the first line of its class
+    repeated = classes.filter("copies > 1").select("s", "p0", F.col("id").alias("first_id"), F.col("line").alias("first_line"))
+    copies = only_hashed(rows.select("id", "line", "s", "p0"), repeated, ["s"]).join(repeated, ["s", "p0"])
     first = (F.col("id") == F.col("first_id")) & (F.col("line") == F.col("first_line"))
-    return of.filter(F.col("gone") | ~first).select("id", "line")
+    return gone.unionByName(copies.filter(~first).select("id", "line"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -83,3 +83,14 @@ def test_repeated_rows_null_ids_and_empty(make_docs):
     got = lines.dedup_lines(make_docs([(1, "a b"), (1, "a b"), (None, "a b"), (2, "a b")])).collect()
     assert sorted((r["doc_id"] or 0, r["removed"]) for r in got) == [(0, []), (1, []), (1, []), (2, [0])]
     assert lines.dedup_lines(make_docs([])).count() == 0
+
+
+def test_leads_are_the_commonest_so_far(spark):
+    """A commoner class that comes later must not hide the earlier one that settles a class."""
+    sets = [(1, 1, 0), (2, 3, 2**20 - 1), (3, 1, 2**20 - 1), (4, 9, 0)]  # id, copies, parities; 1 and 4 are alike, 2 and 3 are
+    classes = spark.createDataFrame(
+        [(i, 0, p, 0, 10, copies, 5, 6) for i, copies, p in sets],
+        "id bigint, line int, p0 bigint, p1 bigint, n int, copies bigint, k0 int, k1 int",
+    )
+    got = {(r["aid"], r["bid"]) for r in lines.sampled_pairs(classes, 0.8).collect()}
+    assert got == {(3, 2), (4, 1)}
