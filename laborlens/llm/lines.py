@@ -18,6 +18,7 @@ SIMILARITY = 0.8
 BUCKETS = 1 << 16  # word counts are kept by this many digests of words: the order of rarity
 FILTER_WORDS = 1 << 16  # 64-bit words of the bitmap that holds the places of candidate lines
 
+PAIRS_A_CLASS = 1  # up to so many pairs for each class are compared in one round
 BROADCAST_ROWS = 1_000_000  # most settled lines that are broadcast; more are joined in a shuffle
 
 _EPS = 1e-9
@@ -152,10 +153,16 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     b = texts.select(F.col("id").alias("bid"), F.col("line").alias("bline"), F.col("body").alias("bbody"))
     # the lines travel as they are; arrays of words take four times as much
     met = pairs.join(a, ["aid", "aline"]).join(b, ["bid", "bline"])
-    words = lambda c: F.array_distinct(F.array_remove(line_words(F.col(c)), ""))
-    met = met.select("aid", "aline", "bid", "bline", words("abody").alias("wa"), words("bbody").alias("wb"))
-    counted = met.withColumns({"both": F.size(F.array_intersect("wa", "wb")), "all": F.size("wa") + F.size("wb")})
-    return counted.filter(F.try_divide("both", F.col("all") - F.col("both")) >= similarity).select("aid", "aline", "bid", "bline")
+
+    def words(body: str) -> Column:
+        return F.array_distinct(F.array_remove(line_words(F.col(body)), ""))
+
+    def enough(w: Column) -> Column:
+        a, b = w["a"], w["b"]
+        return F.exists(F.array(F.size(F.array_intersect(a, b))), lambda both: F.try_divide(both, F.size(a) + F.size(b) - both) >= similarity)
+
+    # as lambda variables, words and their overlap are made once; a filter on columns makes them at each mention
+    return met.filter(F.exists(F.array(F.struct(words("abody").alias("a"), words("bbody").alias("b"))), enough)).select("aid", "aline", "bid", "bline")
 
 
 def sampled_pairs(classes: DataFrame, similarity: float) -> DataFrame:
@@ -176,28 +183,34 @@ def prefix_pairs(classes: DataFrame, settled: DataFrame, similarity: float) -> D
     ``off`` is the share of the words that surely differ, in thousandths. Parities of 128 places travel with the
     postings: with 64 places, lines near a group of near copies that match none of it met all of the group.
     """
-    done = settled.withColumn("_done", F.lit(2**31 - 1))
-    if done.count() <= BROADCAST_ROWS:
-        done = F.broadcast(done)
-    flagged = classes.join(done, ["id", "line"], "left")
-    posts = flagged.select(
-        "id", "line", "p0", "p1", "n", F.coalesce("_done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("at", "word")
-    )
-    x, y = posts.alias("x"), posts.alias("y")
-    rest = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    # over columns of both sides, so that one exchange of the postings serves as both: a settled line has
-    # a larger mark than any line has words
-    looking = F.col("x.done") < F.col("y.n") + F.least(F.col("y.done"), F.lit(0))
+    marks = settled.withColumn("_done", F.lit(1))
+    if marks.count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
+    flagged = classes.join(marks, ["id", "line"], "left")
+    done = F.coalesce("_done", F.lit(0)).alias("done")
+    posts = flagged.select("id", "line", "p0", "p1", "n", done, F.posexplode("prefix").alias("at", "word"))
+    # line, place in the prefix and mark share one number, as every column of a posting takes room in the shuffle
+    spot = F.shiftleft(F.col("line").cast("long"), 32) + F.col("at") * 2 + F.col("done")
+    columns = ["id", spot.alias("spot"), "p0", "p1", "n", "word"]
+    # the shorter line meets the longer one by fewer words, as the pair must share more of it
+    least = least_overlap(F.col("n"), F.col("n"), similarity)
+    x, y = posts.select(*columns).alias("x"), posts.filter(F.col("at") <= F.col("n") - least).select(*columns).alias("y")
+    (idx, spotx, nx), (idy, spoty, ny) = ([F.col(f"{side}.{c}") for c in ("id", "spot", "n")] for side in ("x", "y"))
+    linex, liney = F.shiftright(spotx, 32).cast("int"), F.shiftright(spoty, 32).cast("int")
+    rest = F.least(*[n - F.shiftright(s.bitwiseAND(F.lit((1 << 32) - 1)), 1) for n, s in ((nx, spotx), (ny, spoty))])
+    later = (idy < idx) | ((idy == idx) & (liney < linex))
     met = x.join(
         y,
         (F.col("x.word") == F.col("y.word"))
-        & _earlier("x", "y")
-        & looking
+        & ((ny < nx) | ((ny == nx) & later))
         & _alike("x", "y", similarity)
-        & (rest >= least_overlap(F.col("x.n"), F.col("y.n"), similarity)),
+        & (rest >= least_overlap(nx, ny, similarity))
+        & (F.when(later, spotx).otherwise(spoty) % 2 == 0),
     )
-    off = _differ("x", "y") * 1000 / (F.col("x.n") + F.col("y.n"))
-    return met.select(*_pair("x", "y"), off.cast("int").alias("off")).distinct()
+    off = _differ("x", "y") * 1000 / (nx + ny)
+    places = [F.struct(i.alias("id"), k.alias("line")) for i, k in ((idx, linex), (idy, liney))]
+    met = met.select(F.greatest(*places).alias("a"), F.least(*places).alias("b"), off.cast("int").alias("off"))
+    return met.select(*_pair("a", "b"), "off").distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -216,11 +229,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     early = cut(verified(cut(sampled_pairs(classes, similarity), "line-pairs"), docs, similarity), "line-settled")
     settled = early.select(F.col("aid").alias("id"), F.col("aline").alias("line")).distinct()
     pairs = cut(prefix_pairs(classes, settled, similarity), "line-pairs")
-    # one match is enough: the likeliest is tried first, the others for lines that are still unmatched
-    likeliest = pairs.groupBy("aid", "aline").agg(F.min(F.struct("off", "bid", "bline")).alias("y")).select("aid", "aline", "y.bid", "y.bline")
-    near = cut(verified(likeliest, docs, similarity), "line-near").select("aid", "aline").distinct()
-    others = cut(pairs.drop("off").join(near, ["aid", "aline"], "left_anti").join(likeliest, ["aid", "aline", "bid", "bline"], "left_anti"), "line-others")
-    late = verified(others, docs, similarity).select("aid", "aline").unionByName(near)
+    if pairs.count() <= PAIRS_A_CLASS * classes.count():
+        late = verified(pairs.drop("off"), docs, similarity).select("aid", "aline")
+    else:
+        # one match is enough: the likeliest is tried first, the others for lines that are still unmatched
+        likeliest = pairs.groupBy("aid", "aline").agg(F.min(F.struct("off", "bid", "bline")).alias("y")).select("aid", "aline", "y.bid", "y.bline")
+        near = cut(verified(likeliest, docs, similarity), "line-near").select("aid", "aline").distinct()
+        others = cut(pairs.drop("off").join(near, ["aid", "aline"], "left_anti").join(likeliest, ["aid", "aline", "bid", "bline"], "left_anti"), "line-others")
+        late = verified(others, docs, similarity).select("aid", "aline").unionByName(near)
     gone = settled.unionByName(late.select(F.col("aid").alias("id"), F.col("aline").alias("line"))).distinct()
     # a copy always goes, whatever becomes of the first line of its class
     repeated = classes.filter("copies > 1").select("s", "p0", F.col("id").alias("first_id"), F.col("line").alias("first_line"))

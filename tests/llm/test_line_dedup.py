@@ -94,3 +94,10 @@ def test_leads_are_the_commonest_so_far(spark):
     )
     got = {(r["aid"], r["bid"]) for r in lines.sampled_pairs(classes, 0.8).collect()}
     assert got == {(3, 2), (4, 1)}
+
+
+def test_many_pairs_in_two_rounds(make_docs, monkeypatch):
+    monkeypatch.setattr(lines, "PAIRS_A_CLASS", 0)
+    rows = random_rows(3, 61)
+    got = {r["doc_id"]: r["removed"] for r in lines.dedup_lines(make_docs(rows)).collect()}
+    assert got == plain(rows)
