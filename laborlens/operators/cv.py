@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import let
-from ..functions.text import BLANK, has, java, js_trim, normalize_label
+from ..functions.text import BLANK, has, java, js_trim, normalize_label, redact_text
 from .classify import first_class, mentioned_languages
 from .taxonomy import best_concept, find_concepts
 
@@ -159,3 +159,24 @@ def ground_cv(cvs: DataFrame, entries: DataFrame, occupations: DataFrame, doc_id
 
 def label_key(uri: Column, label: Column) -> Column:
     return F.coalesce(uri, normalize_label(label))
+
+
+# --- texts of a candidate that are embedded ------------------------------------------------
+
+
+def candidate_texts(profiles: DataFrame, experiences: DataFrame, skills: DataFrame) -> DataFrame:
+    """(user_id, pos, text): the redacted profile text of every candidate, whose ``pos`` is null, and that of each experience.
+
+    ``profiles`` (user_id, headline, summary), ``experiences`` (user_id, pos, title, description) in the order of ``pos``,
+    ``skills`` (user_id, label). A profile is its headline, summary, redacted experiences and labels, those that are there;
+    experiences of users without a profile are left out.
+    """
+    lived = experiences.select("user_id", "pos", F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("description", F.lit(""))).alias("text"))
+    lived = redact_text(lived, "text")
+    told = lived.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_lived"))
+    named = skills.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("_labels"))
+    f = profiles.select("user_id", "headline", "summary").join(told, "user_id", "left").join(named, "user_id", "left")
+    each = F.concat(F.array("headline", "summary"), F.coalesce(F.col("_lived.text"), F.array().cast("array<string>")), F.array("_labels"))
+    whole = F.array_join(F.filter(each, lambda x: x.isNotNull() & (x != "")), "\n")
+    whole = redact_text(f.select("user_id", F.lit(None).cast(lived.schema["pos"].dataType).alias("pos"), whole.alias("text")), "text")
+    return whole.unionByName(lived.join(profiles.select("user_id"), "user_id", "left_semi"))

@@ -417,11 +417,11 @@ def _(t):
 
 @query("embed_candidates")
 def _(t):
-    skills = t("v_candidate_skills").join(t("v_skills").select("uri", "label_en"), "uri").groupBy("user_id").agg(F.array_sort(F.collect_list("label_en")).alias("labels"))
-    f = t("v_profiles").select("user_id", "headline").join(cv_texts(t).select(F.col("doc_id").alias("user_id"), "text"), "user_id").join(skills, "user_id", "left")
-    parts = F.filter(F.array("headline", "text", F.array_join("labels", ", ")), lambda x: x.isNotNull() & (x != ""))
-    rows = X.redact_text(f.select("user_id", F.array_join(parts, "\n").alias("profile")), "profile")
-    return rows.select("user_id", embed(F.col("profile")).alias("embedding"))
+    """A vector for every profile, where ``pos`` is null, and one for each experience."""
+    skills = t("v_candidate_skills").join(t("v_skills").select("uri", F.col("label_en").alias("label")), "uri")
+    lived = t.sql("SELECT user_id, pos, title, description FROM v_experiences", spread_out=("orders",))
+    texts = V.candidate_texts(t("v_candidate_profiles"), lived, skills)
+    return texts.select("user_id", "pos", embed(F.col("text")).alias("embedding"))
 
 
 # --- ingest -----------------------------------------------------------------------------------
