@@ -265,3 +265,48 @@ def test_pairs_meet_their_postings_first(spark):
         text = "|".join([f"c{u}" if u < 3 else "", f"j{j}" if j < 9 else "", "" if u == 3 else "8000", model, "2026"])
         assert r["input_hash"] == hashlib.sha256(text.encode()).hexdigest()
     assert out.count() == 12
+
+
+def test_a_candidate_meets_its_postings_of_a_block_at_once(spark, monkeypatch):
+    """Rows and hits are those of a plain join, however many blocks there are; a candidate's skills do not travel with its pairs."""
+    from laborlens.operators import cells
+
+    parents, have, need = fixture(seed=3, users=14, jobs=11)
+    have[2], need[4] = {}, []
+    parents = {s: {p * -(2**40) for p in ps} for s, ps in parents.items()}
+    c, p = sides(spark, parents, have, need, DEFAULT)
+    c, p = c.union(c.filter("user_id = 5")), p.union(p.filter("job_id in (3, 4)"))  # rows that come twice
+    rows = [(u, j, 0.5 if j % 2 else None, "x") for u, j in itertools.product([*have, 99], [*need, 77])] + [(1, None, None, "y"), (None, 1, None, "y"), (1, 1, 0.7, "z")]
+    pairs = spark.createDataFrame(rows, "user_id long, job_id long, similarity double, extra string")
+
+    def told(f):
+        f = M.with_components(f).withColumn("j_hits", F.coalesce("j_hits", F.array().cast(M.HITS)))
+        return sorted(repr(sorted(r.asDict(recursive=True).items())) for r in f.drop(*M.LISTS).collect())
+
+    want = {listed: told(M.join_pairs(pairs, c, p, listed=listed, cells=False)) for listed in (False, True)}
+    assert len(want[False]) == 15 * (9 + 2 * 4) + 1
+    for keys in (1 << 23, 12):
+        monkeypatch.setattr(cells, "BLOCK_KEYS", keys)
+        for listed in (False, True):
+            f = M.join_pairs(pairs, c, p, listed=listed, named=True)
+            assert told(f) == want[listed]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with_pairs = [s for s in exchanged(M.join_pairs(pairs, c, p, listed=False)) if "job_id" in s and "user_id" in s]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert with_pairs and all(s <= {"user_id", "job_id", "similarity", "travel_minutes", "extra"} for s in with_pairs)
+
+
+def test_packed_keys_come_back_in_order():
+    import pyarrow as pa
+
+    from laborlens.operators import cells
+
+    rows = [[2**62 + 5, -(2**62), 7, 7], None, [], [-1]]
+    numbers, marks = [[4, 3, 2, 1], None, [], [9]], [[0, 1, 2, 3], None, [], [5]]
+    packed = cells.packed_keys.func(pa.array(rows, pa.list_(pa.int64())), pa.array(numbers, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int16())))
+    keys, n, m, sizes = cells.unpacked_keys(packed, 14)
+    assert keys.tolist() == [-(2**62), 7, 7, 2**62 + 5, -1] and n.tolist() == [3, 1, 2, 4, 9] and m.tolist() == [1, 3, 2, 0, 5]
+    assert sizes.tolist() == [4, 0, 0, 1]
