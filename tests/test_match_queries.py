@@ -43,3 +43,9 @@ def test_gaps_name_the_languages_that_are_not_met(spark, folder):
     got = {(r["user_id"], r["job_id"]): r["language_gaps"] for r in all_queries()[0]["match_gaps"](spark, folder).collect()}
     assert any("–" in w for w in want.values()) and any("," in w for w in want.values())
     assert set(got) <= set(want) and all(got.get(k, "") == w for k, w in want.items())
+
+
+def test_gaps_are_decoded_once(spark, folder):
+    """The filter reads the text of the gaps; it does not make it a second time."""
+    plan = all_queries()[0]["match_gaps"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan and not any("getbit" in line for line in plan.split("\n") if line.lstrip(" :+-").startswith("Filter"))
