@@ -310,3 +310,14 @@ def test_packed_keys_come_back_in_order():
     keys, n, m, sizes = cells.unpacked_keys(packed, 14)
     assert keys.tolist() == [-(2**62), 7, 7, 2**62 + 5, -1] and n.tolist() == [3, 1, 2, 4, 9] and m.tolist() == [1, 3, 2, 0, 5]
     assert sizes.tolist() == [4, 0, 0, 1]
+
+
+def test_a_language_that_comes_twice_counts_at_its_highest_level(spark):
+    parents, have, need = fixture(users=2, jobs=2)
+    profiles = spark.createDataFrame([(0, *[None] * 16), (1, *[None] * 16)], PROFILE)
+    skills = spark.createDataFrame([], "user_id long, uri long, pos long, last_used_year int")
+    broader = spark.createDataFrame([], "uri long, broader_uri long")
+    rows = [(0, "nl", "B1"), (0, "nl", "C1"), (0, "nl", "C1"), (0, "en", "A2"), (0, None, "A1"), (1, "de", "x"), (1, "de", None)]
+    spoken = spark.createDataFrame(rows, "user_id long, language string, level string")
+    got = {r["user_id"]: r["c_languages"] for r in M.candidate_side(profiles, skills, spoken, broader, DEFAULT, YEAR).collect()}
+    assert got == {0: {"nl": "C1", "en": "A2"}, 1: None}
